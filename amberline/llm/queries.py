@@ -8,15 +8,33 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm import bpe_automaton, quality, simhash, token_store
+from amberline.llm import bpe_automaton, mixing, pii, quality, secrets, simhash, suffix_dedup, token_store, toxicity, vptree
 from amberline.session import ship, table
 
+MIX_POWER, MIX_SEED = 0.5, 7
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(ship(spark), table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scanned(ship(spark), table(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(ship(spark), table(spark, sf_dir, "documents"))
+
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.components(ship(spark), table(spark, sf_dir, "documents"), width=4, max_bits=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(ship(spark), table(spark, sf_dir, "documents"))
+
+
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.round_trip(ship(spark), table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
 
@@ -25,14 +43,59 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.coded(ship(spark), table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), ["doc_id"])
 
 
+def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies of all documents, by source in proportion to the root of its size; texts as digests."""
+    mix = mixing.mixed(ship(spark), table(spark, sf_dir, "documents"), power=MIX_POWER, seed=MIX_SEED, detail=True)
+    return mix.select("doc_id", "source", F.col("copy").cast("int").alias("copy"), "place", F.md5(F.encode("text", "utf-8")).alias("text_md5"))
+
+
+def op9_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(ship(spark), table(spark, sf_dir, "embeddings"), k=10, factor=1.0, every=100)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(ship(spark), table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_pii": op2_pii,
+    "op3_secrets": op3_secrets,
     "op4_simhash": op4_simhash,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_token_store": op6_token_store,
     "op7_bpe_automaton": op7_bpe_automaton,
+    "op8_poisson_mix": op8_poisson_mix,
+    "op9_vptree": op9_vptree,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_poisson_mix": f"""
+        with n as (select coalesce(source, '') as s, count(*)::double as n from documents group by 1),
+        rate as (select s, pow(n, {MIX_POWER}) * sum(n) over () / (sum(pow(n, {MIX_POWER})) over () * n) as r from n),
+        cdf as (select s, r, k, sum(exp(-r + k * ln(r) - lgamma(k + 1))) over (partition by s order by k) as c
+                from rate, range(0, 192) as t(k)),
+        u as (select doc_id, text, source, coalesce(source, '') as s,
+                     ('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || ':{MIX_SEED}.0'), 1, 13))::bigint / 4503599627370496.0 as u
+              from documents),
+        drawn as (select doc_id, u.source, text, (select count(*) from cdf where cdf.s = u.s and cdf.c <= u.u) as copies from u)
+        select doc_id, source, t.copy::int as copy, md5(doc_id || ':' || t.copy || ':place{MIX_SEED}') as place, md5(text) as text_md5
+        from drawn, lateral (select unnest(range(0, drawn.copies)) as copy) as t
+    """,
+    "op9_vptree": """
+        with v as (
+            select vec_id, embedding::double[] as e from embeddings
+            where vec_id is not null and embedding is not null
+              and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        d as (
+            select q.vec_id as query_id, c.vec_id,  -- squares added from the first component on
+                   sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - c.e[i]) * (q.e[i] - c.e[i])), lambda a, b: a + b)) as score
+            from v as q join v as c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id
+        )
+        select query_id, row_number() over (partition by query_id order by score, vec_id)::int as rank, vec_id, score
+        from d qualify row_number() over (partition by query_id order by score, vec_id) <= 10
+    """,
+}

@@ -232,3 +232,178 @@ def components(spark: SparkSession, docs: DataFrame, width: int = 4, max_bits: i
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = rooted.join(named, "root").select("fp", "component_id")
     return made.join(by_fp, "fp").select(*carry, "fp", "component_id")
+
+
+# Similarity groups: longer fingerprints, for texts whose distinct shingles overlap by a given share.
+
+WORDS64 = 4
+BITS = 64 * WORDS64
+RINGS, SEGMENT = 6, 23
+PER_RING = BITS // SEGMENT
+
+
+def bit_budget(similarity: float) -> int:
+    """Expected differing bits of BITS at this Jaccard similarity J of shingle sets: their cosine is 2J / (1 + J)."""
+    return round(BITS * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
+
+
+def wide_fingerprint(text: bytes, width: int) -> bytes:
+    """BITS majority bits over the distinct shingles; each hash is mixed anew for each 64 bits."""
+    h = np.unique(np.array(shingle_hashes(text, width), dtype=np.uint64))
+    out = []
+    for k in range(WORDS64):
+        x = (h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        rows = (x ^ (x >> np.uint64(29))).view(np.uint8).reshape(-1, 8)
+        ones = np.zeros(64, np.int64)
+        for first in range(0, len(rows), 65536):
+            ones += np.unpackbits(rows[first : first + 65536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(ones * 2 > len(rows), bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def ring_bits() -> np.ndarray:
+    """Bit positions by ring, segment and place: each ring is a fixed shuffle of all bits."""
+    shuffle = np.random.default_rng(SEED)
+    return np.stack([shuffle.permutation(BITS)[: PER_RING * SEGMENT].reshape(PER_RING, SEGMENT) for _ in range(RINGS)])
+
+
+def _masks(bits: np.ndarray) -> np.ndarray:
+    """Masks (bit positions along the last axis) as WORDS64 numbers."""
+    flags = np.zeros((*bits.shape[:-1], BITS), np.uint8)
+    np.put_along_axis(flags, bits, 1, axis=-1)
+    return np.packbits(flags, axis=-1, bitorder="little").view(np.uint64)
+
+
+class Rings:
+    """Chain tests on several rings: from an equal segment on, l segments may differ in l / PER_RING of the budget."""
+
+    def __init__(self, max_bits: int, longest: int = 4):
+        self.max_bits, self.bits = max_bits, ring_bits()
+        self.cover = []
+        for length in range(2, longest + 1):
+            spans = np.stack([np.concatenate([np.roll(self.bits, -k, axis=1)[:, :, :] for k in range(length)], axis=2)])[0]
+            self.cover.append((length, _masks(spans).reshape(-1, WORDS64)))
+
+    def keys(self, fps: np.ndarray) -> np.ndarray:
+        """One key per ring and segment for each fingerprint: number of the segment, and its bits."""
+        flags = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little").astype(np.int64)
+        flat = self.bits.reshape(-1, SEGMENT)
+        values = np.stack([flags[:, b] @ (1 << np.arange(SEGMENT)) for b in flat], axis=1)
+        return values | (np.arange(len(flat)) << 32)
+
+    def close(self, segment: np.ndarray, diff: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(diff), bool)
+        for length, cover in self.cover:
+            live = np.flatnonzero(ok)
+            over = np.bitwise_count(diff[live] & cover[segment[live]]).sum(axis=1) > length * self.max_bits / PER_RING
+            ok[live[over]] = False
+        live = np.flatnonzero(ok)
+        ok[live] = np.bitwise_count(diff[live]).sum(axis=1) <= self.max_bits
+        return ok
+
+    def bucket_links(self, keys: np.ndarray, node: np.ndarray, fps: np.ndarray, own: np.ndarray, small: int = 32) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Links under equal ``keys`` (sorted), as in the 64-bit case; a pair needs one row that the block owns."""
+        head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        size = np.diff(np.r_[head, len(keys)])
+        segment = (keys >> 32) & 0xFFFF
+        out = []
+        room = np.repeat(np.where((size > 1) & (size <= small), head + size, 0), size)
+        live = np.flatnonzero(room)
+        for step in range(1, small):
+            live = live[live + step < room[live]]
+            if not len(live):
+                break
+            a = live[own[live] | own[live + step]]
+            ok = self.close(segment[a], fps[a] ^ fps[a + step])
+            out.append((node[a[ok]], node[a[ok] + step]))
+        for k in np.flatnonzero(size > small):
+            left = np.arange(head[k], head[k] + size[k])
+            while len(left):
+                queue, left = [int(left[0])], left[1:]
+                while queue and len(left):
+                    at = queue.pop()
+                    hit = self.close(segment[left], fps[left] ^ fps[at]) & (own[left] | own[at])
+                    found, left = left[hit], left[~hit]
+                    out.append((np.full(len(found), node[at]), node[found]))
+                    queue += found.tolist()
+        return out
+
+
+def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.8, carry: list[str] | None = None) -> DataFrame:
+    """``carry`` columns, ``fp`` and ``root``: rows that chains of similar texts connect share a root.
+
+    Two texts are similar if their fingerprints differ in at most the bits expected at
+    ``similarity``; candidates must agree on a whole segment of some ring and pass the chain tests.
+    Texts without words have one fingerprint and form one group.
+    """
+    carry = carry or ["doc_id"]
+    rings = Rings(bit_budget(similarity))
+    source = docs.select(*carry, text_or_empty().alias("_text"))
+    schema = source.drop("_text").schema.add("fp", "binary")
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text", 4 << 20):
+            fp = pa.array([wide_fingerprint(t, width) for t in raw_bytes(batch.column("_text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], names=schema.names)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 2048):
+                batch = whole.slice(first, 2048)
+                fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS64)
+                made = rings.keys(fps)
+                rows = np.repeat(np.arange(len(made)), made.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(made.ravel()), batch.column("node").take(pa.array(rows)), batch.column("fp").take(pa.array(rows))], names=["key", "node", "fp"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def emit(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            key, node, fps, own = (np.concatenate(c) for c in zip(*parts))
+            for a, b in rings.bucket_links(key, node, fps, own):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.asarray(batch.column("key")) | (np.asarray(batch.column("block")).astype(np.int64) << 48)
+            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS64)
+            part = (key, np.asarray(batch.column("node")), fps, batch.column("own").to_numpy(zero_copy_only=False))
+            last = np.flatnonzero(key != key[-1])
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from emit([*held, tuple(x[:cut] for x in part)])
+                held = []
+            elif held and held[-1][0][-1] != key[0]:
+                yield from emit(held)
+                held = []
+            held.append(tuple(x[cut:] for x in part))
+        if held:
+            yield from emit(held)
+
+    made = stage(spark, source.mapInArrow(prints, schema), "fingerprints")
+    nodes = made.select("fp").distinct().select(F.xxhash64("fp").alias("node"), "fp")
+    keyed = stage(spark, nodes.mapInArrow(keys, "key long, node long, fp binary"), "keys")
+    hot = stage(spark, keyed.groupBy("key").count().where(F.col("count") > HOT_KEY).select("key", F.ceil(F.col("count") / HOT_KEY).cast("int").alias("blocks")), "hotkeys")
+    if hot.limit(1).count():
+        spread = keyed.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        keyed = spread.select("key", "node", "fp", "block", (F.pmod("node", F.col("blocks")) == F.col("block")).alias("own"))
+    else:
+        keyed = keyed.withColumns({"block": F.lit(0), "own": F.lit(True)})
+    found = keyed.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(link, "src long, dst long")
+    labels = connected_components(spark, found)
+    return made.withColumn("_node", F.xxhash64("fp")).join(labels, F.col("_node") == labels["node"], "left").select(*carry, "fp", F.coalesce("root", "_node").alias("root"))
+
+
+def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` of which no similar row comes before: by doc_id (null last), then by a hash of the text.
+
+    Equal rows count as one, of which one stays. Texts without words are one group.
+    """
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_h": F.xxhash64(text_or_empty())})
+    groups = similar_groups(spark, keyed.select("_id", "_h", "text"), width, similarity, ["_id", "_h"])
+    first = groups.groupBy("root").agg(F.min(F.struct("_id", "_h")).alias("m")).select("m.*").distinct()
+    return keyed.join(first, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select(*docs.columns)
