@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from amberline.plans import profile_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**profile_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**profile_queries.SQL}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return profile_queries.response_by_segment(spark, sf_dir)
