@@ -18,6 +18,7 @@ larger than it.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -34,10 +35,12 @@ LENGTH, GRAM = 50, 8  # a gram is one eight-byte number
 WINDOW = LENGTH - GRAM + 1
 #: Most strings in one segment; a longer run of one least hash is cut, which routing does not mind.
 RUN = 512
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Text bytes of the input for each bucket; segments of a bucket hold about three times as much.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 4 << 20
 GROUP_BYTES = 12 << 20
+#: Bytes of pieces hashed at once.
+BLOCK = 1 << 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -89,18 +92,24 @@ def segments(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def gather(text: np.ndarray, head: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The bytes of ``text`` from ``head``, ``size`` of each, in one run."""
-    return text[ranges(head, size)]
+    body = memoryview(np.ascontiguousarray(text)).cast("B")
+    return np.frombuffer(b"".join([body[a:b] for a, b in zip(head.tolist(), (head + size).tolist())]), np.uint8)
 
 
 def content_hash(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A hash of each piece of ``data``: a sum of hashed bytes with a weight for the place in the piece."""
-    ends = np.cumsum(size)
-    place = np.arange(len(data)) - np.repeat(ends - size, size)
-    x = (data.astype(np.uint64) + np.uint64(1)) * M1
-    x = (x ^ (place.astype(np.uint64) * M2)) * M1
-    x ^= x >> np.uint64(29)
-    x *= M2
-    return np.add.reduceat(x, ends - size) if len(size) else np.zeros(0, np.uint64)
+    out, at = [], 0
+    for first, last in blocks(size, BLOCK):
+        own = size[first:last]
+        ends = np.cumsum(own)
+        x = (data[at : at + ends[-1]].astype(np.uint64) + np.uint64(1)) * M1
+        x ^= ranges(np.zeros(len(own), np.int64), own).view(np.uint64) * M2
+        x *= M1
+        x ^= x >> np.uint64(29)
+        x *= M2
+        out.append(np.add.reduceat(x, ends - own))
+        at += int(ends[-1])
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def distinct(data: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +136,7 @@ def distinct(data: np.ndarray, size: np.ndarray, doc: np.ndarray) -> tuple[np.nd
 
 def pack(*arrays: np.ndarray) -> bytes:
     body = b"".join(len(a).to_bytes(8, "little") + a.tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    return zstandard.ZstdCompressor(level=3).compress(body)
 
 
 def unpack(blob: bytes, *dtypes: str) -> list[np.ndarray]:
@@ -218,14 +227,22 @@ def equal_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int = LE
     return np.minimum(out, depth)
 
 
+@functools.cache
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of M1 and of its inverse, as many as a block of pieces needs."""
+    n = BLOCK + RUN + LENGTH
+    return np.multiply.accumulate(np.full(n, M1)), np.multiply.accumulate(np.full(n, pow(int(M1), -1, 1 << 64), np.uint64))
+
+
 def string_hashes(data: np.ndarray, size: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each LENGTH-byte string of each piece, piece after piece."""
     out = []
-    for first, last in blocks(size, 1 << 20):
+    begin = 0
+    for first, last in blocks(size, BLOCK):
         own = size[first:last]
-        part = data[int(size[:first].sum()) :][: int(own.sum())]
-        power = np.multiply.accumulate(np.full(len(part), M1, np.uint64))
-        back = np.multiply.accumulate(np.full(len(part), pow(int(M1), -1, 1 << 64), np.uint64))
+        part = data[begin : begin + int(own.sum())]
+        begin += len(part)
+        power, back = (p[: len(part)] for p in powers())
         x = (part.astype(np.uint64) + np.uint64(1)) * M2
         total = np.append(np.uint64(0), np.cumsum((x ^ (x >> np.uint64(29))) * power, dtype=np.uint64))
         head = np.cumsum(own) - own
@@ -379,7 +396,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, texts: bool = False) -> D
             for b in range(n_buckets):
                 own = order[cuts[b] : cuts[b + 1]]
                 if len(own):
-                    blob = pack(gather(text, head[own], size[own]), size[own].astype("<i4"), doc[own].astype("<i8"), at[own].astype("<i4"))
+                    blob = pack(gather(text, head[own], size[own]), *(np.diff(x[own], prepend=0).astype(t) for x, t in ((size, "<i2"), (doc, "<i8"), (at, "<i4"))))
                     out.append((b, blob, None))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.binary(), pa.binary()])], names=["bucket", "segments", "spans"])
@@ -400,11 +417,12 @@ def deduplicated(spark: SparkSession, docs: DataFrame, texts: bool = False) -> D
         now, held = None, []
 
         def finish() -> Iterator[pa.RecordBatch]:
-            parts = [unpack(b, "u1", "<i4", "<i8", "<i4") for b in held]
-            data, size, doc, at = (np.concatenate(c) for c in zip(*parts))
-            parts.clear()
+            parts = [unpack(b, "u1", "<i2", "<i8", "<i4") for b in held]
             held.clear()
-            yield dealt(reduce_bucket(data, size.astype(np.int64), doc, at.astype(np.int64)))
+            data = np.concatenate([p[0] for p in parts])
+            size, doc, at = (np.concatenate([np.cumsum(p[k], dtype=np.int64) for p in parts]) for k in (1, 2, 3))
+            parts.clear()
+            yield dealt(reduce_bucket(data, size, doc, at))
 
         for batch in batches:
             for b, blob, spans in zip(*(batch.column(c).to_pylist() for c in ("bucket", "segments", "spans"))):
