@@ -23,7 +23,9 @@ SIZES = (3, 4, 5)
 DIMENSION_BITS = 20
 ROWS_A_CLASS = 2000
 FEATURES = 8192
-LEAST_TEXTS, SMOOTH, RIDGE, STEPS = 4, 1.0, 0.02, 400
+#: Standard errors by which a feature's shares in the two classes must differ; chance alone gives about 5 among all features.
+LEAST_Z = 5.0
+LEAST_TEXTS, SMOOTH, RIDGE, STEPS = 4, 1.0, 3.0, 400
 THRESHOLD = 0.7
 
 
@@ -54,7 +56,10 @@ def features(text: str) -> np.ndarray:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Bias, feature numbers and their weights. With one class only, there are no weights."""
+    """Bias, feature numbers and their weights. Rows with equal features and label count once. With one class only, there are no weights."""
+    once = {(r.tobytes(), int(y)): k for k, (r, y) in reversed(list(enumerate(zip(rows, labels))))}
+    keep = sorted(once.values())
+    rows, labels = [rows[k] for k in keep], labels[keep]
     n = np.array([(labels == 0).sum(), (labels == 1).sum()])
     prior = (n[1] + 1.0) / (n.sum() + 2.0)
     if not n.all():
@@ -65,7 +70,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray,
     z = np.abs(df[1] / n[1] - df[0] / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n[1] + 1 / n[0]))
     z[(total < LEAST_TEXTS) | (total == n.sum())] = 0
     chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    chosen = chosen[z[chosen] > 0]
+    chosen = chosen[z[chosen] >= LEAST_Z]
     ratio = [np.log((d[chosen] + SMOOTH) / (d + SMOOTH).sum()) for d in df]
     r = ratio[1] - ratio[0]
     place = np.full(1 << DIMENSION_BITS, -1, np.int64)
