@@ -230,15 +230,15 @@ def skew_g1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NUMBERS = ["amount", "l_quantity", "l_tax", "discount", "y"]
-_PAIRS = " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 5) as r from lines" for i, a in enumerate(_NUMBERS) for b in _NUMBERS[i + 1 :])
+_PAIRS = " union all ".join(f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 6) as r from lines" for i, a in enumerate(_NUMBERS) for b in _NUMBERS[i + 1 :])
 
 
 @query(f"with {LINES} {_PAIRS}")
 def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.correlations(lines(spark, sf_dir), _NUMBERS).withColumn("r", F.round("r", 5))
+    return stats.correlations(lines(spark, sf_dir), _NUMBERS)
 
 
 @query(f"with {LINES}, p as ({_PAIRS}) select a, b, abs(r) as strength from p order by abs(r) desc, a, b limit 4")
 def top_collinear_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = stats.correlations(lines(spark, sf_dir), _NUMBERS)
-    return own.select("a", "b", F.abs(F.round("r", 5)).alias("strength")).orderBy(F.desc("strength"), "a", "b").limit(4)
+    return own.select("a", "b", F.abs("r").alias("strength")).orderBy(F.desc("strength"), "a", "b").limit(4)
