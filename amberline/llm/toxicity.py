@@ -116,6 +116,8 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[floa
 
     few = texts.mapInArrow(reduce, "doc_id long, y int, features binary").repartition(1).sortWithinPartitions("doc_id", "y", "features")
     model = few.mapInArrow(fit_all, "bias double, at binary, weights binary").first()
+    if model is None:  # no labelled rows, so no task to fit on
+        return fit([], np.zeros(0, np.int64))
     return model["bias"], np.frombuffer(model["at"], "<i8"), np.frombuffer(model["weights"], "<f8")
 
 

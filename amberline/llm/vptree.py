@@ -119,13 +119,12 @@ def nearest(spark: SparkSession, vectors: DataFrame, k: int = 10, factor: float
     right = rows.withColumn("shard", place(shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(asked: pa.Table, held: pa.Table) -> pa.Table:
-        ids, own = (np.asarray(t.column("id").combine_chunks()).astype(np.int64) for t in (held, asked))
-        q, v = (np.array(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (asked, held))
         out: dict[str, np.ndarray] = {"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)}
-        if len(ids) and len(own):
+        if asked.num_rows and held.num_rows:
+            ids, own = (np.asarray(t.column("id").combine_chunks()).astype(np.int64) for t in (held, asked))
+            q, v = (np.array(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1) for t in (asked, held))
             found, d = Tree(ids, v).search(own, q, k, factor)
-            real = found.ravel() >= np.iinfo(np.int64).min
-            real &= ~np.isinf(d.ravel())
+            real = ~np.isinf(d.ravel())
             out = {"query_id": np.repeat(own, k)[real], "vec_id": found.ravel()[real], "score": d.ravel()[real]}
         return pa.table(out)
 

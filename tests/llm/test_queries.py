@@ -1,0 +1,46 @@
+"""The registered queries and the pipeline."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from amberline.llm import common, queries
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_matches_sql(spark, sf, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, sf)
+    got = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in got.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(got.fetchall())
+
+
+def test_pipeline(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.stage(spark, stage(spark, docs, sf), "test")
+        if name != "tokens":
+            assert out.dtypes == docs.dtypes
+        if name in ("quality", "near_duplicates"):
+            assert 0 < out.count() < n
+            assert out.exceptAll(docs).count() == 0
+        if name == "personal_data":
+            assert out.count() == docs.count()
+            assert out.where(F.col("text").rlike(r"[a-z0-9]@[a-z0-9]+\.")).count() == 0
+        docs = out
+    assert docs.where("n_tokens > 0").count() == docs.count() > 0
+    assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_stages_take_odd_tables(spark):
+    rows = [(None, None, None, None, None, 1), (1, "", "en", "a", 0, 2), (1, "good words in a row that are long enough to pass all rules here", "en", None, 64, 3), (1, "good words in a row that are long enough to pass all rules here", "en", None, 64, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, copy int")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df, "").count() >= 0
+        assert stage(spark, df.limit(0), "").count() == 0
