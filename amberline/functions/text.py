@@ -100,6 +100,16 @@ def age_band(c: Column, null_label: str | None = "(missing)") -> Column:
     return out.otherwise(F.lit(null_label))
 
 
+def segment_label(c: Column) -> Column:
+    """Text without surrounding blanks, blank and null as "(missing)"."""
+    return F.coalesce(blank_to_null(c), F.lit("(missing)"))
+
+
+def number_label(c: Column) -> Column:
+    """A number as a label: whole numbers without decimals; null as "(missing)"."""
+    return F.coalesce(F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string")), F.lit("(missing)"))
+
+
 def erfc(x: Column) -> Column:
     """Complementary error function of x >= 0, to 1.2e-7: a rational Chebyshev fit (fixed values)."""
     t = 1 / (1 + 0.5 * x)

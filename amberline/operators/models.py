@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from itertools import product
 from typing import Any
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -59,22 +60,35 @@ def fit_predict(spec: Spec, params: dict[str, Any], train: DataFrame, test: Data
         scaler = Scaler.fit(own, features)
         own, test = scaler.transform(own), scaler.transform(test)
     assemble = VectorAssembler(inputCols=features, outputCol="_x")
-    common = {"featuresCol": "_x", "labelCol": label, "weightCol": "_w"}
-    if spec.name == "logistic":  # C is the inverse strength, per sum of weights
-        total = own.agg(F.sum("_w")).first()[0]
-        learner = LogisticRegression(regParam=1 / (params["C"] * total), elasticNetParam=0.0, standardization=False, maxIter=200, **common)
-    elif spec.name == "random_forest":
-        learner = RandomForestClassifier(seed=SEED, **params, **common)
-    else:
-        learner = GBTClassifier(seed=SEED, **({"maxIter": 100, "maxBins": 255} | params), **common)
+    total = own.agg(F.sum("_w")).first()[0]
     ready = assemble.transform(own.withColumn(label, F.col(label).cast("double"))).persist()
     try:
-        model = learner.fit(ready)
+        model = learner(spec, params, label, total).fit(ready)
     finally:
         ready.unpersist()
     return model.transform(assemble.transform(test)).withColumn("p", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
 
 
+def fit_pipeline(spec: Spec, params: dict[str, Any], train: DataFrame, features: list[str], label: str) -> PipelineModel:
+    """Assembler and learner as one fitted pipeline, for ``save``; always fitted anew."""
+    own, _ = weighted(train.withColumn(label, F.col(label).cast("double")), label)
+    total = own.agg(F.sum("_w")).first()[0]
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_x"), learner(spec, params, label, total)]).fit(own)
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def learner(spec: Spec, params: dict[str, Any], label: str, total: float) -> Any:
+    common = {"featuresCol": "_x", "labelCol": label, "weightCol": "_w"}
+    if spec.name == "logistic":  # C is the inverse strength, per sum of weights
+        return LogisticRegression(regParam=1 / (params["C"] * total), elasticNetParam=0.0, standardization=False, maxIter=200, **common)
+    if spec.name == "random_forest":
+        return RandomForestClassifier(seed=SEED, **params, **common)
+    return GBTClassifier(seed=SEED, **({"maxIter": 100, "maxBins": 255} | params), **common)
+
+
 def cross_validate(spark: SparkSession, specs: list[Spec], df: DataFrame, features: list[str], label: str, fold: str, folds: int) -> DataFrame:
     """``model, params, fold, score``: average precision of each grid point on each fold."""
     rows = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.functions.text import age_band, age_floor, blank_to_null, months_before
+from amberline.functions.text import age_band, age_floor, blank_to_null, months_before, number_label, segment_label
 from amberline.operators import decision, features
 from amberline.operators.staging import staged
 from amberline.plans.profile_queries import SPOILED, spoiled
@@ -152,6 +152,11 @@ def blank_to_null_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoiled(spark, sf_dir).select("c_custkey", blank_to_null(F.col("segment")).alias("segment"))
 
 
+@query(f"""with {SPOILED} select c_custkey, coalesce(nullif(trim(segment), ''), '(missing)') as segment, coalesce((c_custkey % 8)::varchar, '(missing)') as income from spoiled""")
+def segment_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spoiled(spark, sf_dir).select("c_custkey", segment_label(F.col("segment")).alias("segment"), number_label((F.col("c_custkey") % 8).cast("double")).alias("income"))
+
+
 @query(f"with {SPOILED} select c_custkey, coalesce(segment, 'missing') as segment from spoiled")
 def constant_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoiled(spark, sf_dir).select("c_custkey", F.coalesce("segment", F.lit("missing")).alias("segment"))

@@ -286,3 +286,36 @@ def citation_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def render_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.concat(F.lit("Page "), F.col("page_id").cast("string"))
     return table(spark, sf_dir, "pages").select("page_id", routing.render(routing.ESCALATION, {"contact_title": title, "contact_url": F.col("url")}).alias("text"))
+
+
+@query("""with s as (select page_id, case when page_id % 13 = 0 then 'excluded' when page_id % 7 = 0 then 'offhost' when page_id % 5 = 0 then 'cache' when page_id % 11 = 0 then 'failure' else 'response' end as status, len(html)::bigint as word_count from pages)
+    select count(*) filter (status in ('response', 'cache')) as n_pages, coalesce(sum(word_count) filter (status in ('response', 'cache')), 0)::bigint as n_words, count(*) filter (status in ('failure', 'offhost')) as n_failures, count(*) filter (status = 'excluded') as n_excluded from s""")
+def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    status = F.when(k % 13 == 0, "excluded").when(k % 7 == 0, "offhost").when(k % 5 == 0, "cache").when(k % 11 == 0, "failure").otherwise("response")
+    return tables.manifest_summary(table(spark, sf_dir, "pages").select(status.alias("status"), F.length("html").cast("long").alias("word_count")))
+
+
+@query(r"""with p as (select page_id, url, coalesce(nullif(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), ''), '/') as path from pages),
+    r(prefix, allow) as (values ('/fr/', false), ('/fr/1', true), ('/en/2', false), ('/private', false)),
+    hit as (select page_id, allow, row_number() over (partition by page_id order by len(prefix) desc, allow desc) as n from p join r on starts_with(path, prefix))
+    select page_id, coalesce(allow, true) as allowed from p left join (select * from hit where n = 1) using (page_id)""")
+def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame([("/fr/", False), ("/fr/1", True), ("/en/2", False), ("/private", False)], "prefix string, allow boolean")
+    return tables.robots_allowed(table(spark, sf_dir, "pages"), rules).select("page_id", "allowed")
+
+
+@query(f"""with {_BM25}, {_COVERAGE}, {_OVERLAP}, {_EVAL} select query_id, category, reciprocal_rank, hit_at_3, coalesce(coverage, 0.0) as coverage, coalesce(overlap, 0.0) as overlap, coalesce(round(score, 6), 0.0) as top_score
+    from judged left join cov using (query_id) left join ov using (query_id) left join (select query_id, score from best where rank = 1) as top using (query_id)""")
+def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, q = _index(spark, sf_dir), _queries(spark, sf_dir)
+    top = retrieval.search(index, q, 1).select("query_id", F.round("score", 6).alias("top_score"))
+    out = _judged(spark, sf_dir).join(retrieval.coverage(index, q), "query_id").join(retrieval.best_overlap(index, q), "query_id").join(top, "query_id", "left")
+    return out.withColumn("top_score", F.coalesce("top_score", F.lit(0.0)))
+
+
+@query("""select count(*) as n_unknown from (select distinct source from documents where doc_id % 2 = 0 except select distinct source from documents where doc_id % 2 = 1)""")
+def ungrounded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    half = lambda r: d.where(F.col("doc_id") % 2 == r).select("source").distinct()
+    return half(0).join(half(1), "source", "left_anti").agg(F.count(F.lit(1)).alias("n_unknown"))

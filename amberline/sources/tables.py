@@ -80,3 +80,36 @@ def manifest_diff(listed: DataFrame, held: DataFrame) -> DataFrame:
     both = listed.select("url", F.col("sha256").alias("listed")).join(held.select("url", F.col("sha256").alias("held")), "url", "full_outer")
     reason = F.when(F.col("held").isNull(), "missing from corpus on disk").when(F.col("listed").isNull(), "on disk but not in manifest").when(F.col("listed") != F.col("held"), "sha256 mismatch")
     return both.withColumn("reason", reason).where("reason is not null")
+
+
+def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """``urls`` with ``allowed``: the rule with the longest prefix of the path decides, allow before disallow; no rule allows.
+
+    ``rules(prefix, allow)`` of one site and agent is a short list; prefixes of a path are looked up
+    by equality, so the join stays an equi-join.
+    """
+    path = F.coalesce(F.nullif(F.regexp_replace(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), F.lit("")), F.lit("/"))
+    each = urls.withColumn("_path", path).select("*", F.explode(F.sequence(F.lit(0), F.length("_path"))).alias("_n"))
+    hit = each.select(url, "_n", F.substring("_path", F.lit(1), F.col("_n")).alias("prefix")).distinct().join(rules.where("prefix <> ''"), "prefix")
+    best = hit.groupBy(url).agg(F.max(F.struct("_n", "allow")).alias("b")).select(url, F.col("b.allow").alias("allowed"))
+    return urls.join(best, url, "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
+
+
+def assembled(fetched: DataFrame) -> dict[str, DataFrame]:
+    """Pages, failures and excluded URLs of ``fetched(url, status, ...)``, where status also says ``excluded``."""
+    status = F.col("status")
+    return {"pages": fetched.where(status.isin("response", "cache")), "failures": fetched.where(status.isin("failure", "offhost")), "excluded": fetched.where(status == "excluded")}
+
+
+def manifest_summary(fetched: DataFrame) -> DataFrame:
+    """Pages, their words, failures and excluded URLs."""
+    status, page = F.col("status"), F.col("status").isin("response", "cache")
+    return fetched.agg(F.count_if(page).alias("n_pages"), F.coalesce(F.sum(F.when(page, F.col("word_count"))), F.lit(0)).alias("n_words"), F.count_if(status.isin("failure", "offhost")).alias("n_failures"), F.count_if(status == "excluded").alias("n_excluded"))
+
+
+def check_size(spark: SparkSession, path: str, size: int) -> None:
+    """A downloaded file must have the size that its source states."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    held = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getLen()
+    if held != size:
+        raise ValueError(f"{path} has {held} bytes, {size} are expected")
