@@ -77,9 +77,13 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     return scored.unionByName(pad).withColumn("rank", best).where(F.col("rank") <= k)
 
 
-def ranked_pages(index: Index, queries: DataFrame, k: int = 40, pages: int = 10) -> DataFrame:
-    """Distinct pages of the k best chunks, by their best chunk: ``(query_id, page_rank, url)``."""
-    hits = search(index, queries, k).join(index.chunks.select("ord", "url"), "ord")
+def ranked_pages(index: Index, queries: DataFrame, k: int = 40, pages: int = 10, hits: DataFrame | None = None) -> DataFrame:
+    """Distinct pages of the k best chunks, by their best chunk: ``(query_id, page_rank, url)``.
+
+    ``hits``, here and below, may be a result of ``search`` with k or more that is at hand.
+    """
+    hits = search(index, queries, k) if hits is None else hits.where(F.col("rank") <= k)
+    hits = hits.join(index.chunks.select("ord", "url"), "ord")
     first = hits.groupBy("query_id", "url").agg(F.min("rank").alias("best"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy("best"))
     return first.withColumn("page_rank", place).where(F.col("page_rank") <= pages).select("query_id", "page_rank", "url")
@@ -92,10 +96,11 @@ def coverage(index: Index, queries: DataFrame) -> DataFrame:
     return queries.select("query_id").join(share, "query_id", "left").select("query_id", F.round(F.coalesce("c", F.lit(0.0)), 6).alias("coverage"))
 
 
-def best_overlap(index: Index, queries: DataFrame, k: int = 3) -> DataFrame:
+def best_overlap(index: Index, queries: DataFrame, k: int = 3, hits: DataFrame | None = None) -> DataFrame:
     """The largest share of a query's tokens that one of its k best chunks holds."""
     asked = queries.select("query_id", tokens(F.col("query")).alias("q"))
-    held = search(index, queries, k).join(index.chunks.select("ord", tokens(F.col("text")).alias("t")), "ord").join(asked, "query_id")
+    hits = search(index, queries, k) if hits is None else hits.where(F.col("rank") <= k)
+    held = hits.join(index.chunks.select("ord", tokens(F.col("text")).alias("t")), "ord").join(asked, "query_id")
     share = F.try_divide(F.size(F.filter("q", lambda t: F.array_contains("t", t))), F.size("q"))
     best = held.groupBy("query_id").agg(F.max(share).alias("o"))
     return queries.select("query_id").join(best, "query_id", "left").select("query_id", F.round(F.coalesce("o", F.lit(0.0)), 6).alias("overlap"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from amberline.functions.text import answer_urls, trim_quote
 from amberline.operators import retrieval
+from amberline.operators.staging import staged
 
 # Thresholds of the confidence gate.
 OVERLAP, COVERAGE, SCORE, TOP_K = 0.35, 0.5, 1.0, 3
@@ -98,24 +99,30 @@ def find_pages(chunks: DataFrame, fallback: Contacts = Contacts()) -> DataFrame:
     return own.select(F.coalesce("contact", default).alias("contact"), F.coalesce("care", "any", "contact", default).alias("clinical"))
 
 
-def signals(index: retrieval.Index, questions: DataFrame) -> DataFrame:
+def signals(index: retrieval.Index, questions: DataFrame, hits: DataFrame | None = None) -> DataFrame:
     """Per question: ``advice``, and for the others results, top score, overlap and coverage."""
     asked = questions.withColumn("advice", asks_advice(F.col("query")))
     open_ = asked.where(~F.col("advice")).select("query_id", "query")
-    top = retrieval.search(index, open_, TOP_K).groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top_score"))
-    out = asked.join(top, "query_id", "left").join(retrieval.best_overlap(index, open_, TOP_K), "query_id", "left").join(retrieval.coverage(index, open_), "query_id", "left")
+    hits = search(index, questions) if hits is None else hits
+    top = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("results"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top_score"))
+    out = asked.join(top, "query_id", "left").join(retrieval.best_overlap(index, open_, TOP_K, hits), "query_id", "left").join(retrieval.coverage(index, open_), "query_id", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     return out.select(*questions.columns, "advice", F.coalesce("results", F.lit(0)).alias("results"), zero("top_score"), zero("overlap"), zero("coverage"))
 
 
+def search(index: retrieval.Index, questions: DataFrame) -> DataFrame:
+    """The best chunks of the questions that do not ask for advice, written once."""
+    return staged(retrieval.search(index, questions.where(~asks_advice(F.col("query"))).select("query_id", "query"), TOP_K), "hits")
+
+
 def routed(found: DataFrame) -> DataFrame:
     gate = below_confidence(F.col("results"), F.col("overlap"), F.col("coverage"), F.col("top_score"))
     return found.withColumn("kind", F.when(F.col("advice"), "refusal").when(gate, "escalation").otherwise("answer"))
 
 
-def extracts(index: retrieval.Index, questions: DataFrame) -> DataFrame:
+def extracts(index: retrieval.Index, hits: DataFrame) -> DataFrame:
     """Quoted text and citations from the first two distinct pages of the best chunks."""
-    hits = retrieval.search(index, questions, TOP_K).join(index.chunks, "ord")
+    hits = hits.join(index.chunks, "ord")
     page = F.row_number().over(W.partitionBy("query_id", "url").orderBy("rank"))
     place = F.row_number().over(W.partitionBy("query_id").orderBy("rank"))
     used = hits.withColumn("_p", page).where("_p = 1").withColumn("_n", place).where("_n <= 2")
@@ -128,9 +135,10 @@ def extracts(index: retrieval.Index, questions: DataFrame) -> DataFrame:
 
 def answers(index: retrieval.Index, questions: DataFrame, fallback: Contacts = Contacts()) -> DataFrame:
     """``query_id, query, kind, text, citations`` and the signals of each question."""
-    way = routed(signals(index, questions))
+    hits = search(index, questions)
+    way = routed(signals(index, questions, hits))
     pages = F.broadcast(find_pages(index.chunks, fallback))  # one row
-    out = way.join(extracts(index, way.where(F.col("kind") == "answer").select("query_id", "query")), "query_id", "left").join(pages)
+    out = way.join(extracts(index, hits), "query_id", "left").join(pages)
     fields = {f"{p}_{f}": F.col(p)[f] for p in ("contact", "clinical") for f in ("title", "url")}
     text = F.when(F.col("kind") == "refusal", render(REFUSAL, fields)).when(F.col("kind") == "escalation", render(ESCALATION, fields)).otherwise(F.col("extract"))
     cites = F.when(F.col("kind") == "refusal", F.array_distinct(F.array("clinical", "contact"))).when(F.col("kind") == "escalation", F.array("contact")).otherwise(F.col("cited"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from amberline.functions import text
 from amberline.operators import chunks, retrieval, routing
+from amberline.operators.staging import staged
 from amberline.session import table
 from amberline.sources import html, tables
 
@@ -171,10 +172,11 @@ _EVAL = f"""{_PAGES}, expected as (select item_id as query_id, item_id % 4 + 1 a
     judged as (select query_id, category, coalesce(round(1 / f, 4), 0.0) as reciprocal_rank, coalesce((f <= 3)::int, 0) as hit_at_3 from expected left join first using (query_id))"""
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _judged(spark: SparkSession, sf_dir: str, index: retrieval.Index | None = None, hits: DataFrame | None = None) -> DataFrame:
     k = F.col("item_id")
+    index = index or _index(spark, sf_dir)
     expected = table(spark, sf_dir, "benchmark").select(k.alias("query_id"), (k % 4 + 1).alias("category"), F.concat(F.lit("src"), (k % 20).cast("string")).alias("url"))
-    return retrieval.page_metrics(retrieval.ranked_pages(_index(spark, sf_dir), _queries(spark, sf_dir)), expected)
+    return retrieval.page_metrics(retrieval.ranked_pages(index, _queries(spark, sf_dir), hits=hits), expected)
 
 
 @query(f"with {_BM25}, {_EVAL} select * from judged")
@@ -206,8 +208,9 @@ def best_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
            round(min(s), 6) as score_min, round(median(s), 6) as score_median, round(max(s), 6) as score_max from s group by 1""")
 def signal_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, q = _index(spark, sf_dir), _queries(spark, sf_dir)
-    top = retrieval.search(index, q, 1).select("query_id", F.col("score").alias("s"))
-    own = q.select("query_id").join(retrieval.best_overlap(index, q), "query_id").join(retrieval.coverage(index, q), "query_id").join(top, "query_id", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
+    hits = staged(retrieval.search(index, q, 3), "hits")
+    top = hits.where("rank = 1").select("query_id", F.col("score").alias("s"))
+    own = q.select("query_id").join(retrieval.best_overlap(index, q, hits=hits), "query_id").join(retrieval.coverage(index, q), "query_id").join(top, "query_id", "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
     facts = [f(c).alias(f"{n}_{m}") if n != "score" else F.round(f(c), 6).alias(f"{n}_{m}") for n, c in (("overlap", "overlap"), ("coverage", "coverage"), ("score", "s")) for m, f in (("min", F.min), ("median", F.median), ("max", F.max))]
     return own.groupBy(F.when(F.col("query_id") % 2 == 0, "in").otherwise("out").alias("scope")).agg(*facts)
 
@@ -309,8 +312,9 @@ def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from judged left join cov using (query_id) left join ov using (query_id) left join (select query_id, score from best where rank = 1) as top using (query_id)""")
 def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, q = _index(spark, sf_dir), _queries(spark, sf_dir)
-    top = retrieval.search(index, q, 1).select("query_id", F.round("score", 6).alias("top_score"))
-    out = _judged(spark, sf_dir).join(retrieval.coverage(index, q), "query_id").join(retrieval.best_overlap(index, q), "query_id").join(top, "query_id", "left")
+    hits = staged(retrieval.search(index, q, 40), "hits")
+    top = hits.where("rank = 1").select("query_id", F.round("score", 6).alias("top_score"))
+    out = _judged(spark, sf_dir, index, hits).join(retrieval.coverage(index, q), "query_id").join(retrieval.best_overlap(index, q, hits=hits), "query_id").join(top, "query_id", "left")
     return out.withColumn("top_score", F.coalesce("top_score", F.lit(0.0)))
 
 
