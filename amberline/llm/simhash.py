@@ -302,8 +302,12 @@ class Rings:
         ok[live] = np.bitwise_count(diff[live]).sum(axis=1) <= self.max_bits
         return ok
 
-    def bucket_links(self, keys: np.ndarray, node: np.ndarray, fps: np.ndarray, own: np.ndarray, small: int = 32) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Links under equal ``keys`` (sorted), as in the 64-bit case; a pair needs one row that the block owns."""
+    def bucket_links(self, keys: np.ndarray, node: np.ndarray, fps: np.ndarray, own: np.ndarray, small: int = 6) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Links under equal ``keys`` (sorted by key and node); a pair needs one row that the block owns.
+
+        Small buckets give their pairs. A larger one gives, for each set of rows that links connect in
+        it, a star around the least node, so that a group that meets under many keys gives few links.
+        """
         head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         size = np.diff(np.r_[head, len(keys)])
         segment = (keys >> 32) & 0xFFFF
@@ -320,12 +324,12 @@ class Rings:
         for k in np.flatnonzero(size > small):
             left = np.arange(head[k], head[k] + size[k])
             while len(left):
-                queue, left = [int(left[0])], left[1:]
+                first, queue, left = node[left[0]], [int(left[0])], left[1:]
                 while queue and len(left):
                     at = queue.pop()
                     hit = self.close(segment[left], fps[left] ^ fps[at]) & (own[left] | own[at])
                     found, left = left[hit], left[~hit]
-                    out.append((np.full(len(found), node[at]), node[found]))
+                    out.append((np.full(len(found), first), node[found]))
                     queue += found.tolist()
         return out
 
@@ -393,7 +397,8 @@ def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 5, similar
         keyed = spread.select("key", "node", "fp", "block", (F.pmod("node", F.col("blocks")) == F.col("block")).alias("own"))
     else:
         keyed = keyed.withColumns({"block": F.lit(0), "own": F.lit(True)})
-    found = keyed.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(link, "src long, dst long")
+    # by node within a key: a dense group then has the same first row under each key, and the same links
+    found = keyed.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(link, "src long, dst long")
     labels = connected_components(spark, found)
     return made.withColumn("_node", F.xxhash64("fp")).join(labels, F.col("_node") == labels["node"], "left").select(*carry, "fp", F.coalesce("root", "_node").alias("root"))
 
