@@ -143,11 +143,12 @@ def load(path: str) -> tuple[Automaton, tuple[tuple[str, int], ...]]:
     return build({t: i for t, i in model["vocab"].items() if t not in extra}, merges), added
 
 
+@functools.cache
 def byte_symbols() -> list[str]:
     """The printable symbol that stands for each byte value: itself where printable, else one from U+0100 on."""
     shown = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(256))
-    return [chr(b) if b in set(shown) else chr(256 + next(rest)) for b in range(256)]
+    rest, own = iter(range(256)), set(shown)
+    return [chr(b) if b in own else chr(256 + next(rest)) for b in range(256)]
 
 
 #: The word pattern of the vocabulary file, and the blanks of Unicode's White_Space.

@@ -24,6 +24,8 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain, compress
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,16 @@ from pyspark.sql import functions as F
 from amberline.llm.bpe_automaton import byte_symbols
 from amberline.llm.common import shared_dir, slices, text_or_empty
 
-LEAST, MEAN_BITS, MOST, ROLL = 64, 8, 2048, 8
+LEAST, MEAN_BITS, MOST, ROLL = 128, 9, 4096, 8
 CACHE_WORDS = 600_000
 #: Keys that a writer remembers as already sent; beyond this it starts afresh and repeats are dropped later.
 SENT_KEYS = 200_000
 #: Fixed value: how the byte-level pre-tokenizer cuts a text into words.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What shows, in an ASCII text, that blanks are not all single spaces and single line ends.
+ODD_BLANKS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
+#: New words encoded in one call.
+JOINED = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,6 +71,10 @@ class Encoder:
         self.special = [t["content"] for t in read["added_tokens"]]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
         self.known: dict[str, bytes] = {}
+        self.met = np.zeros(1 << 22, bool)
+        self.begins = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        space = byte_symbols()[0x20]
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(space)]] = True
         self.words, self.symbols = regex.compile(WORD), dict(enumerate(byte_symbols()))
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -73,36 +83,71 @@ class Encoder:
 
     def piece(self, piece: str) -> bytes:
         """One word with the blank before it: cut as the pre-tokenizer cuts it, then the library's merges."""
-        words = [piece] if piece[1:].isalpha() and piece[0] == " " else self.words.findall(piece)
         ids: list[int] = []
-        for word in words:
+        for word in self.words.findall(piece):
             spelled = word.encode().decode("latin-1").translate(self.symbols)
             ids += [t.id for t in self.tokenizer.model.tokenize(spelled)]
         return array(self.dtype.char, ids).tobytes()
 
+    def learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Codes of words not known. Those after a space are joined and encoded in one call: a token that
+        begins with the space's symbol begins a word. Words met before are known from now on; a table
+        of bits stands for the others, most of which never come again."""
+        spaced = [p for p in missing if p[0] not in "\r\n"]
+        fresh = {p: self.piece(p[1:] if p[0] == "\r" else p) for p in missing if p[0] in "\r\n"}
+        runs = [" " + " ".join(spaced[i : i + JOINED]) for i in range(0, len(spaced), JOINED)]
+        for i in range(0, len(runs), 256):
+            got = self.tokenizer.encode_batch_fast(runs[i : i + 256], add_special_tokens=False)
+            ids = np.array(list(chain.from_iterable([e.ids for e in got])), dtype=self.dtype)
+            edges = (np.append(np.flatnonzero(self.begins[ids]), len(ids)) * self.dtype.itemsize).tolist()
+            data, words = ids.tobytes(), spaced[i * JOINED : (i + 256) * JOINED]
+            if len(edges) != len(words) + 1:
+                raise ValueError("the tokenizer did not begin a token at each word")
+            fresh.update(zip(words, [data[x:y] for x, y in zip(edges, edges[1:])]))
+        if fresh:
+            place = np.fromiter(map(hash, fresh), np.int64, len(fresh)) & (len(self.met) - 1)
+            again = self.met[place]
+            self.met[place] = True
+            self.known.update(compress(fresh.items(), again.tolist()))
+        return fresh
+
+    def cut(self, text: str) -> list[str] | None:
+        """Words, each standing for itself with the space before it, or with its own line end; None if blanks come otherwise."""
+        if not self.by_word or not text or any(s in text for s in self.special):
+            return None
+        if text.isascii():
+            odd = any(b in text for b in ODD_BLANKS) or text[0] in " \n" or text[-1] in " \n"
+        else:
+            odd = text.replace("\n", " ").split(" ") != text.split()
+        if odd:
+            return None
+        pieces = text.replace("\n", " \n").split(" ")
+        pieces[0] = "\r" + pieces[0]  # no text cut here has this mark
+        return pieces
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        cut: dict[int, list[str]] = {}
-        for i, text in enumerate(texts):
-            plain = self.by_word and text != "" and text.replace("\n", " ").split(" ") == text.split()
-            if plain and not any(s in text for s in self.special):
-                pieces = text.replace("\n", " \n").split(" ")
-                pieces[0] = "\r" + pieces[0]  # no text cut here has this mark
-                cut[i] = pieces
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        known = self.known
-        missing = list(set().union(*cut.values()).difference(known)) if cut else []
-        for p in missing:
-            known[p] = self.piece(p[1:] if p[0] == "\r" else p if p[0] == "\n" else " " + p)
-        for i, pieces in cut.items():
-            out[i] = b"".join([known[p] for p in pieces])
-        rest = [i for i in range(len(texts)) if i not in cut]
-        for i, ids in zip(rest, self.whole([texts[i] for i in rest])):
-            out[i] = ids
+            self.met[:] = False
+        cut = [self.cut(t) for t in texts]
+        codes = [None if c is None else list(map(self.known.get, c)) for c in cut]
+        holes = [[] if k is None else list(compress(range(len(k)), map(not_, k))) for k in codes]
+        fresh = self.learn(list({c[j] for c, at in zip(cut, holes) for j in at}))
+        whole = iter(self.whole([t for t, c in zip(texts, cut) if c is None]))
+        out = []
+        for pieces, ids, at in zip(cut, codes, holes):
+            for j in at:
+                ids[j] = fresh[pieces[j]]
+            out.append(next(whole) if ids is None else b"".join(ids))
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(spec: str) -> Encoder:
+    """One encoder a Python worker, which keeps the words it knows from task to task."""
+    return Encoder(spec)
+
+
 def cut_points(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
     """Chunk ends of each document of a run of ids; document k is ``ids[bounds[k]:bounds[k + 1]]``."""
     x = (ids.astype(np.uint64) + np.uint64(1)) * MIX
@@ -150,17 +195,17 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, end_i
         held = spark.sparkContext.broadcast(f.read())  # its size is set by the vocabulary
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(held.value)
-        end, width, sent = np.array([end_id], encoder.dtype).tobytes(), encoder.dtype.itemsize, set()
+        own = encoder(held.value)
+        end, width, sent = np.array([end_id], own.dtype).tobytes(), own.dtype.itemsize, set()
         for batch in slices(batches, "text", 4 << 20):
-            runs = [ids + end for ids in encoder.encode(batch.column("text").to_pylist())]
+            runs = [ids + end for ids in own.encode(batch.column("text").to_pylist())]
             bounds = np.cumsum([0, *(len(r) // width for r in runs)])
             data = b"".join(runs)
-            ends = cut_points(np.frombuffer(data, encoder.dtype), bounds)
+            ends = cut_points(np.frombuffer(data, own.dtype), bounds)
             rows: list[tuple] = []
-            for doc, a, b, own in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), ends):
+            for doc, a, b, cuts in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), ends):
                 keys, at, sizes = [], a, []
-                for e in own:
+                for e in cuts:
                     body = data[at * width : e * width]
                     key = hashlib.sha256(body).digest()
                     if key not in sent:
@@ -177,16 +222,17 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, end_i
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["kind", "part", "key", "doc_id", "n_tokens", "body", "sizes"])
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        seen: set[bytes] = set()  # keys of one partition, whose size Spark bounds
         for batch in batches:
             keep = []
             for kind, key in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist()):
-                keep.append(kind == "recipe" or key != last)
-                last = key if kind == "chunk" else last
+                keep.append(kind == "recipe" or key not in seen)
+                if kind == "chunk":
+                    seen.add(key)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    journal = source.mapInArrow(encode, JOURNAL).repartition("part").sortWithinPartitions("kind", "key")
+    journal = source.mapInArrow(encode, JOURNAL).repartition("part")
     journal.mapInArrow(once, JOURNAL).drop("part").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/store")
     recipes = spark.read.schema(STORE).parquet(f"{path}/store").where("kind = 'recipe'")
     ordered = recipes.select("doc_id", F.col("key").alias("root"), "n_tokens", F.col("body").alias("keys"), "sizes")
