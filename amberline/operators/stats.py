@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amberline.functions.text import erfc
+from amberline.operators.staging import running
 
 
 def wilson(successes: Column, trials: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -43,6 +44,22 @@ def describe(df: DataFrame, column: str) -> DataFrame:
     return out.select("n", r(F.col("min"), "min"), r(F.get("q", F.lit(0)), "q25"), r(F.get("q", F.lit(1)), "median"), r(F.get("q", F.lit(2)), "q75"), r(F.col("max"), "max"), r(F.col("mean"), "mean"), r(F.col("std"), "std"))
 
 
+def ranked_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """``share, value``: exact quantiles, linear between ranks, by a distributed order of the distinct values.
+
+    ``percentile`` holds all distinct values of a column in one task; this holds none, at the price of a range shuffle.
+    """
+    values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running(values, [F.asc("v")], {"upto": F.col("n")})
+    total = ranked.agg(F.max("upto").alias("total"))
+    at = ranked.join(F.broadcast(total))  # one row
+    place = lambda q: (F.col("total") - 1) * F.lit(q)
+    ends = [x for i, q in enumerate(shares) for x in (F.min(F.when(F.col("upto") > F.floor(place(q)), F.col("v"))).alias(f"a{i}"), F.min(F.when(F.col("upto") > F.ceil(place(q)), F.col("v"))).alias(f"b{i}"))]
+    out = at.agg(F.max("total").alias("total"), *ends)
+    rows = [F.struct(F.lit(q).alias("share"), (F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * (place(q) - F.floor(place(q)))).alias("value")) for i, q in enumerate(shares)]
+    return out.select(F.inline(F.array(*rows)))
+
+
 def modes(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     """The k most frequent values, ties to the smaller value."""
     n = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))

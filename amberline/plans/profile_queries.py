@@ -149,6 +149,11 @@ def describe_amount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.describe(lines(spark, sf_dir).where("y = 1"), "amount")
 
 
+@query(f"""with {LINES} select unnest([0.01, 0.5, 0.99])::double as share, round(unnest([quantile_cont(amount, 0.01), quantile_cont(amount, 0.5), quantile_cont(amount, 0.99)]), 4) as value from lines""")
+def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.ranked_quantiles(lines(spark, sf_dir), "amount", [0.01, 0.5, 0.99]).select("share", F.round("value", 4).alias("value"))
+
+
 @query(f"with {LINES}, n as (select l_quantity as value, count(*) as n from lines group by 1) select value, n, round(n / (select count(*) from lines), 6) as share from n order by n desc, value limit 10")
 def mode_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.modes(lines(spark, sf_dir), "l_quantity", 10)

@@ -70,6 +70,12 @@ def test_near_constant_counts_nulls_and_may_be_empty(spark):
     assert profile.near_constant(df, ["b"]).collect() == []
 
 
+def test_ranked_quantiles(spark):
+    df = spark.createDataFrame([(float(v),) for v in (1, 2, 2, 3, 10)] + [(None,)], "v double")
+    got = {r["share"]: r["value"] for r in stats.ranked_quantiles(df, "v", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    assert got == {0.0: 1.0, 0.25: 2.0, 0.5: 2.0, 0.9: pytest.approx(7.2), 1.0: 10.0}
+
+
 def test_column_runs_and_groups():
     assert profile.column_run(["a", "b", "c", "d"], "b", "d", ("c",)) == ["b", "d"]
     with pytest.raises(ValueError):
