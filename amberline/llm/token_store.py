@@ -215,7 +215,7 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, end_i
                     sizes.append(e - at)
                     at = e
                 root = merkle(keys)
-                rows.append(("recipe", int.from_bytes(root[:4], "little", signed=True), root, doc, b - a, b"".join(keys), np.array(sizes, "<i4").tobytes()))
+                rows.append(("recipe", (doc or 0) & 0x7FFFFFFF, root, doc, b - a, b"".join(keys), np.array(sizes, "<i4").tobytes()))
             if len(sent) > SENT_KEYS:
                 sent.clear()
             types = [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
