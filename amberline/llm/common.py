@@ -13,12 +13,11 @@ from pyspark.sql import functions as F
 from amberline.operators.staging import shared_dir
 
 
-def stage(spark: SparkSession, df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a cut of the lineage that outlives executors."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    writer = df.write.mode("errorifexists")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not by else spark.read.parquet(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def purge(spark: SparkSession) -> None:
