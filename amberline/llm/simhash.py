@@ -13,6 +13,7 @@ chain tests and then to the full Hamming count.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm.common import connected_components, raw_bytes, slices, stage, text_or_empty
+from amberline.llm.common import connected_components, flat, raw_bytes, slices, stage, text_or_empty
 
 SEED = 42
 #: Base rows of a key beyond which its bucket is split into blocks.
@@ -234,173 +235,260 @@ def components(spark: SparkSession, docs: DataFrame, width: int = 4, max_bits: i
     return made.join(by_fp, "fp").select(*carry, "fp", "component_id")
 
 
-# Similarity groups: longer fingerprints, for texts whose distinct shingles overlap by a given share.
+# Similarity groups: texts whose sets of shingles have at least a given Jaccard similarity, found exactly.
 
 WORDS64 = 4
 BITS = 64 * WORDS64
-RINGS, SEGMENT = 6, 23
-PER_RING = BITS // SEGMENT
-
-
-def bit_budget(similarity: float) -> int:
-    """Expected differing bits of BITS at this Jaccard similarity J of shingle sets: their cosine is 2J / (1 + J)."""
-    return round(BITS * float(np.arccos(2 * similarity / (1 + similarity))) / np.pi)
-
-
-def wide_fingerprint(text: bytes, width: int) -> bytes:
-    """BITS majority bits over the distinct shingles; each hash is mixed anew for each 64 bits."""
-    h = np.unique(np.array(shingle_hashes(text, width), dtype=np.uint64))
-    out = []
-    for k in range(WORDS64):
-        x = (h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-        rows = (x ^ (x >> np.uint64(29))).view(np.uint8).reshape(-1, 8)
-        ones = np.zeros(64, np.int64)
-        for first in range(0, len(rows), 65536):
-            ones += np.unpackbits(rows[first : first + 65536], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(ones * 2 > len(rows), bitorder="little").tobytes())
-    return b"".join(out)
-
-
-def ring_bits() -> np.ndarray:
-    """Bit positions by ring, segment and place: each ring is a fixed shuffle of all bits."""
-    shuffle = np.random.default_rng(SEED)
-    return np.stack([shuffle.permutation(BITS)[: PER_RING * SEGMENT].reshape(PER_RING, SEGMENT) for _ in range(RINGS)])
-
-
-def _masks(bits: np.ndarray) -> np.ndarray:
-    """Masks (bit positions along the last axis) as WORDS64 numbers."""
-    flags = np.zeros((*bits.shape[:-1], BITS), np.uint8)
-    np.put_along_axis(flags, bits, 1, axis=-1)
-    return np.packbits(flags, axis=-1, bitorder="little").view(np.uint64)
-
-
-class Rings:
-    """Chain tests on several rings: from an equal segment on, l segments may differ in l / PER_RING of the budget."""
-
-    def __init__(self, max_bits: int, longest: int = 4):
-        self.max_bits, self.bits = max_bits, ring_bits()
-        self.cover = []
-        for length in range(2, longest + 1):
-            spans = np.stack([np.concatenate([np.roll(self.bits, -k, axis=1)[:, :, :] for k in range(length)], axis=2)])[0]
-            self.cover.append((length, _masks(spans).reshape(-1, WORDS64)))
-
-    def keys(self, fps: np.ndarray) -> np.ndarray:
-        """One key per ring and segment for each fingerprint: number of the segment, and its bits."""
-        flags = np.unpackbits(fps.view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little").astype(np.int64)
-        flat = self.bits.reshape(-1, SEGMENT)
-        values = np.stack([flags[:, b] @ (1 << np.arange(SEGMENT)) for b in flat], axis=1)
-        return values | (np.arange(len(flat)) << 32)
-
-    def close(self, segment: np.ndarray, diff: np.ndarray) -> np.ndarray:
-        ok = np.ones(len(diff), bool)
-        for length, cover in self.cover:
-            live = np.flatnonzero(ok)
-            over = np.bitwise_count(diff[live] & cover[segment[live]]).sum(axis=1) > length * self.max_bits / PER_RING
-            ok[live[over]] = False
+#: Rows that the order of shingles is taken from, and shingles that it ranks; neither changes a result.
+SAMPLE, RANKED = 16384, 1 << 16
+#: Rows of a bucket up to which all its pairs are candidates at once.
+SMALL = 8
+_BUCKET = "key long, block int, own boolean, node long, size long, place long, bits binary"
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, width), dtype=np.uint64))
+
+
+def _node(shingles: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
+
+
+def parity(shingles: np.ndarray) -> bytes:
+    """BITS bits, the parity of the count of shingles in each bin: two sets differ in no fewer shingles than bits."""
+    return np.packbits((np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
+class Jaccard:
+    """Tests of J >= p / q in whole numbers, on sets that are ordered by (times met in a sample, hash).
+
+    Two such sets meet in their first n - ceil(n p / q) + 1 shingles. At the first one that both
+    have, no more than the rest of either can follow, so what ``close`` refuses in every common
+    bucket is not similar.
+    """
+
+    def __init__(self, similarity: float):
+        share = Fraction(str(similarity))
+        if not 0 < share <= 1:
+            raise ValueError("similarity must be over 0 and at most 1")
+        self.p, self.q = share.numerator, share.denominator
+        self.hashes, self.times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def rank(self, hashes: np.ndarray, times: np.ndarray) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.times = hashes[order], times[order]
+
+    def prefix(self, shingles: np.ndarray) -> np.ndarray:
+        n = len(shingles)
+        if len(self.hashes) and n:
+            at = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
+            shingles = shingles[np.argsort(np.where(self.hashes[at] == shingles, self.times[at], 0), kind="stable")]
+        return shingles[: n + 1 + (-n * self.p // self.q)] if n else shingles
+
+    def enough(self, common: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether ``common`` shingles of two sets of together ``sizes`` give J >= p / q."""
+        return (self.p + self.q) * common >= self.p * sizes
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
+        if self.q * min(len(a), len(b)) < self.p * max(len(a), len(b)):
+            return False
+        return bool(self.enough(len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b)))
+
+    def close(self, size: np.ndarray, place: np.ndarray, bits: np.ndarray, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+        both = size[a] + size[b]
+        ok = self.enough(np.minimum(size[a] - place[a], size[b] - place[b]), both)
+        ok &= self.q * np.minimum(size[a], size[b]) >= self.p * np.maximum(size[a], size[b])
         live = np.flatnonzero(ok)
-        ok[live] = np.bitwise_count(diff[live]).sum(axis=1) <= self.max_bits
+        other = bits[b] if np.ndim(b) == 0 else bits[b[live]]
+        apart = np.bitwise_count(bits[a[live]] ^ other).sum(axis=1, dtype=np.int64)
+        ok[live] = self.enough((both[live] - apart) // 2, both[live])
         return ok
 
-    def bucket_links(self, keys: np.ndarray, node: np.ndarray, fps: np.ndarray, own: np.ndarray, small: int = 6) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Links under equal ``keys`` (sorted by key and node); a pair needs one row that the block owns.
-
-        Small buckets give their pairs. A larger one gives, for each set of rows that links connect in
-        it, a star around the least node, so that a group that meets under many keys gives few links.
-        """
-        head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        size = np.diff(np.r_[head, len(keys)])
-        segment = (keys >> 32) & 0xFFFF
-        out = []
-        room = np.repeat(np.where((size > 1) & (size <= small), head + size, 0), size)
-        live = np.flatnonzero(room)
-        for step in range(1, small):
-            live = live[live + step < room[live]]
-            if not len(live):
-                break
-            a = live[own[live] | own[live + step]]
-            ok = self.close(segment[a], fps[a] ^ fps[a + step])
-            out.append((node[a[ok]], node[a[ok] + step]))
-        for k in np.flatnonzero(size > small):
-            left = np.arange(head[k], head[k] + size[k])
-            while len(left):
-                first, queue, left = node[left[0]], [int(left[0])], left[1:]
-                while queue and len(left):
-                    at = queue.pop()
-                    hit = self.close(segment[left], fps[left] ^ fps[at]) & (own[left] | own[at])
-                    found, left = left[hit], left[~hit]
-                    out.append((np.full(len(found), first), node[found]))
-                    queue += found.tolist()
-        return out
+    def forest(self, own: np.ndarray, node: np.ndarray, *row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Close pairs that span all close pairs among these rows; a pair needs one row that the block owns."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        left = np.arange(len(node))
+        while len(left):
+            queue, left = [int(left[0])], left[1:]
+            for at in queue:
+                hit = self.close(*row, left, at) & (own[left] | own[at])
+                found, left = left[hit], left[~hit]
+                out.append((np.full(len(found), node[at]), node[found]))
+                queue += found.tolist()
+                if not len(left):
+                    break
+        return tuple(np.concatenate(x or [np.zeros(0, np.int64)]) for x in (zip(*out) if out else ([], [])))
+
+    def across(self, own: np.ndarray, node: np.ndarray, root: np.ndarray, *row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All close pairs of rows with different roots."""
+        for at in range(len(node) - 1):
+            later = np.arange(at + 1, len(node))
+            later = later[(root[later] != root[at]) & (own[later] | own[at])]
+            found = later[self.close(*row, later, at)] if len(later) else later
+            if len(found):
+                yield np.full(len(found), node[at]), node[found]
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Heads of buckets and columns ``names`` of whole buckets of more than one row; rows come sorted by key and block."""
+    held: list[list[np.ndarray]] = []
+
+    def whole(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+        cols = [np.concatenate(c) for c in zip(*parts)]
+        new = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
+        alone = new & np.r_[new[1:], True]
+        return np.flatnonzero(new[~alone]), [c[~alone] for c in cols]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = [flat(batch.column(c))[0].view(np.uint64).reshape(-1, WORDS64) if c == "bits" else batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if held and (held[-1][0][-1] != part[0][0] or held[-1][1][-1] != part[1][0]):
+            yield whole(held)
+            held = []
+        last = np.flatnonzero((part[0] != part[0][-1]) | (part[1] != part[1][-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:  # all but the last bucket are complete
+            yield whole([*held, [c[:cut] for c in part]])
+            held = []
+        held.append([c[cut:] for c in part])
+    if held:
+        yield whole(held)
 
 
 def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.8, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns, ``fp`` and ``root``: rows that chains of similar texts connect share a root.
+    """``carry`` columns and ``root``: rows that chains of similar texts connect share a root.
 
-    Two texts are similar if their fingerprints differ in at most the bits expected at
-    ``similarity``; candidates must agree on a whole segment of some ring and pass the chain tests.
-    Texts without words have one fingerprint and form one group.
+    Two texts are similar if the Jaccard similarity of their sets of shingles is at least
+    ``similarity``. Candidates meet under a shingle of their prefixes (see Jaccard), and each is
+    verified on both texts before it links. In a bucket of over SMALL rows only a forest of
+    candidates is verified first; a second round takes all its candidates that are still apart.
+    Texts without words form one group.
     """
     carry = carry or ["doc_id"]
-    rings = Rings(bit_budget(similarity))
+    test = Jaccard(similarity)
     source = docs.select(*carry, text_or_empty().alias("_text"))
-    schema = source.drop("_text").schema.add("fp", "binary")
+    schema = source.drop("_text").schema.add("node", "long")
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text", 4 << 20):
-            fp = pa.array([wide_fingerprint(t, width) for t in raw_bytes(batch.column("_text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], names=schema.names)
+            node = pa.array([_node(shingle_set(t, width)) for t in raw_bytes(batch.column("_text"))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], node], names=schema.names)
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for first in range(0, whole.num_rows, 2048):
-                batch = whole.slice(first, 2048)
-                fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS64)
-                made = rings.keys(fps)
-                rows = np.repeat(np.arange(len(made)), made.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(made.ravel()), batch.column("node").take(pa.array(rows)), batch.column("fp").take(pa.array(rows))], names=["key", "node", "fp"])
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+    def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text", 4 << 20):
+            node = pa.array([_node(shingle_set(t, width)) for t in raw_bytes(batch.column("_text"))], pa.int64())
+            yield pa.RecordBatch.from_arrays([node, batch.column("_text")], names=["node", "_text"])
 
-        def emit(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-            key, node, fps, own = (np.concatenate(c) for c in zip(*parts))
-            for a, b in rings.bucket_links(key, node, fps, own):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["src", "dst"])
+    def all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text", 1 << 20):
+            for t in raw_bytes(batch.column("_text")):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, width).view(np.int64))], names=["key"])
 
-        for batch in batches:
-            if not batch.num_rows:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "_text", 1 << 20):
+            made = []
+            for node, t in zip(batch.column("node").to_pylist(), raw_bytes(batch.column("_text"))):
+                own = shingle_set(t, width)
+                first = test.prefix(own)
+                k = len(first)
+                made.append((first.view(np.int64), np.full(k, node), np.full(k, len(own)), np.arange(k), parity(own) * k))
+            *numbers, bits = zip(*made)
+            numbers = [np.concatenate(x).astype(np.int64) for x in numbers]
+            n = len(numbers[0])
+            packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 8 * WORDS64 * n + 1, 8 * WORDS64, dtype=np.int32)), pa.py_buffer(b"".join(bits))])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), packed], names=["key", "node", "size", "place", "bits"])
+
+    columns = ["key", "block", "own", "node", "size", "place", "bits"]
+
+    def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates as (src, dst), and the rows of buckets of over SMALL rows with null there."""
+        schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("key", pa.int64()), ("block", pa.int32()), ("own", pa.bool_()), ("node", pa.int64()), ("size", pa.int64()), ("place", pa.int64()), ("bits", pa.binary())])
+        empty = lambda n, kinds: [pa.nulls(n, k) for k in kinds]
+        for head, (key, block, own, node, *row) in _buckets(batches, columns):
+            if not len(head):
                 continue
-            key = np.asarray(batch.column("key")) | (np.asarray(batch.column("block")).astype(np.int64) << 48)
-            fps = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(-1, WORDS64)
-            part = (key, np.asarray(batch.column("node")), fps, batch.column("own").to_numpy(zero_copy_only=False))
-            last = np.flatnonzero(key != key[-1])
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield from emit([*held, tuple(x[:cut] for x in part)])
-                held = []
-            elif held and held[-1][0][-1] != key[0]:
-                yield from emit(held)
-                held = []
-            held.append(tuple(x[cut:] for x in part))
-        if held:
-            yield from emit(held)
-
-    made = stage(spark, source.mapInArrow(prints, schema), "fingerprints")
-    nodes = made.select("fp").distinct().select(F.xxhash64("fp").alias("node"), "fp")
-    keyed = stage(spark, nodes.mapInArrow(keys, "key long, node long, fp binary"), "keys")
-    hot = stage(spark, keyed.groupBy("key").count().where(F.col("count") > HOT_KEY).select("key", F.ceil(F.col("count") / HOT_KEY).cast("int").alias("blocks")), "hotkeys")
+            size = np.diff(np.r_[head, len(key)])
+            room = np.repeat(np.where(size <= SMALL, head + size, 0), size)
+            live, src, dst = np.flatnonzero(room), [], []
+            for step in range(1, SMALL):
+                live = live[live + step < room[live]]
+                if not len(live):
+                    break
+                a = live[own[live] | own[live + step]]
+                ok = test.close(*row, a, a + step)
+                src.append(node[a[ok]])
+                dst.append(node[a[ok] + step])
+            large = np.flatnonzero(size > SMALL)
+            for k in large:
+                part = slice(head[k], head[k] + size[k])
+                a, b = test.forest(own[part], node[part], *(c[part] for c in row))
+                src.append(a)
+                dst.append(b)
+            if src and len(a := np.concatenate(src)):
+                b = np.concatenate(dst)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), *empty(len(a), schema.types[2:])], schema=schema)
+            if len(large):
+                at = np.concatenate([np.arange(head[k], head[k] + size[k]) for k in large])
+                bits = pa.array([x.tobytes() for x in row[2][at]], pa.binary())
+                yield pa.RecordBatch.from_arrays([*empty(len(at), schema.types[:2]), *(pa.array(c[at], t) for c, t in zip((key, block, own, node, *row[:2]), schema.types[2:8])), bits], schema=schema)
+
+    def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for head, (key, _, own, node, *row, root) in _buckets(batches, [*columns, "root"]):
+            for a, z in zip(head, np.r_[head[1:], len(key)].astype(np.int64)):
+                for x, y in test.across(own[a:z], node[a:z], root[a:z], *(c[a:z] for c in row)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["src", "dst"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets: dict[int, np.ndarray] = {}
+            keep = []
+            src, dst = batch.column("src").to_pylist(), batch.column("dst").to_pylist()
+            for k, pair in enumerate(zip(src, dst)):
+                for at, name in zip(pair, ("_a", "_b")):
+                    if at not in sets:
+                        if len(sets) > 256:
+                            sets.clear()
+                        sets[at] = shingle_set(batch.column(name)[k].as_buffer().to_pybytes(), width)
+                a, b = (sets[x] if x in sets else shingle_set(batch.column(n)[k].as_buffer().to_pybytes(), width) for x, n in zip(pair, ("_a", "_b")))
+                keep.append(test.similar(a, b))
+            yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    made = stage(spark, source.mapInArrow(named, schema), "nodes")
+    texts = stage(spark, source.select("_text").mapInArrow(with_text, "node long, _text string").groupBy("node").agg(F.any_value("_text").alias("_text")), "texts")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        needed = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        own = stage(spark, texts.join(needed, "node", "left_semi"), f"{name}-texts")
+        full = pairs.join(own.select(F.col("node").alias("src"), F.col("_text").alias("_a")), "src").join(own.select(F.col("node").alias("dst"), F.col("_text").alias("_b")), "dst")
+        return stage(spark, full.select("src", "dst", "_a", "_b").mapInArrow(verify, "src long, dst long"), name)
+
+    every = max(1, texts.count() // SAMPLE)
+    sample = texts.where(F.pmod("node", F.lit(every)) == 0)
+    often = sample.mapInArrow(all_shingles, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(RANKED).toArrow()
+    test.rank(np.array(often.column("key").to_numpy(), np.int64).view(np.uint64), np.array(often.column("count").to_numpy(), np.int64))
+    kind = "key long, node long, size long, place long, bits binary"
+    hot = sample.mapInArrow(keys, kind).groupBy("key").count().where(F.col("count") * every > HOT_KEY)
+    hot = stage(spark, hot.select("key", F.ceil(F.col("count") * every / HOT_KEY).cast("int").alias("blocks")), "hotkeys")
+    keyed = texts.mapInArrow(keys, kind)
     if hot.limit(1).count():
         spread = keyed.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        keyed = spread.select("key", "node", "fp", "block", (F.pmod("node", F.col("blocks")) == F.col("block")).alias("own"))
+        keyed = spread.withColumn("own", F.pmod("node", F.col("blocks")) == F.col("block"))
     else:
         keyed = keyed.withColumns({"block": F.lit(0), "own": F.lit(True)})
     # by node within a key: a dense group then has the same first row under each key, and the same links
-    found = keyed.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(link, "src long, dst long")
-    labels = connected_components(spark, found)
-    return made.withColumn("_node", F.xxhash64("fp")).join(labels, F.col("_node") == labels["node"], "left").select(*carry, "fp", F.coalesce("root", "_node").alias("root"))
+    met = keyed.select(*columns).repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(first_round, f"src long, dst long, {_BUCKET}")
+    met = stage(spark, met, "met")
+    pairs = stage(spark, met.where("src is not null").select("src", "dst").distinct(), "pairs")
+    edges = verified(pairs, "links")
+    labels = connected_components(spark, edges)
+    large = met.where("src is null").join(labels, "node", "left").select(*columns, F.coalesce("root", "node").alias("root"))
+    apart = large.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(second_round, "src long, dst long")
+    more = stage(spark, apart.distinct().join(pairs, ["src", "dst"], "left_anti"), "pairs")
+    if more.limit(1).count():
+        labels = connected_components(spark, edges.union(verified(more, "links")))
+    return made.join(labels, "node", "left").select(*carry, F.coalesce("root", "node").alias("root"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:

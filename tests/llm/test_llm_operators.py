@@ -218,6 +218,48 @@ def test_similar_groups(spark):
     assert not any(10 * k + 3 in kept for k in range(60)) and sum(10 * k + 1 in kept for k in range(60)) <= 2
 
 
+def test_similar_groups_are_exact(spark, monkeypatch):
+    rnd = random.Random(3)
+    rows, shared = [], [f"s{k}" for k in range(60)]
+    for k in range(60):
+        base = shared[: 60 * (k % 2)] + [f"w{rnd.randrange(10**6)}" for _ in range(240)]
+        for edits in (0, 2, 3, 5, 6, 7, 8, 9, 12):  # J of about 0.95 down to 0.6
+            near = list(base)
+            for at in rnd.sample(range(60, len(near)), edits):
+                near[at] = f"e{rnd.randrange(10**6)}"
+            rows.append((len(rows), " ".join(near)))
+    base = [f"b{k}" for k in range(80)]
+    for k in range(40):  # one group in which many pairs are just under and over 0.8
+        near = list(base)
+        for at in rnd.sample(range(80), 1 + k % 2):
+            near[at] = f"x{rnd.randrange(10**6)}"
+        rows.append((len(rows), " ".join(near)))
+    sets = [set(simhash.shingle_hashes(t.encode(), 5)) for _, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for similarity, hot in ((0.7, 4096), (0.8, 4096), (0.8, 10), (0.95, 4096)):
+        monkeypatch.setattr(simhash, "HOT_KEY", hot)
+        root = list(range(len(rows)))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for j in range(len(rows)):
+            for i in range(j):
+                common_ = len(sets[i] & sets[j])
+                if common_ >= similarity * (len(sets[i]) + len(sets[j]) - common_) - 1e-9:
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+        found = {}
+        for r in simhash.similar_groups(spark, docs, 5, similarity).collect():
+            found.setdefault(r["root"], set()).add(r["doc_id"])
+        expected = {}
+        for k in range(len(rows)):
+            expected.setdefault(find(k), set()).add(k)
+        assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values())), similarity
+
+
 def test_simhash_odd_rows(spark, odd):
     assert simhash.components(spark, odd).count() == len(ODD) and simhash.components(spark, empty(odd)).count() == 0
     kept = simhash.keep_first(spark, odd)
