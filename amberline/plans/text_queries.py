@@ -243,6 +243,13 @@ def classify_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.unionAll(said).select("origin", "a", "b", routing.asks_advice(F.col("question")).alias("advice"))
 
 
+@query()
+def classify_advice_every_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All user turns; DuckDB's patterns know ASCII only, so this has no SQL, and classify_advice leaves other turns out."""
+    said = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return said.select(F.col("conv_id").alias("a"), F.col("turn").alias("b"), routing.asks_advice(F.col("text")).alias("advice"))
+
+
 _ASKED_BM25 = _BM25.replace("q as (select item_id as query_id,", f"{_ASKED_SQL}, every_q as (select query_id::bigint as query_id, query as text, {_advice_sql('query')} as advice from asked union all select item_id + 100, text, {_advice_sql('text')} from benchmark), q as (select query_id,").replace("from benchmark),\n    qt", "from every_q where not advice),\n    qt")
 _ROUTED = f"""{_COVERAGE}, {_OVERLAP}, way as (select query_id, case when advice then 'refusal' when r.score is null or coalesce(overlap, 0) < 0.35 or coalesce(coverage, 0) < 0.5 or r.score < 1.0 then 'escalation' else 'answer' end as kind
     from every_q left join ov using (query_id) left join cov using (query_id) left join (select query_id, score from best where rank = 1) as r using (query_id))"""

@@ -237,3 +237,21 @@ def test_only_one_function_reads_the_test_rows():
     tree = ast.parse(Path(models.__file__).read_text())
     takers = [f.name for f in tree.body if isinstance(f, ast.FunctionDef) and "test" in [a.arg for a in f.args.args]]
     assert takers == ["fit_predict", "evaluate_once"]
+
+
+def test_every_user_turn_is_classified(spark, tmp_path):
+    import re
+
+    from amberline.operators import routing
+    from amberline.plans import catalogue
+
+    texts = [
+        "My daughter\u2019s rash \u2014 is it serious?", "\u00bfQu\u00e9 dosis? Which dose is right", "caf\u00e9 hours?", "the \u00e9dose of it", "dose\u00e9", "is it safe \u2013 really", "HOW LONG do people LIVE \u2026",
+        "we have a na\u00efve question", "we have pain \u2013 much", "will she get worse\u2026", "dosage\u00a0of it", "plain words", "my baby has a fever", "", None,
+    ]
+    rows = [(k, 0, "user", t) for k, t in enumerate(texts)] + [(99, 1, "assistant", "which dose \u2013")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r["a"]: r["advice"] for r in catalogue.QUERIES["classify_advice_every_turn"](spark, str(tmp_path)).collect()}
+    any_of = lambda patterns, t: any(re.search(p, t, re.IGNORECASE) for p in patterns)
+    asks = lambda t: any_of(routing.DIRECT, t) or (any_of(routing.PERSON, t) and any_of(routing.CLINICAL, t))
+    assert found == {k: asks(t or "") for k, t in enumerate(texts)}
