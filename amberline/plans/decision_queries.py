@@ -130,6 +130,15 @@ def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision.fold_summary(own)
 
 
+_ALL_FOLDS = "select 'm' || (k % 3) as model, (k // 3) % 5 as fold, p as score from scored"
+
+
+@query(f"with {SCORED}, f as ({_ALL_FOLDS}) select model, round(avg(score), 6) as mean_score, round(stddev_pop(score), 6) as sd_score, rank() over (order by avg(score) desc)::int as rank from f group by 1")
+def fold_summary_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = scored(spark, sf_dir).select(F.concat(F.lit("m"), (F.col("k") % 3).cast("string")).alias("model"), (F.floor(F.col("k") / 3) % 5).alias("fold"), F.col("p").alias("score"))
+    return decision.fold_summary(own)
+
+
 _SPLIT = f"""n as (select count(*) as n, ceil(0.2 * count(*))::bigint as total from scored), per as (select y, count(*) as c from scored group by 1),
     base as (select y, c, c * total // n as q, c * total % n as r, total from per, n), quota as (select y, q + (row_number() over (order by r desc, y) <= total - sum(q) over ())::int as q from base),
     ranked as (select k, y, row_number() over (partition by y order by md5('{SEED}:' || k), k) as rk from scored), split as (select k, ranked.y, case when rk <= q then 'test' else 'train' end as split from ranked join quota using (y))"""

@@ -255,3 +255,14 @@ def test_every_user_turn_is_classified(spark, tmp_path):
     any_of = lambda patterns, t: any(re.search(p, t, re.IGNORECASE) for p in patterns)
     asks = lambda t: any_of(routing.DIRECT, t) or (any_of(routing.PERSON, t) and any_of(routing.CLINICAL, t))
     assert found == {k: asks(t or "") for k, t in enumerate(texts)}
+
+
+def test_fold_summary_reads_all_orders(spark, sf):
+    from amberline.plans import catalogue, decision_queries
+
+    p = {}
+    for r in decision_queries.scored(spark, sf).select("k", "p").collect():
+        p.setdefault(f"m{r['k'] % 3}", []).append(r["p"])
+    assert sum(map(len, p.values())) > 30
+    found = {r["model"]: r["mean_score"] for r in catalogue.QUERIES["fold_summary_all_orders"](spark, sf).collect()}
+    assert found.keys() == p.keys() and all(abs(found[m] - sum(v) / len(v)) < 2e-6 for m, v in p.items())
