@@ -106,6 +106,13 @@ def best_points(scores: DataFrame) -> DataFrame:
     return mean.groupBy("model").agg(F.min_by(F.struct("params", "mean_score", "sd_score"), F.struct(-F.col("mean_score"), F.col("params"))).alias("b")).select("model", "b.*")
 
 
+def chosen(spark: SparkSession, specs: list[Spec], df: DataFrame, features: list[str], label: str, fold: str, folds: int) -> tuple[Spec, dict[str, Any]]:
+    """The learner and the grid point with the best mean score, ties to the first in ``specs``."""
+    best = {r["model"]: r for r in best_points(cross_validate(spark, specs, df, features, label, fold, folds)).collect()}  # one row a model
+    spec = max(specs, key=lambda s: best[s.name]["mean_score"])
+    return spec, next(p for p in spec.points() if str(sorted(p.items())) == best[spec.name]["params"])
+
+
 def ablation(spark: SparkSession, spec: Spec, params: dict[str, Any], df: DataFrame, base: list[str], extra: list[str], label: str, fold: str, folds: int) -> DataFrame:
     """The same parameters and folds with and without a block of features, and the difference."""
     fixed = Spec(spec.name, spec.scaled, {k: (v,) for k, v in params.items()})

@@ -240,13 +240,16 @@ def dummy_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_predict(SPECS[0], {}, df.where("k % 5 <> 0"), df.where("k % 5 = 0"), [], "y").select("k", F.round("p", 6).alias("p"))
 
 
+FOLDS = 5
+
+
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     own = d.join(labels, "doc_id").select(
         "doc_id", "quality", F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", r"\s+")).cast("double").alias("n_words"), (F.col("lang") == "en").cast("double").alias("english"),
-        (F.length(F.regexp_replace("text", r"[^#*$%&|<>]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("symbol_share"), F.lit(1.0).alias("amount"),
+        (F.length(F.regexp_replace("text", r"[^#*$%&|<>]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("symbol_share"), F.col("quality").cast("double").alias("amount"),
     )
-    split = features.stratified_split(own, "quality", "doc_id", 0.2, SEED).withColumn("fold", features.fold_column(F.col("doc_id"), 3, SEED))
+    split = features.stratified_split(own, "quality", "doc_id", 0.2, SEED).withColumn("fold", features.fold_column(F.col("doc_id"), FOLDS, SEED))
     return staged(split, "labelled")
 
 
@@ -257,8 +260,7 @@ _BASE, _EXTRA = ["n_chars", "n_words"], ["english", "symbol_share"]
 def cv_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     from amberline.operators import models
 
-    specs = [models.Spec("dummy"), models.Spec("logistic", True, {"C": (0.01, 1.0)}), models.Spec("random_forest", False, {"numTrees": (20,), "maxDepth": (5,)}), models.Spec("gradient_boosting", False, {"maxIter": (10,), "maxDepth": (3,)})]
-    return models.best_points(models.cross_validate(spark, specs, _labelled(spark, sf_dir).where("split = 'train'"), _BASE + _EXTRA, "quality", "fold", 3))
+    return models.best_points(models.cross_validate(spark, list(models.SPECS), _labelled(spark, sf_dir).where("split = 'train'"), _BASE + _EXTRA, "quality", "fold", FOLDS))
 
 
 @query("select model, count(*)::int as n_points from (values ('dummy'), ('logistic'), ('logistic'), ('logistic'), ('logistic'), ('logistic'), ('random_forest'), ('random_forest'), ('random_forest'), ('random_forest'), ('random_forest'), ('random_forest'), ('gradient_boosting'), ('gradient_boosting'), ('gradient_boosting'), ('gradient_boosting'), ('gradient_boosting'), ('gradient_boosting')) as t(model) group by 1")
@@ -272,7 +274,9 @@ def grid_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_block_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from amberline.operators import models
 
-    return models.ablation(spark, models.SPECS[1], {"C": 0.1}, _labelled(spark, sf_dir).where("split = 'train'"), _BASE, _EXTRA, "quality", "fold", 3)
+    train = _labelled(spark, sf_dir).where("split = 'train'")
+    spec, params = models.chosen(spark, list(models.SPECS), train, _BASE + _EXTRA, "quality", "fold", FOLDS)
+    return models.ablation(spark, spec, params, train, _BASE, _EXTRA, "quality", "fold", FOLDS)
 
 
 @query()
@@ -280,4 +284,9 @@ def holdout_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     from amberline.operators import models
 
     own = _labelled(spark, sf_dir)
-    return models.evaluate_once(models.SPECS[1], {"C": 0.1}, 0.5, own.where("split = 'train'"), own.where("split = 'test'"), _BASE + _EXTRA, "quality", "amount")
+    train = own.where("split = 'train'")
+    spec, params = models.chosen(spark, list(models.SPECS), train, _BASE + _EXTRA, "quality", "fold", FOLDS)
+    parts = staged(features.stratified_split(train.drop("split"), "quality", "doc_id", 0.15, SEED + 1, "validation", "fit"), "validation")
+    scores = models.fit_predict(spec, params, parts.where("split = 'fit'"), parts.where("split = 'validation'"), _BASE + _EXTRA, "quality")
+    threshold = decision.choose_threshold(scores, "quality", "amount", "p", "doc_id").first()["threshold"]
+    return models.evaluate_once(spec, params, threshold, train, own.where("split = 'test'"), _BASE + _EXTRA, "quality", "amount")
