@@ -47,6 +47,14 @@ def fold_column(key: Column, folds: int = 5, seed: int = 2026) -> Column:
     return F.pmod(F.conv(F.substring(portable_hash(key, seed), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
 
 
+def stratified_folds(df: DataFrame, target: str, key: str, folds: int = 5, seed: int = 2026, into: str = "fold") -> DataFrame:
+    """A fold per row; within each class, rows in hash order go to the folds in turn, so that counts differ by one at most."""
+    ranked = running(df.withColumn("_h", portable_hash(F.col(key), seed)), [F.asc(target), F.asc("_h"), F.asc(key)], {}, "_k")
+    first = ranked.groupBy(F.col(target).alias("_y")).agg(F.min("_k").alias("_first"))
+    own = ranked.join(F.broadcast(first), F.col(target).eqNullSafe(F.col("_y")))  # one row a class
+    return own.withColumn(into, F.pmod(F.col("_k") - F.col("_first"), F.lit(folds)).cast("int")).drop("_h", "_k", "_y", "_first")
+
+
 def feature_projection(df: DataFrame, target: str, forbidden: tuple[str, ...] = FORBIDDEN) -> DataFrame:
     if target not in df.columns:
         raise ValueError(f"no target column {target}")

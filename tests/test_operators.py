@@ -297,3 +297,16 @@ def test_comparison_searches_the_whole_grid(spark, sf, monkeypatch):
     fits.clear()
     catalogue.QUERIES["feature_block_ablation"](spark, sf).collect()
     assert fits[-10:] == [("logistic", "[('C', 10.0)]")] * 10
+
+
+def test_folds_are_stratified(spark, sf):
+    from amberline.plans import decision_queries
+
+    df = spark.createDataFrame([(k, int(k % 20 == 0)) for k in range(203)], "k long, y int")
+    made = [features.stratified_folds(d, "y", "k", 5, 7) for d in (df, df.repartition(3))]
+    assert sorted(map(tuple, made[0].collect())) == sorted(map(tuple, made[1].collect()))
+    for own, y in ((made[0], "y"), (decision_queries._labelled(spark, sf).where("split = 'train'"), "quality")):
+        n = {}
+        for r in own.groupBy(y, "fold").count().collect():
+            n.setdefault(r[y], []).append(r["count"])
+        assert all(len(c) == 5 and max(c) - min(c) <= 1 for c in n.values())
