@@ -31,7 +31,15 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
+def hidden(columns: list[str], name: str) -> str:
+    """A name for a column of our own that none of ``columns`` has, whatever their case."""
+    taken, name = {c.lower() for c in columns}, f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str | int, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one slice holds at most ``max_bytes`` of ``column`` (a longer row comes alone)."""
     for batch in batches:
         n = batch.num_rows

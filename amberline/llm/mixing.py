@@ -11,9 +11,11 @@ copy: rows are dealt by it and lie ordered by it.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
+from amberline.llm.common import hidden, stage
+
 PIECE = 64.0
 #: Terms of the distribution function that are added up for one piece: its mean plus 12 deviations and more.
 TERMS = 192
@@ -46,18 +48,18 @@ def copies(key: Column, rate: Column, seed: int) -> Column:
 
 
 def rates(docs: DataFrame, source: str, weights: dict[str, float] | None, power: float) -> DataFrame:
-    """``(_source, _rate)``. Without weights a source's target is its number of documents to ``power``;
+    """``(source, rate)``. Without weights a source's target is its number of documents to ``power``;
     with them, sources not named get none. The mix has as many documents, on average, as the input."""
-    n = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    n = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source")).agg(F.count(F.lit(1)).cast("double").alias("n"))
     if weights is None:
-        target = F.pow("_n", F.lit(float(power)))
+        target = F.pow("n", F.lit(float(power)))
     else:
         pairs = [x for k, w in sorted(weights.items()) for x in (F.lit(k), F.lit(float(w)))]
-        target = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("_source")), F.lit(0.0)) if pairs else F.lit(0.0)
-    wanted = n.withColumn("_w", target)
-    every = W.partitionBy(F.lit(0))  # one row a source: the sums over all of them
-    share = F.try_divide(F.col("_w") * F.sum("_n").over(every), F.sum("_w").over(every) * F.col("_n"))
-    return wanted.select("_source", F.coalesce(share, F.lit(0.0)).alias("_rate"))
+        target = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("source")), F.lit(0.0)) if pairs else F.lit(0.0)
+    wanted = stage(docs.sparkSession, n.withColumn("w", target), "sources")
+    every = wanted.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))  # one row
+    share = F.try_divide(F.col("w") * F.col("all_n"), F.col("all_w") * F.col("n"))
+    return wanted.join(F.broadcast(every)).select("source", F.coalesce(share, F.lit(0.0)).alias("rate"))
 
 
 def mixed(
@@ -66,19 +68,28 @@ def mixed(
 ) -> DataFrame:
     """Copies of the rows of ``docs``, in a global random order.
 
-    A null source is the empty source; a null key is hashed as its own value, so rows that share a
-    key (or have none) are repeated alike. An empty table gives no rows. With ``detail`` each copy
-    also has ``copy`` (from 0) and ``place``, the key of the order.
+    Rows that share a key are repeated alike. A row without a key draws by a hash of its values
+    instead, so such rows do not all draw alike; a null source is the empty source. Rows at one place
+    of the order (equal keys and copy numbers) follow a hash of their values; equal rows are
+    exchangeable. Texts are hashed whole, however long. Columns pass through, whatever their names;
+    an empty table gives no rows. With ``detail`` each copy also has ``copy`` (from 0) and ``place``,
+    the key of the order, which take the place of columns so named.
     """
-    table = rates(docs, source, weights, power)
+    names = {n: hidden(docs.columns, n) for n in ("source", "rate", "copy", "zero", "place", "row")}
+    col = {n: F.col(c) for n, c in names.items()}
+    table = rates(docs, source, weights, power).toDF(names["source"], names["rate"])
     few = table.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
-    name = F.coalesce(F.col(source).cast("string"), F.lit(""))
-    joined = docs.withColumn("_source", name).join(F.broadcast(table) if few else table, "_source", "left")
-    ident = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    n = copies(ident, F.coalesce("_rate", F.lit(0.0)), seed)
-    spread = joined.select("*", F.posexplode(F.array_repeat(F.lit(0), n)).alias("_copy", "_zero"))
-    place = F.md5(F.concat_ws(":", ident, F.col("_copy").cast("string"), F.lit(f"place{seed}")).cast("binary"))
-    out = spread.withColumn("_place", place).drop("_source", "_rate", "_zero").repartition("_place").sortWithinPartitions("_place")
+    plain = [f.name for f in docs.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in plain))
+    keyed = docs.withColumns({names["source"]: F.coalesce(F.col(source).cast("string"), F.lit("")), names["row"]: row})
+    joined = keyed.join(F.broadcast(table) if few else table, names["source"], "left")
+    ident = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), col["row"].cast("string")))
+    n = copies(ident, F.coalesce(col["rate"], F.lit(0.0)), seed)
+    spread = joined.select("*", F.posexplode(F.array_repeat(F.lit(0), n)).alias(names["copy"], names["zero"]))
+    place = F.md5(F.concat_ws(":", ident, col["copy"].cast("string"), F.lit(f"place{seed}")).cast("binary"))
+    out = spread.withColumn(names["place"], place)
+    out = out.repartition(names["place"], names["row"]).sortWithinPartitions(names["place"], names["row"])
     if detail:
-        return out.withColumnsRenamed({"_copy": "copy", "_place": "place"})
-    return out.drop("_copy", "_place")
+        kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("copy", "place")]
+        return out.select(*kept, col["copy"].alias("copy"), col["place"].alias("place"))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

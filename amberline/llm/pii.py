@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm.common import stage, text_or_empty
+from amberline.llm.common import hidden, stage, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone", "id"]
 # What the base patterns match. Runs are possessive and start at a run's first
@@ -271,13 +271,15 @@ def redacted(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in brackets; ``n_chars``, where there is one, follows.
 
     The first pass fits the labelers and the classifier to the candidates, the second rewrites
-    texts. Rows without spans stay as they are, null texts too. Overlapping spans become one, named
-    after the first.
+    texts. Rows without spans stay as they are, null texts too; long texts are searched whole.
+    Overlapping spans become one, named after the first. Rows are independent, so repeated rows agree.
+    Extra columns pass through, whatever their names; an empty table gives no rows.
     """
+    base, found_ = hidden(docs.columns, "base"), hidden(docs.columns, "spans")
     posterior, odds = train(stage(spark, spotted(docs, []).select("candidates"), "pii"))
     text = F.col("text")
-    based = docs.withColumn("_base", tagged(base_spans(text_or_empty())))
-    spans = F.concat("_base", plain(added(candidates(text_or_empty(), F.col("_base")), posterior, odds)))
+    based = docs.withColumn(base, tagged(base_spans(text_or_empty())))
+    spans = F.concat(base, plain(added(candidates(text_or_empty(), F.col(base)), posterior, odds)))
     by_start = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     names = F.array(*map(F.lit, KINDS))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -289,7 +291,7 @@ def redacted(spark: SparkSession, docs: DataFrame) -> DataFrame:
         )
 
     whole = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text)))
-    done = based.withColumn("_spans", by_start).withColumn("text", F.when(F.size("_spans") > 0, F.aggregate("_spans", start, cut, whole)).otherwise(text))
+    done = based.withColumn(found_, by_start).withColumn("text", F.when(F.size(found_) > 0, F.aggregate(found_, start, cut, whole)).otherwise(text))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.size(found_) > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)

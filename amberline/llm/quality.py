@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm.common import raw_bytes, slices, stage, text_or_empty
+from amberline.llm.common import hidden, raw_bytes, slices, stage, text_or_empty
 
 SYMBOLS = b"#*$%&|<>"
 BASE_WORDS, BASE_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -147,14 +147,14 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> dict[int
 
 def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
     """``carry`` columns, MEASURES and ``pattern`` of each row of ``docs``."""
-    source = docs.select(*carry, text_or_empty().alias("_text"))
-    schema = source.drop("_text").schema
+    source = docs.select(*carry, text_or_empty().alias(hidden(carry, "text")))
+    schema = docs.select(*carry).schema
     for name in [*MEASURES, "pattern"]:
         schema = schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 8 << 20):
-            values = np.array([measure(t) for t in raw_bytes(batch.column("_text"))], dtype=np.int64).reshape(-1, len(MEASURES))
+        for batch in slices(batches, -1, 8 << 20):
+            values = np.array([measure(t) for t in raw_bytes(batch.column(-1))], dtype=np.int64).reshape(-1, len(MEASURES))
             own = [pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(MEASURES))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own, pa.array(pattern_of(values))], names=[*carry, *MEASURES, "pattern"])
 
@@ -190,16 +190,17 @@ def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns as they are.
 
     Two passes over the texts: one counts vote patterns, the next measures again and filters, so
-    that no text is shuffled and rows need no key.
+    that no text is shuffled and rows need no key. Null and empty texts fail the base rule; equal
+    rows share their fate; columns pass through, whatever their names; an empty table gives no rows.
     """
     counts = measured(docs, []).select("pattern")
     table = {int(r[0]): float(r[1]) for r in posteriors(spark, counts).collect()}
     schema, columns = docs.schema, docs.columns
-    source = docs.withColumn("_amber_text", text_or_empty())
+    source = docs.withColumn(hidden(docs.columns, "text"), text_or_empty())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_amber_text", 8 << 20):
-            values = np.array([measure(t) for t in raw_bytes(batch.column("_amber_text"))], dtype=np.int64)
+        for batch in slices(batches, -1, 8 << 20):
+            values = np.array([measure(t) for t in raw_bytes(batch.column(-1))], dtype=np.int64)
             failed = (values[:, 0] < BASE_WORDS) | (100 * values[:, 4] > BASE_REPEAT_PERCENT * values[:, 0])
             good = np.array([table.get(int(p), 0.0) >= KEEP_AT for p in pattern_of(values)])
             keep = pa.array(~failed & good)

@@ -45,7 +45,7 @@ def op7_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copies of all documents, by source in proportion to the root of its size; texts as digests."""
-    mix = mixing.mixed(ship(spark), table(spark, sf_dir, "documents"), power=MIX_POWER, seed=MIX_SEED, detail=True)
+    mix = mixing.mixed(ship(spark), table(spark, sf_dir, "documents").select("doc_id", "source", "text"), power=MIX_POWER, seed=MIX_SEED, detail=True)
     return mix.select("doc_id", "source", F.col("copy").cast("int").alias("copy"), "place", F.md5(F.encode("text", "utf-8")).alias("text_md5"))
 
 
