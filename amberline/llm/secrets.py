@@ -1,11 +1,15 @@
 """Secret scan by assignment-aware lexing.
 
 Three base patterns are taken as they are. Beyond them a lexer reads source and configuration syntax
-(``name = "literal"``, ``"name": "literal"``, ``name => literal``, ``export NAME=literal``,
-``name := literal``, ``"a" + other``) into assignments of literals and of other names. What a name
-stands for is carried along: a literal counts for every name that it reaches through assignments. A
-literal is a secret if some name it reaches is sensitive and its own look (length, mixture,
-entropy, no placeholder) is that of a key.
+into name-literal pairs and assignments of names to names: ``name = "literal"``, ``"name": "literal"``,
+``name => literal``, ``--name=literal``, ``name := literal``, ``"a" + other``, ``target["name"] = "literal"``,
+``call("name", "literal")``, ``key="name" value="literal"``, ``name: name`` with ``value: literal`` on the next
+line, ``<name>literal</name>`` and block scalars (``name: |``). Quoted literals may hold escapes. What a
+name stands for is carried along: a literal counts for every name that it reaches through
+assignments. A literal is a secret if some name it reaches is sensitive and its own look (length,
+mixture, entropy, no placeholder) is that of a key, or of a passphrase where the name asks for one.
+
+All patterns advance without going back over what they have read, so time is linear in the text.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from amberline.llm.common import slices, text_or_empty
+from amberline.llm.common import hidden, slices, text_or_empty
 
 KINDS = ["assign", "access", "hex", "named"]
 # The base patterns.
@@ -38,10 +42,27 @@ WEIGHTS = {
 STEMS = ("passw", "pwd", "passphrase", "secret", "token", "credential", "key", "bearer", "auth")
 PLACEHOLDER = re.compile(r"(?i)example|changeme|placeholder|your[_-]|dummy|sample|^x+$|^\*+$|^(.)\1*$|^[<$%{].*[>}%]$")
 LEAST_SCORE, LEAST_LENGTH = 0.5, 8
-LITERAL = r"""(?:"(?P<dq>[^"\\\n]*)"|'(?P<sq>[^'\\\n]*)'|`(?P<bq>[^`\\\n]*)`|(?P<bare>[A-Za-z0-9+/_.~$-]+=*))"""
-PAIR = re.compile(r"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)(?P=quote)[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*""" + LITERAL)
-MORE = re.compile(r"[ \t]*[+.][ \t]*" + LITERAL)
-NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(?:\.[A-Za-z_][A-Za-z0-9_]*)*\Z")
+LITERAL = r"""(?:"(?P<dq>(?:[^"\\\n]|\\.)*+)"|'(?P<sq>(?:[^'\\\n]|\\.)*+)'|`(?P<bq>(?:[^`\\\n]|\\.)*+)`|(?P<bare>[A-Za-z0-9+/_.~$-]++=*+))"""
+WORD = r"(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)"
+GAP = r"[ \t]*+"
+OPERATOR = r"(?::=|=>|=(?!=)|:(?!:))"
+#: A name starts where a run of its characters starts, after dashes, dots and digits at most.
+PAIR = re.compile(rf"""(?P<quote>["']?)(?<![A-Za-z0-9_.-])[.0-9-]*+{WORD}(?P=quote){GAP}{OPERATOR}{GAP}{LITERAL}""")
+MORE = re.compile(rf"{GAP}[+.]{GAP}{LITERAL}")
+#: Other shapes, and what a text must hold to have one.
+SHAPES = [
+    ("[", re.compile(rf"""\[{GAP}(?P<quote>["']){WORD}(?P=quote){GAP}\]{GAP}(?::=|=>|=(?!=)){GAP}{LITERAL}""")),
+    ("(", re.compile(rf"""\({GAP}(?P<quote>["']){WORD}(?P=quote){GAP},{GAP}{LITERAL}""")),
+    ("value", re.compile(rf"""\b(?:name|key|id){GAP}={GAP}(?P<quote>["']){WORD}(?P=quote)[ \t]++value{GAP}={GAP}{LITERAL}""")),
+    ("value", re.compile(rf"""\bname:{GAP}(?P<quote>["']?){WORD}(?P=quote){GAP}\n{GAP}value:{GAP}{LITERAL}""")),
+    ("</", re.compile(rf"""<{WORD}(?:[ \t][^<>\n]*+)?>(?P<bare>[^<>\n]++)</(?P=name){GAP}>""")),
+    ("|", re.compile(rf"""(?m)^(?P<indent>{GAP}){WORD}{GAP}:{GAP}[|>][+-]?{GAP}\n(?P=indent)[ \t]++(?P<bare>[^\s][^\n]*+)""")),
+    (">", re.compile(rf"""(?m)^(?P<indent>{GAP}){WORD}{GAP}:{GAP}>[+-]?{GAP}\n(?P=indent)[ \t]++(?P<bare>[^\s][^\n]*+)""")),
+]
+NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*+(?:\.[A-Za-z_][A-Za-z0-9_]*+)*+\Z")
+#: Names whose literals may be several words, and words that show a message instead.
+PHRASED = ("passphrase", "password", "passwd", "pwd")
+MESSAGE = re.compile(r"(?i)\b(?:enter|please|your|must|forgot|invalid|wrong|the|a|is|are|not|for|of|to|new|old)\b")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 Span = tuple[str, int, int]
@@ -63,10 +84,12 @@ def sensitivity(name: str) -> float:
     return max([WEIGHTS.get(w, 0.0) for w in words] + [WEIGHTS.get(a + b, 0.0) for a, b in zip(words, words[1:])], default=0.0)
 
 
-def look(value: str) -> float:
-    """How much a literal looks like a key, from 0 to 1."""
+def look(value: str, phrase: bool = False) -> float:
+    """How much a literal looks like a key, from 0 to 1; with ``phrase`` it may also be four words or more."""
     n = len(value)
-    if n < LEAST_LENGTH or PLACEHOLDER.search(value) or " " in value:
+    if n < LEAST_LENGTH or PLACEHOLDER.search(value):
+        return 0.0
+    if " " in value and not (phrase and len(value.split()) >= 4 and not MESSAGE.search(value)):
         return 0.0
     kinds = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -75,25 +98,35 @@ def look(value: str) -> float:
 
 def lex(text: str) -> tuple[list[tuple[str, str, int, int]], list[tuple[str, str]]]:
     """Literals with the name each is assigned to, and assignments of a name to a name."""
-    literals, copies = [], []
+    literals: dict[tuple[str, int, int], str] = {}
+    copies = []
+
+    def keep(name: str, part: re.Match) -> None:
+        kind = next(k for k in ("dq", "sq", "bq", "bare") if part.groupdict().get(k) is not None)
+        value = part[kind].strip()
+        start = part.start(kind) + len(part[kind]) - len(part[kind].lstrip())
+        literals[name, start, start + len(value)] = value
+        if kind == "bare" and NAME.match(value.lstrip("$")):
+            copies.append((name, value.lstrip("$")))
+
     at = 0
     while m := PAIR.search(text, at):
-        name, part = m["name"], m
+        part = m
         while part:
-            quoted = next((k for k in ("dq", "sq", "bq") if part[k] is not None), None)
-            value = part[quoted or "bare"]
-            literals.append((name, value, *part.span(quoted or "bare")))
-            if quoted is None and NAME.match(value.lstrip("$")):
-                copies.append((name, value.lstrip("$")))
+            keep(m["name"], part)
             at = part.end()
             part = MORE.match(text, at)
-    return literals, copies
+    for mark, shape in SHAPES:
+        if mark in text:
+            for m in shape.finditer(text):
+                keep(m["name"], m)
+    return [(name, value, a, b) for (name, a, b), value in literals.items()], copies
 
 
 def named_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive name and look like a key."""
     low = text.lower()
-    if ("=" not in text and ":" not in text) or not any(s in low for s in STEMS):
+    if not any(c in text for c in "=:,<") or not any(s in low for s in STEMS):
         return []
     literals, copies = lex(text)
     weight = {name: sensitivity(name) for name in {x[0] for x in literals} | {y for c in copies for y in c}}
@@ -108,7 +141,9 @@ def named_spans(text: str) -> list[Span]:
                 if weight[source] < weight[start]:
                     weight[source] = weight[start]
                     stack.append(source)
-    return [("named", a, b) for name, value, a, b in literals if weight[name] * look(value) >= LEAST_SCORE]
+    phrased = {name for name in weight if any(w in name.lower() for w in PHRASED)}
+    found = {(a, b) for name, value, a, b in literals if weight[name] * look(value, name in phrased) >= LEAST_SCORE}
+    return [("named", a, b) for a, b in sorted(found)]
 
 
 def scan(text: str) -> tuple[list[Span], list[Span]]:
@@ -136,15 +171,15 @@ def scanned(spark: SparkSession, docs: DataFrame, carry: list[str] | None = None
     columns are ignored; an empty table gives no rows.
     """
     carry = carry or ["doc_id"]
-    source = docs.select(*carry, text_or_empty().alias("_text"))
-    schema = source.drop("_text").schema
+    source = docs.select(*carry, text_or_empty().alias(hidden(carry, "text")))
+    schema = docs.select(*carry).schema
     for name, kind in [("n_assign", "long"), ("n_access", "long"), ("n_hex", "long"), ("base_sha256", "string"), ("spans", "string")]:
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 8 << 20):
+        for batch in slices(batches, -1, 8 << 20):
             rows = []
-            for text in batch.column("_text").to_pylist():
+            for text in batch.column(-1).to_pylist():
                 base, spans = scan(text)
                 n = Counter(s[0] for s in base)
                 rows.append((n["assign"], n["access"], n["hex"], hashlib.sha256(show(base).encode()).hexdigest(), show(spans)))
