@@ -1,7 +1,7 @@
 """Nearest neighbours by vantage-point trees, one per shard of the vectors.
 
-A node holds a vantage point and the median distance to it; closer vectors go inside, the others
-outside. A search for many queries walks a tree once: at a node the queries still there are split
+A node holds a vantage point and the median distance to it; the nearer half goes inside, the other
+half outside (ties by place, so halves are even and depth is the logarithm of the rows). A search for many queries walks a tree once: at a node the queries still there are split
 into those for which the inside is nearer and those for which the outside is, each goes to its near
 side first, and to the far side only if |distance - median| <= factor * (distance of its k-th best
 so far). By the triangle inequality nothing is lost at factor 1; a smaller factor skips more.
@@ -40,16 +40,14 @@ class Tree:
 
     def _build(self, rows: np.ndarray) -> int:
         at = len(self.nodes)
-        if len(rows) > self.leaf:
-            vantage = self.vectors[rows[len(rows) // 2]]
-            d = distances(self.vectors[rows], vantage[None])[:, 0]
-            middle = float(np.median(d))
-            inner = d < middle
-            if inner.any():
-                self.nodes.append(())
-                self.nodes[at] = (vantage, middle, self._build(rows[inner]), self._build(rows[~inner]))
-                return at
-        self.nodes.append((rows,))  # few rows, or all at one distance
+        if len(rows) <= self.leaf:
+            self.nodes.append((rows,))
+            return at
+        vantage = self.vectors[rows[len(rows) // 2]]
+        d = distances(self.vectors[rows], vantage[None])[:, 0]
+        order, half = np.argsort(d, kind="stable"), len(rows) // 2
+        self.nodes.append(())
+        self.nodes[at] = (vantage, float(d[order[half]]), self._build(rows[np.sort(order[:half])]), self._build(rows[np.sort(order[half:])]))
         return at
 
     def search(self, own: np.ndarray, queries: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -71,11 +69,12 @@ class Tree:
                     self._leaf(rows[r : r + 4 * self.leaf], active[q : q + STEP])
             return
         vantage, middle, inner, outer = self.nodes[node]
-        gap = distances(self.queries[active], vantage[None])[:, 0] - middle
+        away = distances(self.queries[active], vantage[None])[:, 0]
+        gap = away - middle
         near_in = gap < 0
         self._visit(inner, active[near_in])
         self._visit(outer, active[~near_in])
-        far = np.abs(gap) <= self.factor * self.best[active, -1] * (1 + 1e-12)
+        far = np.abs(gap) <= self.factor * self.best[active, -1] + 1e-12 * (away + middle)  # what rounding may take
         self._visit(outer, active[near_in & far])
         self._visit(inner, active[~near_in & far])
 
