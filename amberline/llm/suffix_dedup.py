@@ -39,6 +39,8 @@ SLICE_BYTES = 2 << 20
 #: Text bytes of the input for each bucket; segments of a bucket hold about three times as much.
 BUCKET_BYTES = 4 << 20
 GROUP_BYTES = 12 << 20
+#: Partitions of the buckets at most; beyond, several buckets follow each other in one.
+PARTITIONS = 1 << 15
 #: Bytes of pieces hashed at once.
 BLOCK = 1 << 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -281,8 +283,8 @@ def recurring(h: np.ndarray) -> np.ndarray:
     return hit
 
 
-def reduce_bucket(data: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Removed spans (document, start, end) of the segments of one bucket."""
+def reduce_bucket(data: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, shift: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Removed spans (document, start, end) of the segments of one bucket. ``doc >> shift`` is a document's rank."""
     n = size - LENGTH + 1
     hit = recurring(string_hashes(data, size))
     begin = np.cumsum(n) - n
@@ -307,11 +309,11 @@ def reduce_bucket(data: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np
     holder = owner[doc_at[order]]
     least = np.minimum.reduceat(holder, np.flatnonzero(run)) if len(order) else holder
     removed = np.zeros(len(text), bool)
-    removed[order] = least[np.cumsum(run) - 1] < holder
-    # every segment: as its first, or wholly if its document is larger than the first's
+    removed[order] = least[np.cumsum(run) - 1] >> shift < holder >> shift
+    # every segment: as its first, or wholly if its document's rank is larger than the first's
     number = np.cumsum(lead) - 1
     head = (np.cumsum(size[lead]) - size[lead])[number[of]]
-    flags = removed[ranges(head, size - LENGTH + 1)] | np.repeat(doc > doc[of], size - LENGTH + 1)
+    flags = removed[ranges(head, size - LENGTH + 1)] | np.repeat(doc >> shift > doc[of] >> shift, size - LENGTH + 1)
     where = ranges(start, size - LENGTH + 1)
     who = np.repeat(doc, size - LENGTH + 1)
     where, who = where[flags], who[flags]
@@ -343,35 +345,48 @@ def deal(key: np.ndarray, n: int) -> np.ndarray:
     return (((key.astype(np.uint64) ^ (key.astype(np.uint64) >> np.uint64(32))) * M2) >> np.uint64(33)).astype(np.int64) % n
 
 
-def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``(doc_id, text)`` with ids that name one text each.
+def parts(number: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number that occurs, and its places in order."""
+    order = np.argsort(number, kind="stable")
+    own = number[order]
+    heads = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else own
+    for a, b in zip(heads, np.append(heads[1:], len(own))):
+        yield int(own[a]), order[a:b]
 
-    Where ids are unique and not null they stay. Otherwise documents are numbered by doc_id (null
-    last) and a hash of the text: equal rows are one document.
+
+def numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, int]:
+    """``(doc_id, text, key)``, keys naming one text each, and by how many bits to shift a key for its rank.
+
+    Where ids are unique and not null they are keys and ranks. Otherwise distinct pairs of doc_id
+    (null last) and hash of the text are numbered; a key holds the first number of its doc_id, which
+    is the rank, and in its last bits the number from there.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("key", F.col("doc_id"))
     odd = plain.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
     if not odd:
-        return plain
+        return plain, 0
     hashed = plain.withColumn("h", F.xxhash64("text"))
     ids = hashed.select("doc_id", "h").distinct().withColumn("last", F.col("doc_id").isNull())
     ids = stage(spark, ids.repartitionByRange("last", "doc_id", "h").sortWithinPartitions("last", "doc_id", "h").withColumn("part", F.spark_partition_id()), "ids")
     before = ids.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = before.select("part", F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a partition
     own = F.row_number().over(W.partitionBy("part").orderBy("last", "doc_id", "h"))
-    ids = ids.join(before, "part").select(F.col("doc_id").alias("i"), F.col("h").alias("g"), (F.col("before") + own).alias("number"))
+    ids = stage(spark, ids.join(before, "part").select(F.col("doc_id").alias("i"), F.col("h").alias("g"), (F.col("before") + own).alias("number")), "ids")
+    first = ids.groupBy(F.col("i").alias("j")).agg(F.min("number").alias("first"), F.count(F.lit(1)).alias("n"))
+    shift = int(first.agg(F.max("n")).first()[0]).bit_length()
+    ids = ids.join(first, F.col("i").eqNullSafe(F.col("j"))).select("i", "g", (F.shiftleft("first", shift) + F.col("number") - F.col("first")).alias("number"))
     on = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g"))
-    return hashed.join(ids, on).select("doc_id", "text", F.col("number").alias("key"))
+    return hashed.join(ids, on).select("doc_id", "text", F.col("number").alias("key")), shift
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, texts: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each row, and ``kept`` (the bytes left) if ``texts``.
 
-    Null texts are empty; texts under LENGTH bytes stay whole; rows with one doc_id and different
-    texts are ordered by a hash, and a null doc_id is larger than all others. Extra columns are not
-    read; an empty table gives no rows.
+    Null texts are empty; texts under LENGTH bytes stay whole. Rows with one doc_id are cut by rows
+    with a smaller one and not by each other; null counts as one doc_id, larger than all others.
+    Texts of any length are cut as a whole. Extra columns are not read; an empty table gives no rows.
     """
-    source = numbered(spark, docs)
+    source, shift = numbered(spark, docs)
     volume = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets, n_groups = max(1, -(-volume // BUCKET_BYTES)), max(1, -(-volume // GROUP_BYTES))
 
@@ -385,17 +400,13 @@ def deduplicated(spark: SparkSession, docs: DataFrame, texts: bool = False) -> D
             doc, at = ids[row], head - starts[row]
             data = gather(text, head, size)
             lead, of = distinct(data, size, doc)
-            copy = ~lead & (doc > doc[of])
+            copy = ~lead & (doc >> shift > doc[of] >> shift)
             out = []
             if copy.any():
                 spans = join_spans(doc[copy], at[copy], at[copy] + size[copy])
                 out.append((int(deal(ids[:1], n_buckets)[0]), None, pack(*(x.astype("<i8") for x in spans))))
-            bucket = np.where(copy, n_buckets, deal(low, n_buckets))
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-            for b in range(n_buckets):
-                own = order[cuts[b] : cuts[b + 1]]
-                if len(own):
+            for b, own in parts(np.where(copy, n_buckets, deal(low, n_buckets))):
+                if b < n_buckets:
                     blob = pack(gather(text, head[own], size[own]), *(np.diff(x[own], prepend=0).astype(t) for x, t in ((size, "<i2"), (doc, "<i8"), (at, "<i4"))))
                     out.append((b, blob, None))
             if out:
@@ -403,14 +414,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, texts: bool = False) -> D
 
     def dealt(spans: tuple[np.ndarray, ...]) -> pa.RecordBatch:
         doc, start, end = spans
-        group = deal(doc, n_groups)
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(n_groups + 1))
-        out = []
-        for g in range(n_groups):
-            own = order[cuts[g] : cuts[g + 1]]
-            if len(own):
-                out.append((g, pack(doc[own].astype("<i8"), start[own].astype("<i4"), end[own].astype("<i4"))))
+        out = [(g, pack(doc[own].astype("<i8"), start[own].astype("<i4"), end[own].astype("<i4"))) for g, own in parts(deal(doc, n_groups))]
         return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["group", "spans"])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -422,7 +426,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, texts: bool = False) -> D
             data = np.concatenate([p[0] for p in parts])
             size, doc, at = (np.concatenate([np.cumsum(p[k], dtype=np.int64) for p in parts]) for k in (1, 2, 3))
             parts.clear()
-            yield dealt(reduce_bucket(data, size, doc, at))
+            yield dealt(reduce_bucket(data, size, doc, at, shift))
 
         for batch in batches:
             for b, blob, spans in zip(*(batch.column(c).to_pylist() for c in ("bucket", "segments", "spans"))):
@@ -441,16 +445,11 @@ def deduplicated(spark: SparkSession, docs: DataFrame, texts: bool = False) -> D
             text, starts = flat(batch.column("text"))
             key = np.asarray(batch.column("key")).astype(np.int64)
             doc = batch.column("doc_id")
-            group = deal(key, n_groups)
-            order = np.argsort(group, kind="stable")
-            cuts = np.searchsorted(group[order], np.arange(n_groups + 1))
             out = []
             null, doc = np.asarray(doc.is_null()), np.asarray(doc.fill_null(0)).astype(np.int64)
-            for g in range(n_groups):
-                own = order[cuts[g] : cuts[g + 1]]
-                if len(own):
-                    size = np.diff(starts)[own]
-                    out.append((g, pack(gather(text, starts[own], size), size.astype("<i8"), key[own], doc[own], null[own].astype("u1"))))
+            for g, own in parts(deal(key, n_groups)):
+                size = np.diff(starts)[own]
+                out.append((g, pack(gather(text, starts[own], size), size.astype("<i8"), key[own], doc[own], null[own].astype("u1"))))
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], names=["group", "docs"])
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * texts
@@ -475,7 +474,7 @@ def deduplicated(spark: SparkSession, docs: DataFrame, texts: bool = False) -> D
         return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
 
     keyed = source.select("key", "text")
-    buckets = keyed.mapInArrow(route, "bucket int, segments binary, spans binary").repartition(int(n_buckets), "bucket").sortWithinPartitions("bucket")
+    buckets = keyed.mapInArrow(route, "bucket int, segments binary, spans binary").repartition(int(min(n_buckets, PARTITIONS)), "bucket").sortWithinPartitions("bucket")
     cuts = buckets.mapInArrow(reduce, "group int, spans binary")
     packs = source.select("key", "doc_id", "text").mapInArrow(packed, "group int, docs binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
