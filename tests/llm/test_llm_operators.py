@@ -148,6 +148,43 @@ def test_secrets_follow_constants():
     assert secrets.scan("a = b\nb = a\npassphrase = a\nb = 'Zx91!kkQw7'")[1]
 
 
+SHAPES = [
+    (r'db_password = "aB3$\"kk29xQzP"', r'aB3$\"kk29xQzP'), ('os.environ["SECRET_KEY"] = "aB3kk29xQzP7"', "aB3kk29xQzP7"), ('define("DB_PASSWORD", "aB3kk29xQzP7");', "aB3kk29xQzP7"),
+    ("<password>aB3kk29xQzP7</password>", "aB3kk29xQzP7"), ("signing_key: |\n  aB3kk29xQzP7\nother: 1", "aB3kk29xQzP7"), ("run --auth-token=aB3kk29xQzP7", "aB3kk29xQzP7"),
+    ('<add key="ApiSecret" value="aB3kk29xQzP7"/>', "aB3kk29xQzP7"), ("- name: DB_PASSWORD\n  value: aB3kk29xQzP7", "aB3kk29xQzP7"), ('passphrase = "correct horse battery staple"', "correct horse battery staple"),
+    ('passphrase = "Please enter your own words"', None), ('colour = "aB3kk29xQzP7"', None), ("<title>aB3kk29xQzP7</title>", None), ('password_hint = "example example"', None),
+]
+
+
+@pytest.mark.parametrize("text,value", SHAPES)
+def test_secret_shapes(text, value):
+    found = [text[a - 2 : b - 2] for _, a, b in secrets.scan("x\n" + text)[1]]
+    assert any(value in x for x in found) if value else not found
+
+
+def test_pairs_against_a_plain_scanner():
+    """The pattern of pairs finds what a search from every place finds, on texts without escapes or other shapes."""
+    plain = re.compile(r"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*)(?P=quote)[ \t]*(?::=|=>|=(?!=)|:(?!:))[ \t]*(?:"([^"\n]*)"|'([^'\n]*)'|([A-Za-z0-9+/_.~$-]+=*))""")
+    rnd = random.Random(12)
+    for _ in range(3000):
+        t = "".join(rnd.choice(["ab", "k_1", "=", ":", " ", '"', "'", "\n", "zz9", "\t", "=>", ":="]) for _ in range(rnd.randint(1, 14)))
+        at, want = 0, set()
+        while m := plain.search(t, at):
+            group = next(k for k in (3, 4, 5) if m[k] is not None)
+            want.add((m["name"], m[group].strip()))
+            at = m.end()
+        assert {(x[0], x[1]) for x in secrets.lex(t)[0]} == want, t
+
+
+def test_secret_scan_is_linear():
+    import time
+
+    for text in ("key: x " + "w" * 1_000_000, 'secret="' * 100_000, "password" + " " * 500_000 + "x", "a.b-" * 250_000 + "key=", '["' * 300_000 + "token=", "<key" * 200_000, "key:|\n " * 150_000, "token = a + " * 80_000):
+        began = time.process_time()
+        secrets.scan(text)
+        assert time.process_time() - began < 20, text[:20]
+
+
 # SimHash
 
 
@@ -252,7 +289,7 @@ def test_similar_groups_are_exact(spark, monkeypatch):
                     a, b = find(i), find(j)
                     root[max(a, b)] = min(a, b)
         found = {}
-        for r in simhash.similar_groups(spark, docs, 5, similarity).collect():
+        for r in simhash.similar_groups(spark, docs, ["doc_id"], 5, similarity).collect():
             found.setdefault(r["root"], set()).add(r["doc_id"])
         expected = {}
         for k in range(len(rows)):
@@ -316,6 +353,14 @@ def test_passages_odd_rows(spark, odd):
     assert all(len(r["kept"]) == r["n_bytes"] - r["n_removed"] for r in got)
 
 
+def test_rows_of_one_id_do_not_cut_each_other(spark):
+    a, b = "first passage that is surely longer than fifty bytes in all", "wholly different words, which also run over fifty bytes, as they must"
+    rows = [(5, f"x {a}"), (5, f"y {a}"), (3, b), (None, f"z {a}"), (None, f"w {a} {b}"), (None, "v " + "own words of a row without an id, over fifty bytes"), (None, "u " + "own words of a row without an id, over fifty bytes"), (7, a), (7, a)]
+    got = suffix_dedup.deduplicated(spark, spark.createDataFrame(rows, "doc_id long, text string"), texts=True).collect()
+    left = sorted((r["doc_id"] is None, r["doc_id"] or 0, bytes(r["kept"]).decode()) for r in got)
+    assert left == sorted([(False, 5, f"x {a}"), (False, 5, f"y {a}"), (False, 3, b), (True, 0, "z"), (True, 0, "w "), (True, 0, rows[5][1]), (True, 0, rows[6][1]), (False, 7, ""), (False, 7, "")])
+
+
 # token ids
 
 
@@ -339,14 +384,60 @@ def test_token_store_round_trip(spark, docs, texts, tmp_path):
     assert shards.agg(F.sum("n_ids")).first()[0] == start
 
 
-def test_token_store_notices_damage(spark, docs, tmp_path):
-    store = token_store.write(spark, docs.limit(20), public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/store")
-    bad = spark.read.parquet(f"{store}/store").withColumn("body", F.when(F.col("kind") == "chunk", F.concat("body", F.lit(b"\0\0"))).otherwise(F.col("body")))
-    bad.write.partitionBy("kind").parquet(f"{tmp_path}/bad/store")
-    for part in ("recipes", "manifest"):
-        spark.read.parquet(f"{store}/{part}").write.parquet(f"{tmp_path}/bad/{part}")
-    with pytest.raises(Exception, match="does not match its key"):
-        token_store.read(spark, f"file://{tmp_path}/bad").collect()
+@pytest.fixture(scope="module")
+def small_store(spark, docs, tmp_path_factory):
+    before, token_store.SHARD_DOCS = token_store.SHARD_DOCS, 8
+    yield token_store.write(spark, docs.where("doc_id < 30"), public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path_factory.mktemp('t')}/store")
+    token_store.SHARD_DOCS = before
+
+
+def damaged(spark, path, to, **changed):
+    """A copy of a store in which the named parts are changed."""
+    for part in ("store", "recipes", "manifest", "total"):
+        df = changed.get(part, lambda d: d)(spark.read.parquet(f"{path}/{part}"))
+        (df.write.partitionBy("kind") if part == "store" else df.write).parquet(f"{to}/{part}")
+    return f"file://{to}"
+
+
+def longest_recipe(spark, store):
+    return spark.read.parquet(f"{store}/recipes").orderBy(F.desc(F.length("keys")), "doc_id").first()
+
+
+DAMAGE = {
+    "changed chunk": ("does not match its key", "store", lambda d, r: d.withColumn("body", F.when(F.col("key") == F.lit(bytes(r["keys"][:32])), F.concat("body", F.lit(b"\0\0"))).otherwise(F.col("body")))),
+    "lost chunk": ("is not in the store", "store", lambda d, r: d.where((F.col("kind") == "recipe") | (F.col("key") != F.lit(bytes(r["keys"][:32]))))),
+    "lost recipe": ("do not match the manifest", "recipes", lambda d, r: d.where(F.col("doc_id") != r["doc_id"])),
+    "lost shard": ("do not match the manifest", "recipes", lambda d, r: d.where(F.col("shard") != r["shard"])),
+    "swapped chunks": ("does not match its root", "recipes", lambda d, r: d.withColumn("keys", F.when(F.col("doc_id") == r["doc_id"], F.concat(F.expr("substring(keys, 33, 32)"), F.expr("substring(keys, 1, 32)"), F.expr("substring(keys, 65)"))).otherwise(F.col("keys")))),
+    "lost line of the manifest": ("does not match its total", "manifest", lambda d, r: d.where(F.col("shard") != r["shard"])),
+    "changed start": ("do not match the manifest", "manifest", lambda d, r: d.withColumn("n_docs", F.col("n_docs") + F.when(F.col("shard") == r["shard"], 1).when(F.col("shard") == (r["shard"] + 1) % 2, -1).otherwise(0))),
+}
+
+
+@pytest.mark.parametrize("name", sorted(DAMAGE))
+def test_token_store_notices_damage(spark, small_store, tmp_path, name):
+    says, part, change = DAMAGE[name]
+    recipe = longest_recipe(spark, small_store)
+    assert len(recipe["keys"]) >= 64 and spark.read.parquet(f"{small_store}/manifest").count() >= 2
+    with pytest.raises(Exception, match=says):
+        token_store.read(spark, damaged(spark, small_store, tmp_path, **{part: lambda d: change(d, recipe)})).collect()
+
+
+def test_undamaged_store(spark, small_store, tmp_path):
+    assert token_store.read(spark, damaged(spark, small_store, tmp_path)).count() == spark.read.parquet(f"{small_store}/recipes").count() > 8
+
+
+def test_encoder_forgets_by_bytes(monkeypatch):
+    monkeypatch.setattr(token_store, "CACHE_BYTES", 2000)
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        own = token_store.Encoder(f.read())
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [f"alpha{k % 7} beta{k} gamma\n\u0558x\ua7cb delta" for k in range(200)]
+    for _ in range(3):
+        for first in range(0, 200, 40):
+            part = texts[first : first + 40]
+            assert [np.frombuffer(c, own.dtype).tolist() for c in own.encode(part)] == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
+            assert len(own.codes) == len(own.numbers) < 120
 
 
 def test_token_store_odd_rows(spark, odd):
@@ -385,10 +476,38 @@ def test_automaton_equals_the_library(codec, texts):
         assert (n, shown_ids, decoded) == (len(ids), " ".join(map(str, ids)), t.decode(ids, skip_special_tokens=False)), x
 
 
+def test_all_kinds_of_characters(codec):
+    """Letters and numbers are the library's, whatever Unicode version the other libraries have."""
+    import regex
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    points = [c for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and (c % 97 == 0 or bool(regex.match(r"\p{L}", chr(c))) != chr(c).isalpha())]
+    assert len(points) > 11_000
+    texts = [f"a{chr(c)}1 {chr(c)}# {chr(c)}" for c in points]
+    library = t.encode_batch(texts, add_special_tokens=False)
+    wrong = [hex(c) for c, e, (_, ids, _) in zip(points, library, codec.encode_all(texts)) if " ".join(map(str, e.ids)) != ids]
+    assert not wrong, wrong[:20]
+
+
+def test_long_words_walk_alike(codec, monkeypatch):
+    rnd = random.Random(9)
+    words = [bytes(rnd.choice(b"abcdeirnst\xc3\xa9") for _ in range(rnd.randint(1, 90))) for _ in range(300)]
+    at_once = codec.automaton.encode_all(words)
+    monkeypatch.setattr(bpe_automaton, "BLOCK", 7)
+    assert codec.automaton.encode_all(words) == at_once == [codec.automaton._long(w) for w in words]
+
+
+def test_codec_forgets_by_bytes(codec, monkeypatch):
+    monkeypatch.setattr(bpe_automaton, "CACHE_BYTES", 1000)
+    own = bpe_automaton.Codec(*bpe_automaton.load(public_tokenizers.path("word_bpe_49k.json")))
+    for k in range(50):
+        assert own.encode(f"some{k} words{k}, here") == codec.encode(f"some{k} words{k}, here") and len(own.known) < 8
+
+
 def test_small_automaton():
     vocab = {s: i for i, s in enumerate(["a", "b", "a</w>", "b</w>", "aa", "ab</w>", "aab</w>", "aa</w>"])}
     a = bpe_automaton.build(vocab, [("a", "a"), ("a", "b</w>"), ("a", "a</w>"), ("aa", "b</w>")])
-    spell = lambda w: [a.label[t] for t in a.encode(w)]
+    spell = lambda w: [a.label[t] for t in a.encode(w.encode())]
     assert spell("aaa") == ["aa", "a</w>"] and spell("aaaa") == ["aa", "aa</w>"] and spell("aaab") == ["aa", "ab</w>"] and spell("aab") == ["aab</w>"]
 
 
@@ -422,6 +541,13 @@ def test_mix_is_the_same_in_any_partitioning(spark, odd):
     assert mixing.mixed(spark, odd).columns == odd.columns
 
 
+def test_rows_without_a_key_draw_apart(spark):
+    docs = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"), F.lit("s").alias("source"))
+    n = {r["text"]: r["n"] for r in mixing.mixed(spark, docs).groupBy("text").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert abs(sum(n.values()) - 4000) < 300 and max(n.values()) > 2 and len(n) < 3000
+    assert mixing.mixed(spark, docs, detail=True).select("place").distinct().count() > 3500
+
+
 # nearest neighbours
 
 
@@ -443,6 +569,16 @@ def test_nearest_is_exact_at_factor_one(spark, monkeypatch):
     assert vptree.nearest(spark, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("x", [np.eye(1400), np.ones((5000, 3)), np.concatenate([np.eye(600), np.eye(600)])])
+def test_ties_and_equal_vectors(x):
+    tree = vptree.Tree(np.arange(len(x)), x, leaf=16)
+    own = np.arange(0, len(x), 200)
+    ids, d = tree.search(own, x[own], 5)
+    for q, found, away in zip(own, ids, d):
+        every = sorted((float(vptree.distances(x[q : q + 1], x[i : i + 1])[0, 0]), i) for i in range(len(x)) if i != q)[:5]
+        assert [(a, i) for a, i in zip(away.tolist(), found.tolist())] == every
+
+
 def test_relaxed_search_keeps_most_neighbours():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 8)) * 6
