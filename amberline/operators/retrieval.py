@@ -37,15 +37,19 @@ class Index:
 
 
 def build(chunks: DataFrame) -> Index:
+    """The text is cut into tokens once; lengths and facts come from the postings. No chunks are an error."""
     tokenized = chunks.select("ord", tokens(F.col("text")).alias("t"))
-    facts = tokenized.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("t").cast("double")).alias("avgdl"))
     counted = tokenized.select("ord", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "ord", "dl").agg(F.count(F.lit(1)).alias("tf"))
     postings = staged(counted, "postings")
+    n = chunks.count()
+    if not n:
+        raise ValueError("an index needs a chunk")
+    facts = staged(postings.agg(F.lit(n).cast("long").alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)).cast("double") / n).alias("avgdl")), "facts")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     raw = df.join(F.broadcast(facts)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row of facts
     mean = raw.agg(F.avg("raw").alias("mean"))
     terms = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
-    return Index(chunks, postings, terms, facts)
+    return Index(chunks, postings, staged(terms, "terms"), facts)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -67,7 +71,7 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     Where fewer than k chunks score above 0, chunks without a query term follow at score 0 in corpus
     order. A query needs at most the first k + m chunks for that, m being the chunks it matches.
     """
-    scored = matches(index, queries)
+    scored = staged(matches(index, queries), "scores")  # read three times
     asked = query_terms(queries).select("query_id").distinct()
     found = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("score") > 0).cast("long")).alias("above"))
     short = asked.join(found, "query_id", "left").where(F.coalesce("above", F.lit(0)) < k).select("query_id", F.coalesce("m", F.lit(0)).alias("m"))
