@@ -8,10 +8,13 @@ Files, all Parquet, under one folder:
   keys and lengths of its chunks in order, and the Merkle root over these keys.
 * ``manifest``: per shard its rows, its ids, the position of its first id, and the Merkle root over
   its recipes' roots.
+* ``total``: one row: the number of shards, documents and ids, and the Merkle root over the shards' roots.
 
 A chunk ends where a rolling hash of the last ids says so, so equal passages give equal chunks
-wherever they stand. Reading back checks each chunk against its key, each recipe against its root,
-and joins the chunks' checksums by the linearity of crc32, so chunk bodies are never shuffled twice.
+wherever they stand. Reading back verifies the reconstruction from the top down and raises at the
+first fault: the manifest against ``total``, each shard's rows, ids and root against the manifest,
+each recipe against its root, each chunk against its key; a recipe whose chunk is not there raises
+too. The chunks' checksums are joined by the linearity of crc32, so bodies are never shuffled twice.
 """
 
 from __future__ import annotations
@@ -22,14 +25,12 @@ import json
 import os
 import uuid
 import zlib
-from array import array
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, compress
-from operator import not_
+from itertools import accumulate, chain, count, islice
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,13 +39,16 @@ from amberline.llm.bpe_automaton import byte_symbols
 from amberline.llm.common import shared_dir, slices, text_or_empty
 
 LEAST, MEAN_BITS, MOST, ROLL = 128, 9, 4096, 8
-CACHE_WORDS = 600_000
+#: Words, their codes and the objects around them that a Python worker holds; beyond this it starts afresh.
+CACHE_BYTES, ENTRY_BYTES = 160 << 20, 220
+#: Documents in a shard.
+SHARD_DOCS = 1 << 15
 #: Keys that a writer remembers as already sent; beyond this it starts afresh and repeats are dropped later.
 SENT_KEYS = 200_000
-#: Fixed value: how the byte-level pre-tokenizer cuts a text into words.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: What shows, in an ASCII text, that blanks are not all single spaces and single line ends.
 ODD_BLANKS = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
+#: Marks that are neither letters, numbers, blanks nor part of a contraction, and the end of the Latin letters.
+MARKS, LATIN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "\u0250"
 #: New words encoded in one call.
 JOINED = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -70,45 +74,58 @@ class Encoder:
         self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not read.get("normalizer")
         self.special = [t["content"] for t in read["added_tokens"]]
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-        self.met = np.zeros(1 << 22, bool)
+        self.forget()
         self.begins = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         space = byte_symbols()[0x20]
         self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(space)]] = True
-        self.words, self.symbols = regex.compile(WORD), dict(enumerate(byte_symbols()))
+
+    def forget(self) -> None:
+        #: A word that is looked up for the first time takes the next number; ``codes`` holds the ids by number.
+        self.numbers: defaultdict[str, int] = defaultdict(count().__next__)
+        self.codes: list[bytes] = []
+        self.held = 0
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in got]
-
-    def piece(self, piece: str) -> bytes:
-        """One word with the blank before it: cut as the pre-tokenizer cuts it, then the library's merges."""
-        ids: list[int] = []
-        for word in self.words.findall(piece):
-            spelled = word.encode().decode("latin-1").translate(self.symbols)
-            ids += [t.id for t in self.tokenizer.model.tokenize(spelled)]
-        return array(self.dtype.char, ids).tobytes()
-
-    def learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Codes of words not known. Those after a space are joined and encoded in one call: a token that
-        begins with the space's symbol begins a word. Words met before are known from now on; a table
-        of bits stands for the others, most of which never come again."""
-        spaced = [p for p in missing if p[0] not in "\r\n"]
-        fresh = {p: self.piece(p[1:] if p[0] == "\r" else p) for p in missing if p[0] in "\r\n"}
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        data = np.array(list(chain.from_iterable(got)), dtype=self.dtype).tobytes()
+        ends = list(accumulate([len(x) * self.dtype.itemsize for x in got], initial=0))
+        return [data[x:y] for x, y in zip(ends, ends[1:])]
+
+    def learn(self, new: list[str]) -> list[bytes]:
+        """Codes of unknown words. Marks at the end of a word are a word of their own to the
+        pre-tokenizer, so the part before them is looked up or encoded apart."""
+        known, codes = self.numbers.get, self.codes
+        cores, apart = {}, {}
+        for p in new:
+            if p[-1:] in MARKS:
+                core = p.rstrip(MARKS)
+                if core[-1:].isalnum() and core[-1] < LATIN:
+                    cores[p] = core
+                    number = known(core, len(codes))
+                    if number < len(codes):
+                        apart[core] = codes[number]
+        words = {p for p in new if p not in cores}
+        words.update(cores.values())
+        fresh = self.encoded(list(words.difference(apart))) | apart
+        tails = {p[len(c) :] for p, c in cores.items()}
+        marks = dict(zip(tails, self.whole(list(tails))))
+        fresh.update([(p, fresh[c] + marks[p[len(c) :]]) for p, c in cores.items()])
+        return [fresh[p] for p in new]
+
+    def encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Words after a space are joined and encoded in one call: a token that begins with the space's symbol begins a word."""
+        spaced = [p for p in words if p[:1] not in ("\r", "\n")]
+        others = [p for p in words if p[:1] in ("\r", "\n")]
+        fresh = dict(zip(others, self.whole([p.removeprefix("\r") for p in others])))
         runs = [" " + " ".join(spaced[i : i + JOINED]) for i in range(0, len(spaced), JOINED)]
         for i in range(0, len(runs), 256):
             got = self.tokenizer.encode_batch_fast(runs[i : i + 256], add_special_tokens=False)
             ids = np.array(list(chain.from_iterable([e.ids for e in got])), dtype=self.dtype)
             edges = (np.append(np.flatnonzero(self.begins[ids]), len(ids)) * self.dtype.itemsize).tolist()
-            data, words = ids.tobytes(), spaced[i * JOINED : (i + 256) * JOINED]
-            if len(edges) != len(words) + 1:
+            data, part = ids.tobytes(), spaced[i * JOINED : (i + 256) * JOINED]
+            if len(edges) != len(part) + 1:
                 raise ValueError("the tokenizer did not begin a token at each word")
-            fresh.update(zip(words, [data[x:y] for x, y in zip(edges, edges[1:])]))
-        if fresh:
-            place = np.fromiter(map(hash, fresh), np.int64, len(fresh)) & (len(self.met) - 1)
-            again = self.met[place]
-            self.met[place] = True
-            self.known.update(compress(fresh.items(), again.tolist()))
+            fresh.update(zip(part, [data[x:y] for x, y in zip(edges, edges[1:])]))
         return fresh
 
     def cut(self, text: str) -> list[str] | None:
@@ -126,20 +143,19 @@ class Encoder:
         return pieces
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-            self.met[:] = False
+        if self.held > CACHE_BYTES:
+            self.forget()
         cut = [self.cut(t) for t in texts]
-        codes = [None if c is None else list(map(self.known.get, c)) for c in cut]
-        holes = [[] if k is None else list(compress(range(len(k)), map(not_, k))) for k in codes]
-        fresh = self.learn(list({c[j] for c, at in zip(cut, holes) for j in at}))
+        try:
+            at = [None if c is None else list(map(self.numbers.__getitem__, c)) for c in cut]
+            new = list(islice(reversed(self.numbers), len(self.numbers) - len(self.codes)))[::-1]
+            self.codes += self.learn(new)
+        except BaseException:
+            self.forget()  # no number without its code
+            raise
+        self.held += sum(map(len, new)) + ENTRY_BYTES * len(new)
         whole = iter(self.whole([t for t, c in zip(texts, cut) if c is None]))
-        out = []
-        for pieces, ids, at in zip(cut, codes, holes):
-            for j in at:
-                ids[j] = fresh[pieces[j]]
-            out.append(next(whole) if ids is None else b"".join(ids))
-        return out
+        return [next(whole) if a is None else b"".join(map(self.codes.__getitem__, a)) for a in at]
 
 
 @functools.lru_cache(maxsize=1)
@@ -197,6 +213,7 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, end_i
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(held.value)
         end, width, sent = np.array([end_id], own.dtype).tobytes(), own.dtype.itemsize, set()
+        number = 0  # deals recipes, so that neither copies nor rows of one doc_id gather
         for batch in slices(batches, "text", 4 << 20):
             runs = [ids + end for ids in own.encode(batch.column("text").to_pylist())]
             bounds = np.cumsum([0, *(len(r) // width for r in runs)])
@@ -214,8 +231,8 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, end_i
                     keys.append(key)
                     sizes.append(e - at)
                     at = e
-                root = merkle(keys)
-                rows.append(("recipe", (doc or 0) & 0x7FFFFFFF, root, doc, b - a, b"".join(keys), np.array(sizes, "<i4").tobytes()))
+                root, number = merkle(keys), number + 1
+                rows.append(("recipe", (zlib.crc32(root) + number) & 0x7FFFFFFF, root, doc, b - a, b"".join(keys), np.array(sizes, "<i4").tobytes()))
             if len(sent) > SENT_KEYS:
                 sent.clear()
             types = [pa.string(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
@@ -236,17 +253,32 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, end_i
     journal.mapInArrow(once, JOURNAL).drop("part").write.partitionBy("kind").option("compression", "zstd").parquet(f"{path}/store")
     recipes = spark.read.schema(STORE).parquet(f"{path}/store").where("kind = 'recipe'")
     ordered = recipes.select("doc_id", F.col("key").alias("root"), "n_tokens", F.col("body").alias("keys"), "sizes")
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root")
+    shards = max(1, -(-recipes.count() // SHARD_DOCS))
+    ordered = ordered.repartitionByRange(shards, "doc_id", "root").sortWithinPartitions("doc_id", "root")  # the root also parts rows of one doc_id
     ordered.withColumn("shard", F.spark_partition_id()).write.parquet(f"{path}/recipes")
     rows = spark.read.schema(RECIPE).parquet(f"{path}/recipes")
-    shards = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_ids"))
-    # one row per written file: a window over all of them is small whatever the corpus
+    facts = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_ids"))
+    # one row a shard: a window over all of them is small whatever the corpus
     first = F.coalesce(F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     roots = rows.repartition("shard").sortWithinPartitions("shard", "doc_id", "root").select("shard", "root").mapInArrow(_shard_roots, "shard int, root binary")
-    shards.withColumn("first", first).join(roots, "shard").write.parquet(f"{path}/manifest")
+    facts.withColumn("first", first).join(roots, "shard").write.parquet(f"{path}/manifest")
+    totals(spark, path).write.parquet(f"{path}/total")
     return path
 
 
+def totals(spark: SparkSession, path: str) -> DataFrame:
+    """One row over the manifest: ``n_shards``, ``n_docs``, ``n_ids``, ``root``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("n_docs", "n_ids", "root")))]
+        yield pa.RecordBatch.from_pydict({"n_shards": [len(rows)], "n_docs": [sum(r[0] for r in rows)], "n_ids": [sum(r[1] for r in rows)], "root": [merkle([r[2] for r in rows])]})
+
+    shards = spark.read.schema(MANIFEST).parquet(f"{path}/manifest")
+    return shards.repartition(1).sortWithinPartitions("shard").mapInArrow(run, TOTAL)  # one row a shard
+
+
+MANIFEST = "shard int, n_docs long, n_ids long, first long, root binary"
+TOTAL = "n_shards long, n_docs long, n_ids long, root binary"
 STORE = "key binary, doc_id long, n_tokens long, body binary, sizes binary, kind string"
 RECIPE = "doc_id long, root binary, n_tokens long, keys binary, sizes binary, shard int"
 
@@ -305,8 +337,15 @@ def crc_before(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 
 def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` of each document, from the files alone."""
+    """``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` of each document, from the files alone.
+
+    Raises if the store is not whole (see above). An empty store gives no rows.
+    """
     dtype = np.dtype(f"<u{width}")
+    nothing = (0, 0, 0, merkle([]))
+    listed = spark.read.schema(TOTAL).parquet(f"{path}/total").first() or nothing
+    if tuple(listed) != tuple(totals(spark, path).first() or nothing):
+        raise ValueError("the manifest does not match its total")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,33 +357,53 @@ def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(b) // width for b in bodies], pa.int64()), pa.array(crc, pa.int64())], names=["key", "size", "crc"])
 
     def refs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks of the documents of whole shards, each led by its line of the manifest."""
+        shard, wanted, at, roots = None, None, 0, []
+        names = ["shard", "doc_id", "n_tokens", "root", "keys", "sizes", "n_docs", "first"]
+
+        def close() -> None:
+            if wanted is not None and (len(roots), at - wanted[2], merkle(roots)) != (wanted[0], wanted[1], wanted[3]):
+                raise ValueError(f"the recipes of shard {shard} do not match the manifest")
+
         for batch in batches:
             out: list[tuple] = []
-            names = ["doc_id", "start", "n_tokens", "root", "keys", "sizes"]
-            for doc, start, n, root, keys, sizes in zip(*(batch.column(c).to_pylist() for c in names)):
+            for s, doc, n, root, keys, sizes, n_docs, first in zip(*(batch.column(c).to_pylist() for c in names)):
+                if n_docs is not None:
+                    close()
+                    shard, wanted, at, roots = s, (n_docs, n, first, root), first, []
+                    continue
+                if s != shard:
+                    raise ValueError(f"shard {s} is not in the manifest")
                 own = [keys[i : i + 32] for i in range(0, len(keys), 32)]
                 if merkle(own) != root:
                     raise ValueError(f"recipe of document {doc} does not match its root")
                 after = n - np.cumsum(np.frombuffer(sizes, "<i4").astype(np.int64))
-                out += [(doc, start, n, k, a) for k, a in zip(own, after.tolist())]
+                out += [(doc, at, n, k, a) for k, a in zip(own, after.tolist())]
+                at += n
+                roots.append(root)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["doc_id", "start", "n_tokens", "key", "after"])
+        close()
 
     def shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if batch.column("crc").null_count:
+                lost = next(k for k, c in zip(batch.column("key").to_pylist(), batch.column("crc").to_pylist()) if c is None)
+                raise ValueError(f"chunk {lost.hex()} is not in the store")
             crc = crc_before(np.asarray(batch.column("crc")).astype(np.uint32), np.asarray(batch.column("after")) * 4)
             kept = [batch.column(c) for c in ("doc_id", "start", "n_tokens", "size")]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(crc.astype(np.int64))], names=["doc_id", "start", "n_tokens", "size", "part"])
 
     chunks = spark.read.schema(STORE).parquet(f"{path}/store").where("kind = 'chunk'").select("key", "body").mapInArrow(sums, "key binary, size long, crc long")
-    rows = spark.read.schema(RECIPE).parquet(f"{path}/recipes")
-    firsts = spark.read.schema("shard int, n_docs long, n_ids long, first long, root binary").parquet(f"{path}/manifest").select("shard", "first")
-    before = F.coalesce(F.sum("n_tokens").over(W.partitionBy("shard").orderBy("doc_id", "root").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = rows.withColumn("before", before).join(F.broadcast(firsts), "shard")  # one row per written file
-    placed = placed.select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "root", "keys", "sizes")
-    parts = placed.mapInArrow(refs, "doc_id long, start long, n_tokens long, key binary, after long").join(chunks, "key")
-    parts = parts.mapInArrow(shifted, "doc_id long, start long, n_tokens long, size long, part long")
+    null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rows = spark.read.schema(RECIPE).parquet(f"{path}/recipes").select("shard", "doc_id", "n_tokens", "root", "keys", "sizes", null("long", "n_docs"), null("long", "first"))
+    heads = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").select("shard", null("long", "doc_id"), F.col("n_ids").alias("n_tokens"), "root", null("binary", "keys"), null("binary", "sizes"), "n_docs", "first")
+    # a shard's head comes before its recipes, which come in the order in which they were numbered
+    shards = rows.unionByName(heads).repartition("shard").sortWithinPartitions("shard", F.desc_nulls_last("n_docs"), "doc_id", "root")
+    # each chunk is met under one row of its key and sum; a chunk that many documents share is spread by AQE's skew join
+    parts = shards.mapInArrow(refs, "doc_id long, start long, n_tokens long, key binary, after long").join(chunks, "key", "left")
+    parts = parts.select("doc_id", "start", "n_tokens", "key", "after", "size", "crc").mapInArrow(shifted, "doc_id long, start long, n_tokens long, size long, part long")
     # every document holds its end id, so its start is its own
     whole = parts.groupBy("start", "doc_id", "n_tokens").agg(F.sum("size").alias("size"), F.bit_xor("part").alias("ids_crc32"))
     checked = F.when(F.col("size") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a recipe lacks chunks")).cast("long"))
