@@ -15,16 +15,25 @@ from amberline.operators.staging import shared_dir
 
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a cut of the lineage that outlives executors."""
+    return stage_at(spark, df, name)[0]
+
+
+def stage_at(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same, with the path, for ``drop`` once nothing reads it any more."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def purge(spark: SparkSession) -> None:
     """Delete every table this application staged. Call it after the last result has been written."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    drop(spark, shared_dir(spark))
 
 
 def text_or_empty(name: str = "text") -> Column:
@@ -72,9 +81,9 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: each rewires neighbourhoods to their least
     member, so depth shrinks geometrically and no task sees more than one node's aggregate.
-    Rounds end when a round leaves the edge set as it was.
+    Rounds end when a round leaves the edge set as it was. Each deletes the edges it has read.
     """
-    current = stage(
+    current, path = stage_at(
         spark,
         edges.where(F.col("src") != F.col("dst"))
         .select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
@@ -95,7 +104,9 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
             .union(low)
             .distinct()
         )
-        current = stage(spark, small, "edges")
+        before = path
+        current, path = stage_at(spark, small, "edges")
+        drop(spark, before)
         state = current.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))
         ).first()

@@ -18,10 +18,10 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm.common import connected_components, flat, raw_bytes, slices, stage, text_or_empty
+from amberline.llm.common import connected_components, hidden, raw_bytes, slices, stage, text_or_empty
 
 SEED = 42
 #: Base rows of a key beyond which its bucket is split into blocks.
@@ -57,14 +57,14 @@ def fingerprint(text: bytes, width: int) -> int:
 
 def fingerprints(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
     """``carry`` columns and ``fp`` (the 64 bits as a signed long) of each row of ``docs``."""
-    source = docs.select(*carry, text_or_empty().alias("_text"))
-    schema = source.drop("_text").schema.add("fp", "long")
+    source = docs.select(*carry, text_or_empty().alias(hidden(carry, "text")))
+    schema = docs.select(*carry).schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 4 << 20):
-            made = [fingerprint(t, width) for t in raw_bytes(batch.column("_text"))]
+        for batch in slices(batches, -1, 4 << 20):
+            made = [fingerprint(t, width) for t in raw_bytes(batch.column(-1))]
             fp = pa.array(np.array(made, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], names=[*carry, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -76,7 +76,18 @@ def ring(max_bits: int) -> tuple[list[int], list[int]]:
     return widths, [sum(widths[:i]) for i in range(m)]
 
 
-def ring_keys(nodes: DataFrame, max_bits: int) -> DataFrame:
+def neighbours(key: Column, max_bits: int) -> Column:
+    """The keys that differ from ``key`` in one bit of the second segment."""
+    widths, _ = ring(max_bits)
+    m = len(widths)
+    flips = lambda i: F.array(*(key.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(widths[(i + 1) % m])))
+    out = flips(m - 1)
+    for i in range(m - 1):
+        out = F.when(F.shiftrightunsigned(key, 56) == i, flips(i)).otherwise(out)
+    return out
+
+
+def ring_keys(nodes: DataFrame, max_bits: int, flipped: bool = True) -> DataFrame:
     """Rows ``(key, fp, own)``: per segment its own two-segment key, and those with one bit of the second flipped."""
     widths, offsets = ring(max_bits)
     m = len(widths)
@@ -87,7 +98,8 @@ def ring_keys(nodes: DataFrame, max_bits: int) -> DataFrame:
         second = F.shiftrightunsigned("fp", offsets[j]).bitwiseAND(F.lit((1 << widths[j]) - 1))
         key = F.shiftleft(F.lit(i).cast("long"), 56).bitwiseOR(F.shiftleft(first.cast("long"), widths[j])).bitwiseOR(second.cast("long"))
         rows.append(F.struct(key.alias("key"), F.lit(True).alias("own")))
-        rows += [F.struct(key.bitwiseXOR(F.lit(1 << b).cast("long")).alias("key"), F.lit(False).alias("own")) for b in range(widths[j])]
+        if flipped:
+            rows += [F.struct(key.bitwiseXOR(F.lit(1 << b).cast("long")).alias("key"), F.lit(False).alias("own")) for b in range(widths[j])]
     return nodes.select("fp", F.explode(F.array(*rows)).alias("r")).select("r.key", "fp", "r.own")
 
 
@@ -158,14 +170,19 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, own: np.ndarray, max_bits: i
 def links(spark: SparkSession, nodes: DataFrame, max_bits: int) -> DataFrame:
     """Edges ``(src, dst)`` between distinct fingerprints, enough to connect all that differ in at most ``max_bits`` bits.
 
-    A bucket with over HOT_KEY own rows is split: its rows are dealt to blocks, and its own rows
-    are copied to each block, so that every pair still meets.
+    A bucket with over HOT_KEY rows, own or flipped, is split: its rows are dealt to blocks, and its
+    own rows, with which every pair has to do, are copied to each block, so that all pairs still meet.
+    Own rows of a key are flipped rows of its neighbours, so counts of own rows by key give the
+    flipped ones too.
     """
     if not 1 <= max_bits <= 15:
         raise ValueError("max_bits must be 1 to 15")
     keyed = ring_keys(nodes, max_bits)
-    hot = keyed.where("own").groupBy("key").count().where(F.col("count") > HOT_KEY)
-    hot = stage(spark, hot.select("key", F.ceil(F.col("count") / HOT_KEY).cast("int").alias("blocks")), "hotkeys")
+    own = stage(spark, ring_keys(nodes, max_bits, flipped=False).groupBy("key").count(), "ownkeys")
+    flips = own.select(F.explode(neighbours(F.col("key"), max_bits)).alias("key"), "count").groupBy("key").agg(F.sum("count").alias("more"))
+    rows = F.col("count") + F.coalesce("more", F.lit(0))
+    hot = own.where(F.col("count") > 0).join(flips, "key", "left").where(rows > HOT_KEY)  # a key without own rows has no pairs
+    hot = stage(spark, hot.select("key", F.ceil(rows / HOT_KEY).cast("int").alias("blocks")), "hotkeys")
     if hot.limit(1).count():
         keyed = keyed.join(hot, "key", "left").select(
             "key", "fp", "own", F.coalesce("blocks", F.lit(1)).alias("blocks")
@@ -243,28 +260,38 @@ BITS = 64 * WORDS64
 SAMPLE, RANKED = 16384, 1 << 16
 #: Rows of a bucket up to which all its pairs are candidates at once.
 SMALL = 8
-_BUCKET = "key long, block int, own boolean, node long, size long, place long, bits binary"
+SKETCH = [f"b{k}" for k in range(WORDS64)]
+M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, width), dtype=np.uint64))
+    """Distinct shingles of a text as ascending 64-bit hashes, made from hashes of its words."""
+    words = text.lower().split()  # on bytes: A-Z only, and the six ASCII blanks
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else [], dtype=np.uint64)
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    total = np.zeros(len(words) - width + 1, np.uint64)
+    for k in range(width):
+        total = total * M1 + own[k : len(own) - width + 1 + k]
+    total = (total ^ (total >> np.uint64(29))) * M2
+    return np.unique(total ^ (total >> np.uint64(32)))
 
 
 def _node(shingles: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingles.tobytes(), SEED) - (1 << 63)
 
 
-def parity(shingles: np.ndarray) -> bytes:
+def parity(shingles: np.ndarray) -> np.ndarray:
     """BITS bits, the parity of the count of shingles in each bin: two sets differ in no fewer shingles than bits."""
-    return np.packbits((np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
 class Jaccard:
     """Tests of J >= p / q in whole numbers, on sets that are ordered by (times met in a sample, hash).
 
     Two such sets meet in their first n - ceil(n p / q) + 1 shingles. At the first one that both
-    have, no more than the rest of either can follow, so what ``close`` refuses in every common
-    bucket is not similar.
+    have, no more than the rest of either can follow, so what ``near`` and ``close`` refuse in every
+    common bucket is not similar.
     """
 
     def __init__(self, similarity: float):
@@ -294,11 +321,21 @@ class Jaccard:
             return False
         return bool(self.enough(len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b)))
 
+    def near(self, size: np.ndarray, place: np.ndarray, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+        """By sizes and places only."""
+        ok = self.enough(np.minimum(size[a] - place[a], size[b] - place[b]), size[a] + size[b])
+        return ok & (self.q * np.minimum(size[a], size[b]) >= self.p * np.maximum(size[a], size[b]))
+
+    def sketched(self) -> Column:
+        """The same bound on the sketches of a pair ``size_a, b0_a, ..., size_b, b0_b, ...``, in SQL."""
+        apart = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in SKETCH[1:]), F.bit_count(F.col("b0_a").bitwiseXOR(F.col("b0_b"))))
+        both = F.col("size_a") + F.col("size_b")
+        return (self.p + self.q) * F.floor((both - apart) / 2) >= self.p * both
+
     def close(self, size: np.ndarray, place: np.ndarray, bits: np.ndarray, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
-        both = size[a] + size[b]
-        ok = self.enough(np.minimum(size[a] - place[a], size[b] - place[b]), both)
-        ok &= self.q * np.minimum(size[a], size[b]) >= self.p * np.maximum(size[a], size[b])
-        live = np.flatnonzero(ok)
+        """By sketches too."""
+        ok = self.near(size, place, a, b)
+        both, live = size[a] + size[b], np.flatnonzero(ok)
         other = bits[b] if np.ndim(b) == 0 else bits[b[live]]
         apart = np.bitwise_count(bits[a[live]] ^ other).sum(axis=1, dtype=np.int64)
         ok[live] = self.enough((both[live] - apart) // 2, both[live])
@@ -329,20 +366,27 @@ class Jaccard:
                 yield np.full(len(found), node[at]), node[found]
 
 
+#: A bucket is the rows of a key and a block; rows come sorted by key, block and node.
+_BUCKET = "key long, block int, own boolean, node long, size long, place long"
+_COLUMNS = ["key", "block", "own", "node", "size", "place"]
+
+
 def _buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Heads of buckets and columns ``names`` of whole buckets of more than one row; rows come sorted by key and block."""
+    """Heads of buckets and columns ``names`` of whole buckets of more than one node; a node that came more than once counts once."""
     held: list[list[np.ndarray]] = []
 
     def whole(parts: list[list[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
         cols = [np.concatenate(c) for c in zip(*parts)]
         new = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
+        keep = new | np.r_[True, cols[3][1:] != cols[3][:-1]]
+        cols, new = [c[keep] for c in cols], new[keep]
         alone = new & np.r_[new[1:], True]
         return np.flatnonzero(new[~alone]), [c[~alone] for c in cols]
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        part = [flat(batch.column(c))[0].view(np.uint64).reshape(-1, WORDS64) if c == "bits" else batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        part = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
         if held and (held[-1][0][-1] != part[0][0] or held[-1][1][-1] != part[1][0]):
             yield whole(held)
             held = []
@@ -356,147 +400,172 @@ def _buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tu
         yield whole(held)
 
 
-def similar_groups(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.8, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns and ``root``: rows that chains of similar texts connect share a root.
+def similar_groups(spark: SparkSession, docs: DataFrame, ident: list[str], width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``ident`` columns and ``root`` of each row of ``docs``: rows that chains of similar texts connect share a root.
 
-    Two texts are similar if the Jaccard similarity of their sets of shingles is at least
-    ``similarity``. Candidates meet under a shingle of their prefixes (see Jaccard), and each is
-    verified on both texts before it links. In a bucket of over SMALL rows only a forest of
-    candidates is verified first; a second round takes all its candidates that are still apart.
-    Texts without words form one group.
+    ``ident`` are columns of which equal values mean equal texts. Two texts are similar if the
+    Jaccard similarity of their sets of shingles is at least ``similarity``. Candidates meet under a
+    shingle of their prefixes (see Jaccard), and each is verified on both texts before it links. In a
+    bucket of over SMALL texts only a forest of candidates is verified first; a second round takes
+    all its candidates that are still apart. Null texts are empty; texts without words form one
+    group; an empty table gives no rows; columns besides ``ident`` and ``text`` are not read.
     """
-    carry = carry or ["doc_id"]
     test = Jaccard(similarity)
-    source = docs.select(*carry, text_or_empty().alias("_text"))
-    schema = source.drop("_text").schema.add("node", "long")
+    own = ["node", "size", *SKETCH]
+    source = docs.select(*(F.col(c).alias(f"i{k}") for k, c in enumerate(ident)), text_or_empty().alias("text"))
+    keyed_by = source.columns[:-1]
+    schema = source.drop("text").schema.add("node", "long").add("size", "long")
+    for b in SKETCH:
+        schema = schema.add(b, "long")
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 4 << 20):
-            node = pa.array([_node(shingle_set(t, width)) for t in raw_bytes(batch.column("_text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], node], names=schema.names)
-
-    def with_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 4 << 20):
-            node = pa.array([_node(shingle_set(t, width)) for t in raw_bytes(batch.column("_text"))], pa.int64())
-            yield pa.RecordBatch.from_arrays([node, batch.column("_text")], names=["node", "_text"])
+        for batch in slices(batches, "text", 4 << 20):
+            sets = [shingle_set(t, width) for t in raw_bytes(batch.column("text"))]
+            bits = np.stack([parity(x) for x in sets], axis=1)
+            made = [pa.array([_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, bits)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
 
     def all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 1 << 20):
-            for t in raw_bytes(batch.column("_text")):
+        for batch in slices(batches, "text", 1 << 20):
+            for t in raw_bytes(batch.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t, width).view(np.int64))], names=["key"])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 1 << 20):
+        met: set[int] = set()  # texts that this task has sent last, so that their copies are not sent again
+        for batch in slices(batches, "text", 1 << 20):
             made = []
-            for node, t in zip(batch.column("node").to_pylist(), raw_bytes(batch.column("_text"))):
-                own = shingle_set(t, width)
-                first = test.prefix(own)
-                k = len(first)
-                made.append((first.view(np.int64), np.full(k, node), np.full(k, len(own)), np.arange(k), parity(own) * k))
-            *numbers, bits = zip(*made)
-            numbers = [np.concatenate(x).astype(np.int64) for x in numbers]
-            n = len(numbers[0])
-            packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, 8 * WORDS64 * n + 1, 8 * WORDS64, dtype=np.int32)), pa.py_buffer(b"".join(bits))])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, numbers), packed], names=["key", "node", "size", "place", "bits"])
-
-    columns = ["key", "block", "own", "node", "size", "place", "bits"]
+            for t in raw_bytes(batch.column("text")):
+                shingles = shingle_set(t, width)
+                node, first = _node(shingles), test.prefix(shingles)
+                if len(met) > 1 << 16:
+                    met.clear()
+                if node not in met:
+                    met.add(node)
+                    made.append((first.view(np.int64), np.full(len(first), node), np.full(len(first), len(shingles)), np.arange(len(first))))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*made)], names=["key", "node", "size", "place"])
+
+    pair = lambda x, y: [pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))]
 
     def first_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidates as (src, dst), and the rows of buckets of over SMALL rows with null there."""
-        schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("key", pa.int64()), ("block", pa.int32()), ("own", pa.bool_()), ("node", pa.int64()), ("size", pa.int64()), ("place", pa.int64()), ("bits", pa.binary())])
-        empty = lambda n, kinds: [pa.nulls(n, k) for k in kinds]
-        for head, (key, block, own, node, *row) in _buckets(batches, columns):
+        """Candidates of small buckets as (src, dst), and the rows of larger ones with null there."""
+        schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("key", pa.int64()), ("block", pa.int32()), ("own", pa.bool_()), ("node", pa.int64()), ("size", pa.int64()), ("place", pa.int64())])
+        for head, cols in _buckets(batches, _COLUMNS):
             if not len(head):
                 continue
+            key, _, mine, node, *row = cols
             size = np.diff(np.r_[head, len(key)])
             room = np.repeat(np.where(size <= SMALL, head + size, 0), size)
-            live, src, dst = np.flatnonzero(room), [], []
+            live, found = np.flatnonzero(room), []
             for step in range(1, SMALL):
                 live = live[live + step < room[live]]
                 if not len(live):
                     break
-                a = live[own[live] | own[live + step]]
-                ok = test.close(*row, a, a + step)
-                src.append(node[a[ok]])
-                dst.append(node[a[ok] + step])
-            large = np.flatnonzero(size > SMALL)
-            for k in large:
-                part = slice(head[k], head[k] + size[k])
-                a, b = test.forest(own[part], node[part], *(c[part] for c in row))
-                src.append(a)
-                dst.append(b)
-            if src and len(a := np.concatenate(src)):
-                b = np.concatenate(dst)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), *empty(len(a), schema.types[2:])], schema=schema)
+                a = live[mine[live] | mine[live + step]]
+                a = a[test.near(*row, a, a + step)]
+                found.append((node[a], node[a + step]))
+            if found and sum(len(a) for a, _ in found):
+                a, b = map(np.concatenate, zip(*found))
+                yield pa.RecordBatch.from_arrays([*pair(a, b), *(pa.nulls(len(a), k) for k in schema.types[2:])], schema=schema)
+            large = np.flatnonzero(np.repeat(size > SMALL, size))
             if len(large):
-                at = np.concatenate([np.arange(head[k], head[k] + size[k]) for k in large])
-                bits = pa.array([x.tobytes() for x in row[2][at]], pa.binary())
-                yield pa.RecordBatch.from_arrays([*empty(len(at), schema.types[:2]), *(pa.array(c[at], t) for c, t in zip((key, block, own, node, *row[:2]), schema.types[2:8])), bits], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(large), k) for k in schema.types[:2]), *(pa.array(c[large], t) for c, t in zip(cols, schema.types[2:]))], schema=schema)
+
+    def large_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for head, (key, _, mine, node, size, place, *bits) in _buckets(batches, [*_COLUMNS, *SKETCH]):
+            bits = np.stack(bits, axis=1).view(np.uint64) if len(head) else bits
+            for a, z in zip(head, np.r_[head[1:], len(key)].astype(np.int64)):
+                x, y = test.forest(mine[a:z], node[a:z], size[a:z], place[a:z], bits[a:z])
+                if len(x):
+                    yield pa.RecordBatch.from_arrays(pair(x, y), names=["src", "dst"])
 
     def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for head, (key, _, own, node, *row, root) in _buckets(batches, [*columns, "root"]):
+        for head, (key, _, mine, node, size, place, root, *bits) in _buckets(batches, [*_COLUMNS, "root", *SKETCH]):
+            bits = np.stack(bits, axis=1).view(np.uint64) if len(head) else bits
             for a, z in zip(head, np.r_[head[1:], len(key)].astype(np.int64)):
-                for x, y in test.across(own[a:z], node[a:z], root[a:z], *(c[a:z] for c in row)):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["src", "dst"])
+                if (root[a:z] != root[a]).any():
+                    for x, y in test.across(mine[a:z], node[a:z], root[a:z], size[a:z], place[a:z], bits[a:z]):
+                        yield pa.RecordBatch.from_arrays(pair(x, y), names=["src", "dst"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets: dict[int, np.ndarray] = {}
             keep = []
             src, dst = batch.column("src").to_pylist(), batch.column("dst").to_pylist()
-            for k, pair in enumerate(zip(src, dst)):
-                for at, name in zip(pair, ("_a", "_b")):
+            for k, ends in enumerate(zip(src, dst)):
+                for at, name in zip(ends, ("text_a", "text_b")):
                     if at not in sets:
                         if len(sets) > 256:
                             sets.clear()
                         sets[at] = shingle_set(batch.column(name)[k].as_buffer().to_pybytes(), width)
-                a, b = (sets[x] if x in sets else shingle_set(batch.column(n)[k].as_buffer().to_pybytes(), width) for x, n in zip(pair, ("_a", "_b")))
+                a, b = (sets[x] if x in sets else shingle_set(batch.column(n)[k].as_buffer().to_pybytes(), width) for x, n in zip(ends, ("text_a", "text_b")))
                 keep.append(test.similar(a, b))
             yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
+    def both_ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
+        """``pairs(src, dst)`` with the other columns of ``table(node, ...)`` for each end."""
+        for end, mark in (("src", "a"), ("dst", "b")):
+            pairs = pairs.join(table.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{mark}") for c in table.columns if c != "node")), end)
+        return pairs
+
     made = stage(spark, source.mapInArrow(named, schema), "nodes")
-    texts = stage(spark, source.select("_text").mapInArrow(with_text, "node long, _text string").groupBy("node").agg(F.any_value("_text").alias("_text")), "texts")
+    nodes = stage(spark, made.groupBy("node").agg(*(F.any_value(c).alias(c) for c in own[1:]), F.min(F.struct(*keyed_by)).alias("first")), "nodes")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         needed = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        own = stage(spark, texts.join(needed, "node", "left_semi"), f"{name}-texts")
-        full = pairs.join(own.select(F.col("node").alias("src"), F.col("_text").alias("_a")), "src").join(own.select(F.col("node").alias("dst"), F.col("_text").alias("_b")), "dst")
-        return stage(spark, full.select("src", "dst", "_a", "_b").mapInArrow(verify, "src long, dst long"), name)
+        needed = nodes.join(needed, "node", "left_semi").select("node", "first.*")
+        texts = source.join(needed, keyed_by).groupBy("node").agg(F.any_value("text").alias("text"))
+        texts = stage(spark, texts, f"{name}-texts")
+        return stage(spark, both_ends(pairs, texts).select("src", "dst", "text_a", "text_b").mapInArrow(verify, "src long, dst long"), name)
 
-    every = max(1, texts.count() // SAMPLE)
-    sample = texts.where(F.pmod("node", F.lit(every)) == 0)
+    def sketched(pairs: DataFrame) -> DataFrame:
+        return both_ends(pairs.distinct(), nodes.select(*own)).where(test.sketched()).select("src", "dst")
+
+    every = max(1, made.count() // SAMPLE)
+    sample = source.where(F.pmod(F.xxhash64(*keyed_by), F.lit(every)) == 0)
+    sample = stage(spark, sample.dropDuplicates(keyed_by).select("text"), "sample")
     often = sample.mapInArrow(all_shingles, "key long").groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(RANKED).toArrow()
     test.rank(np.array(often.column("key").to_numpy(), np.int64).view(np.uint64), np.array(often.column("count").to_numpy(), np.int64))
-    kind = "key long, node long, size long, place long, bits binary"
+    kind = "key long, node long, size long, place long"
     hot = sample.mapInArrow(keys, kind).groupBy("key").count().where(F.col("count") * every > HOT_KEY)
     hot = stage(spark, hot.select("key", F.ceil(F.col("count") * every / HOT_KEY).cast("int").alias("blocks")), "hotkeys")
-    keyed = texts.mapInArrow(keys, kind)
+    keyed = source.select("text").mapInArrow(keys, kind)
     if hot.limit(1).count():
         spread = keyed.join(hot, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         spread = spread.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         keyed = spread.withColumn("own", F.pmod("node", F.col("blocks")) == F.col("block"))
     else:
         keyed = keyed.withColumns({"block": F.lit(0), "own": F.lit(True)})
+    bucketed = lambda df: df.repartition("key", "block").sortWithinPartitions("key", "block", "node")
     # by node within a key: a dense group then has the same first row under each key, and the same links
-    met = keyed.select(*columns).repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(first_round, f"src long, dst long, {_BUCKET}")
-    met = stage(spark, met, "met")
-    pairs = stage(spark, met.where("src is not null").select("src", "dst").distinct(), "pairs")
-    edges = verified(pairs, "links")
-    labels = connected_components(spark, edges)
-    large = met.where("src is null").join(labels, "node", "left").select(*columns, F.coalesce("root", "node").alias("root"))
-    apart = large.repartition("key", "block").sortWithinPartitions("key", "block", "node").mapInArrow(second_round, "src long, dst long")
-    more = stage(spark, apart.distinct().join(pairs, ["src", "dst"], "left_anti"), "pairs")
-    if more.limit(1).count():
-        labels = connected_components(spark, edges.union(verified(more, "links")))
-    return made.join(labels, "node", "left").select(*carry, F.coalesce("root", "node").alias("root"))
+    met = stage(spark, bucketed(keyed.select(*_COLUMNS)).mapInArrow(first_round, f"src long, dst long, {_BUCKET}"), "met")
+    large = met.where("src is null").select(*_COLUMNS)
+    if large.limit(1).count():
+        large = stage(spark, large.join(nodes.select("node", *SKETCH), "node"), "large")
+        dense = bucketed(large.select(*_COLUMNS, *SKETCH)).mapInArrow(large_buckets, "src long, dst long")
+        pairs = stage(spark, sketched(met.where("src is not null").select("src", "dst")).union(dense).distinct(), "pairs")
+        edges = verified(pairs, "links")
+        labels = connected_components(spark, edges)
+        rooted = large.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        apart = bucketed(rooted.select(*_COLUMNS, "root", *SKETCH)).mapInArrow(second_round, "src long, dst long")
+        more = stage(spark, apart.distinct().join(pairs, ["src", "dst"], "left_anti"), "pairs")
+        if more.limit(1).count():
+            labels = connected_components(spark, edges.union(verified(more, "links")))
+    else:
+        pairs = stage(spark, sketched(met.where("src is not null").select("src", "dst")), "pairs")
+        labels = connected_components(spark, verified(pairs, "links"))
+    named_by = [F.col(k).alias(c) for k, c in zip(keyed_by, ident)]
+    return made.join(labels, "node", "left").select(*named_by, F.coalesce("root", "node").alias("root"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` of which no similar row comes before: by doc_id (null last), then by a hash of the text.
 
-    Equal rows count as one, of which one stays. Texts without words are one group.
+    Equal rows count as one, of which one stays. Null texts are empty, and texts without words are
+    one group. Extra columns pass through, whatever their names; an empty table gives no rows.
     """
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_h": F.xxhash64(text_or_empty())})
-    groups = similar_groups(spark, keyed.select("_id", "_h", "text"), width, similarity, ["_id", "_h"])
-    first = groups.groupBy("root").agg(F.min(F.struct("_id", "_h")).alias("m")).select("m.*").distinct()
-    return keyed.join(first, ["_id", "_h"], "left_semi").dropDuplicates(["_id", "_h"]).select(*docs.columns)
+    at, h = hidden(docs.columns, "at"), hidden(docs.columns, "hash")
+    keyed = docs.withColumns({at: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), h: F.xxhash64(text_or_empty())})
+    groups = similar_groups(spark, keyed.select(at, h, "text"), [at, h], width, similarity)
+    first = groups.groupBy("root").agg(F.min(F.struct(at, h)).alias("m")).select("m.*").distinct()
+    return keyed.join(first, [at, h], "left_semi").dropDuplicates([at, h]).select(*docs.columns)
