@@ -17,6 +17,7 @@ Decoding emits the labels of the arcs.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import hashlib
 import json
@@ -35,7 +36,7 @@ from amberline.llm.common import hidden, slices, text_or_empty
 
 END = "</w>"
 #: Pieces, their codes and the objects around them that a Python worker holds; beyond this it starts afresh.
-CACHE_BYTES, ENTRY_BYTES = 256 << 20, 350
+CACHE_BYTES, ENTRY_BYTES = 80 << 20, 350
 #: Bytes of words that walk the tables together; a longer word walks in steps of its own.
 BLOCK = 1 << 18
 
@@ -49,25 +50,27 @@ class Automaton:
     def _set(self, vocab: dict[str, int], enter: np.ndarray, arcs: np.ndarray) -> None:
         self.vocab, self.enter, self.arcs = vocab, enter, arcs
         self.label = {i: t for t, i in vocab.items()}
+
+    @functools.cached_property
+    def trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Node and byte to node (0 is none, 1 the root), the inner and the final token that a node spells or -1, and the
+        most bytes of a token. Only workers need it."""
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
-        spelled = {bytes(byte_of[c] for c in t.removesuffix(END)): None for t in vocab}
-        #: Trie nodes: 0 is none, 1 the root. ``step``: node and byte to node; ``inner``, ``final``: the token that a node spells, or -1.
         nodes: dict[tuple[int, int], int] = {}
-        ends: dict[bytes, int] = {}
-        for text in spelled:
-            at = 1
-            for b in text:
-                at = nodes.setdefault((at, b), len(nodes) + 2)
-            ends[text] = at
-        self.step = np.zeros((len(nodes) + 2, 256), np.int32)
+        ends = []
+        for t, i in self.vocab.items():
+            at, text = 1, t.removesuffix(END)
+            for c in text:
+                at = nodes.setdefault((at, byte_of[c]), len(nodes) + 2)
+            ends.append((at, t.endswith(END), i, len(text)))
+        step = np.zeros((len(nodes) + 2, 256), np.int32)
         if nodes:
             own = np.array([(*k, v) for k, v in nodes.items()], np.int64)
-            self.step[own[:, 0], own[:, 1]] = own[:, 2]
-        self.inner, self.final = (np.full(len(nodes) + 2, -1, np.int32) for _ in range(2))
-        for t, i in vocab.items():
-            node = ends[bytes(byte_of[c] for c in t.removesuffix(END))]
-            (self.final if t.endswith(END) else self.inner)[node] = i
-        self.longest = max(map(len, spelled), default=1)
+            step[own[:, 0], own[:, 1]] = own[:, 2]
+        inner, final = (np.full(len(nodes) + 2, -1, np.int32) for _ in range(2))
+        for at, last, i, _ in ends:
+            (final if last else inner)[at] = i
+        return step, inner, final, max([e[3] for e in ends], default=1)
 
     def __getstate__(self):
         return self.vocab, self.enter, self.arcs.shape, zlib.compress(self.arcs.tobytes(), 1)
@@ -92,15 +95,16 @@ class Automaton:
 
     def _tokens(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, ...]:
         """All tokens at the places ``begin`` of ``data`` whose words end at ``stop``: their begins, ends and numbers."""
+        step, inner, final, longest = self.trie
         node, end, found = np.ones(len(begin), np.int32), begin, []
-        for _ in range(self.longest):
+        for _ in range(longest):
             live = np.flatnonzero(end < stop)
-            node = self.step[node[live], data[end[live]]]
+            node = step[node[live], data[end[live]]]
             live, node = live[node > 0], node[node > 0]
             if not len(live):
                 break
             begin, stop, end = begin[live], stop[live], end[live] + 1
-            token = np.where(end == stop, self.final[node], self.inner[node])
+            token = np.where(end == stop, final[node], inner[node])
             hit = token >= 0
             found.append((begin[hit], end[hit], token[hit]))
         return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64),) * 3
@@ -211,7 +215,6 @@ def build(vocab: dict[str, int], merges: list[tuple[str, str]]) -> Automaton:
     return Automaton(vocab, enter.astype(np.int32), np.ascontiguousarray(arcs[:, : (states + 7) // 8]))
 
 
-@functools.cache
 def load(path: str) -> tuple[Automaton, tuple[tuple[str, int], ...], tuple[str, dict[int, str]]]:
     """The automaton of a tokenizer file, its added tokens by name and id, and what the library makes of single characters."""
     with open(path, encoding="utf-8") as f:
@@ -265,8 +268,8 @@ def characters(spec: str) -> tuple[str, dict[int, str]]:
     kinds: dict[str, list[int]] = {"letter": list(range(0x61, 0x7B)), "number": list(range(0x30, 0x3A))}
     other: dict[int, str] = {}
     split = library.pre_tokenizer.pre_tokenize_str
-    for first in range(0, len(points), 1 << 16):
-        part = points[first : first + (1 << 16)]
+    for first in range(0, len(points), 1 << 12):
+        part = points[first : first + (1 << 12)]
         cut = {a: z for _, (a, z) in split(" ".join(f"x{chr(c)}#" for c in part))}
         for k, c in enumerate(part):  # four places each: x, the character, #, blank
             if cut[4 * k] == 4 * k + 2:
@@ -349,6 +352,21 @@ class Codec:
         return self.encode_all([text])[0]
 
 
+_SENT: dict[tuple[str, str], Broadcast] = {}
+
+
+def sent(spark: SparkSession, path: str) -> Broadcast:
+    """The tables of a tokenizer file, sent once an application; the driver keeps no copy. Their size is set by the vocabulary."""
+    key = spark.sparkContext.applicationId, path
+    if key not in _SENT:
+        _SENT.clear()
+        _SENT[key] = spark.sparkContext.broadcast(load(path))
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:  # what building the tables took goes back to the system
+            trim(0)
+    return _SENT[key]
+
+
 @functools.lru_cache(maxsize=1)
 def codec(held: Broadcast) -> Codec:
     """One codec a Python worker, which keeps the pieces it knows from task to task."""
@@ -362,14 +380,14 @@ def coded(spark: SparkSession, docs: DataFrame, path: str, carry: list[str], dig
     independent, so repeated rows and ids are fine; very long texts and words pass through in
     blocks; columns not in ``carry`` are not read; an empty table gives no rows.
     """
-    held = spark.sparkContext.broadcast(load(path))  # its size is set by the vocabulary
+    held = sent(spark, path)
     source = docs.select(*carry, text_or_empty().alias(hidden(carry, "text")))
     names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
     schema = docs.select(*carry).schema.add("n_tokens", "long").add(names[0], "string").add(names[1], "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(held)
-        for batch in slices(batches, -1, 4 << 20):
+        for batch in slices(batches, -1, 2 << 20):
             n, *texts = zip(*own.encode_all(batch.column(-1).to_pylist()))
             if digests:
                 texts = [[hashlib.sha256(t.encode()).hexdigest() for t in c] for c in texts]
