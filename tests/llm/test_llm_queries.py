@@ -64,8 +64,8 @@ def test_stages_keep_columns_of_any_name(spark, name, stage):
     rows = sorted(r["node"] for r in got)
     if name == "quality":
         assert rows == ["node-2", "node-3", "node-4"]
-    if name == "near_duplicates":  # no words; one of the two equal texts; the two others
-        assert len(rows) == 4 and {"node-4", "node-5"} < set(rows)
+    if name == "near_duplicates":  # no words; the equal texts and one that shares 10 of 12 shingles with them; the last
+        assert len(rows) == 3 and rows[0] == "node-1" and rows[1] in ("node-2", "node-3") and rows[2] == "node-5"
     if name == "personal_data":
         assert rows == [f"node-{k}" for k in range(6)]
         assert [(r["text"], r["n_chars"]) for r in got if r["node"] == "node-4"] == [(f"{GOOD} mail [EMAIL]", len(GOOD) + 13)]
