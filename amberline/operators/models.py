@@ -83,7 +83,7 @@ def save(model: PipelineModel, path: str) -> None:
 def learner(spec: Spec, params: dict[str, Any], label: str, total: float) -> Any:
     common = {"featuresCol": "_x", "labelCol": label, "weightCol": "_w"}
     if spec.name == "logistic":  # C is the inverse strength, per sum of weights
-        return LogisticRegression(regParam=1 / (params["C"] * total), elasticNetParam=0.0, standardization=False, maxIter=200, **common)
+        return LogisticRegression(regParam=1 / (params["C"] * total), elasticNetParam=0.0, standardization=False, maxIter=5000, **common)
     if spec.name == "random_forest":
         return RandomForestClassifier(seed=SEED, **params, **common)
     return GBTClassifier(seed=SEED, **({"maxIter": 100, "maxBins": 255} | params), **common)

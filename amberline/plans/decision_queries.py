@@ -121,20 +121,11 @@ def contact_rate_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision.contact_gap(_slices(spark, sf_dir))
 
 
-_FOLDS = f"select 'm' || (k % 3) as model, (k // 3) % 5 as fold, p as score from scored where k < 30"
+_FOLDS = f"select 'm' || (k % 3) as model, (k // 3) % 5 as fold, p as score from scored"
 
 
 @query(f"with {SCORED}, f as ({_FOLDS}) select model, round(avg(score), 6) as mean_score, round(stddev_pop(score), 6) as sd_score, rank() over (order by avg(score) desc)::int as rank from f group by 1")
 def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = scored(spark, sf_dir).where("k < 30").select(F.concat(F.lit("m"), (F.col("k") % 3).cast("string")).alias("model"), (F.floor(F.col("k") / 3) % 5).alias("fold"), F.col("p").alias("score"))
-    return decision.fold_summary(own)
-
-
-_ALL_FOLDS = "select 'm' || (k % 3) as model, (k // 3) % 5 as fold, p as score from scored"
-
-
-@query(f"with {SCORED}, f as ({_ALL_FOLDS}) select model, round(avg(score), 6) as mean_score, round(stddev_pop(score), 6) as sd_score, rank() over (order by avg(score) desc)::int as rank from f group by 1")
-def fold_summary_all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = scored(spark, sf_dir).select(F.concat(F.lit("m"), (F.col("k") % 3).cast("string")).alias("model"), (F.floor(F.col("k") / 3) % 5).alias("fold"), F.col("p").alias("score"))
     return decision.fold_summary(own)
 

@@ -79,19 +79,19 @@ def blank_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spoiled(spark, sf_dir).agg(F.round(F.avg(is_blank(F.col("segment")).cast("double")), 6).alias("blank_share"))
 
 
-_MELT = " union all ".join(f"""select '{c}' as "column", {c}::varchar as value from spoiled""" for c in COLUMNS if c != "balance")
+_MELT = " union all ".join(f"""select '{c}' as "column", {c}::varchar as value from spoiled""" for c in COLUMNS)
 
 
 @query(f"""with {SPOILED}, melt as ({_MELT}), n as (select "column", value, count(*) as n from melt group by all)
     select "column", round(100.0 * max(n) / sum(n), 2) as top_value_pct from n group by 1 having max(n) / sum(n) > 0.99""")
 def near_constant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.near_constant(spoiled(spark, sf_dir), [c for c in COLUMNS if c != "balance"])
+    return profile.near_constant(spoiled(spark, sf_dir), COLUMNS)
 
 
 @query(f"""with {SPOILED}, melt as ({_MELT}), n as (select "column", value from melt group by all)
     select "column" from n group by 1 having count(*) = 1""")
 def constant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.constant(spoiled(spark, sf_dir), [c for c in COLUMNS if c != "balance"])
+    return profile.constant(spoiled(spark, sf_dir), COLUMNS)
 
 
 @query("""select * from (values ('l_orderkey', 'keys'), ('l_partkey', 'keys'), ('l_suppkey', 'keys'), ('l_linenumber', 'order'), ('l_quantity', 'amounts'), ('l_extendedprice', 'amounts'),

@@ -232,24 +232,21 @@ def _advice_sql(column: str) -> str:
     return f"({_rlike_sql(column, routing.DIRECT)} or ({_rlike_sql(column, routing.PERSON)} and {_rlike_sql(column, routing.CLINICAL)}))"
 
 
+#: DuckDB's \b, \w and \s know ASCII only: other word characters become a digit and other blanks a form feed, one for one.
+_WIDE_WORD = "|".join(rf"[^\x00-\x7F\P{{{c}}}]" for c in ("L", "M", "Nd", "Nl", "Pc")) + r"|[\x{200C}\x{200D}]"
+_WIDE_SPACE = r"[\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _MIXED = f"""{_ASKED_SQL}, mixed as (select 'asked' as origin, query_id::bigint as a, 0::bigint as b, query as question from asked
-    union all select 'conversation', conv_id, turn, text from conversations where role = 'user' and not regexp_matches(text, '[^\\x00-\\x7F]'))"""
+    union all select 'conversation', conv_id, turn, coalesce(text, '') from conversations where role = 'user'),
+    plain as (select origin, a, b, regexp_replace(regexp_replace(translate(question, chr(383) || chr(8490), 'sk'), '{_WIDE_WORD}', '0', 'g'), '{_WIDE_SPACE}', chr(12), 'g') as question from mixed)"""
 
 
-@query(f"with {_MIXED} select origin, a, b, {_advice_sql('question')} as advice from mixed")
+@query(f"with {_MIXED} select origin, a, b, {_advice_sql('question')} as advice from plain")
 def classify_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = spark.createDataFrame(ASKED, "a long, question string").select(F.lit("asked").alias("origin"), "a", F.lit(0).cast("long").alias("b"), "question")
-    said = table(spark, sf_dir, "conversations").where("role = 'user'").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select(F.lit("conversation").alias("origin"), F.col("conv_id").alias("a"), F.col("turn").alias("b"), F.col("text").alias("question"))
+    said = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.lit("conversation").alias("origin"), F.col("conv_id").alias("a"), F.col("turn").alias("b"), F.col("text").alias("question"))
     return asked.unionAll(said).select("origin", "a", "b", routing.asks_advice(F.col("question")).alias("advice"))
 
 
-@query()
-def classify_advice_every_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All user turns; DuckDB's patterns know ASCII only, so this has no SQL, and classify_advice leaves other turns out."""
-    said = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return said.select(F.col("conv_id").alias("a"), F.col("turn").alias("b"), routing.asks_advice(F.col("text")).alias("advice"))
-
-
 _ASKED_BM25 = _BM25.replace("q as (select item_id as query_id,", f"{_ASKED_SQL}, every_q as (select query_id::bigint as query_id, query as text, {_advice_sql('query')} as advice from asked union all select item_id + 100, text, {_advice_sql('text')} from benchmark), q as (select query_id,").replace("from benchmark),\n    qt", "from every_q where not advice),\n    qt")
 _ROUTED = f"""{_COVERAGE}, {_OVERLAP}, way as (select query_id, case when advice then 'refusal' when r.score is null or coalesce(overlap, 0) < 0.35 or coalesce(coverage, 0) < 0.5 or r.score < 1.0 then 'escalation' else 'answer' end as kind
     from every_q left join ov using (query_id) left join cov using (query_id) left join (select query_id, score from best where rank = 1) as r using (query_id))"""

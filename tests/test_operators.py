@@ -242,6 +242,8 @@ def test_only_one_function_reads_the_test_rows():
 def test_every_user_turn_is_classified(spark, tmp_path):
     import re
 
+    import duckdb
+
     from amberline.operators import routing
     from amberline.plans import catalogue
 
@@ -251,10 +253,15 @@ def test_every_user_turn_is_classified(spark, tmp_path):
     ]
     rows = [(k, 0, "user", t) for k, t in enumerate(texts)] + [(99, 1, "assistant", "which dose \u2013")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    found = {r["a"]: r["advice"] for r in catalogue.QUERIES["classify_advice_every_turn"](spark, str(tmp_path)).collect()}
+    spoken = catalogue.QUERIES["classify_advice"](spark, str(tmp_path)).where("origin = 'conversation'").collect()
+    found = {r["a"]: r["advice"] for r in spoken}
     any_of = lambda patterns, t: any(re.search(p, t, re.IGNORECASE) for p in patterns)
     asks = lambda t: any_of(routing.DIRECT, t) or (any_of(routing.PERSON, t) and any_of(routing.CLINICAL, t))
     assert found == {k: asks(t or "") for k, t in enumerate(texts)}
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    rows = con.execute(f"select a, advice from ({catalogue.ORACLE_SQL['classify_advice']}) where origin = 'conversation'").fetchall()
+    assert dict(rows) == found
 
 
 def test_fold_summary_reads_all_orders(spark, sf):
@@ -264,7 +271,7 @@ def test_fold_summary_reads_all_orders(spark, sf):
     for r in decision_queries.scored(spark, sf).select("k", "p").collect():
         p.setdefault(f"m{r['k'] % 3}", []).append(r["p"])
     assert sum(map(len, p.values())) > 30
-    found = {r["model"]: r["mean_score"] for r in catalogue.QUERIES["fold_summary_all_orders"](spark, sf).collect()}
+    found = {r["model"]: r["mean_score"] for r in catalogue.QUERIES["fold_summary"](spark, sf).collect()}
     assert found.keys() == p.keys() and all(abs(found[m] - sum(v) / len(v)) < 2e-6 for m, v in p.items())
 
 
