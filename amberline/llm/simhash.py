@@ -356,6 +356,16 @@ class Jaccard:
                     break
         return tuple(np.concatenate(x or [np.zeros(0, np.int64)]) for x in (zip(*out) if out else ([], [])))
 
+    def nearest(self, own: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, place: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int]]:
+        """For each row outside the most frequent root, the close row of another root whose sketch differs least for their sizes."""
+        _, group, count = np.unique(root, return_inverse=True, return_counts=True)
+        for at in np.flatnonzero(group != count.argmax()):
+            other = np.flatnonzero((root != root[at]) & (own | own[at]))
+            other = other[self.close(size, place, bits, other, at)] if len(other) else other
+            if len(other):
+                apart = np.bitwise_count(bits[other] ^ bits[at]).sum(axis=1, dtype=np.int64)
+                yield node[at], node[other[np.argmin(apart / (size[other] + size[at]))]]
+
     def across(self, own: np.ndarray, node: np.ndarray, root: np.ndarray, *row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All close pairs of rows with different roots."""
         for at in range(len(node) - 1):
@@ -406,8 +416,9 @@ def similar_groups(spark: SparkSession, docs: DataFrame, ident: list[str], width
     ``ident`` are columns of which equal values mean equal texts. Two texts are similar if the
     Jaccard similarity of their sets of shingles is at least ``similarity``. Candidates meet under a
     shingle of their prefixes (see Jaccard), and each is verified on both texts before it links. In a
-    bucket of over SMALL texts only a forest of candidates is verified first; a second round takes
-    all its candidates that are still apart. Null texts are empty; texts without words form one
+    bucket of over SMALL texts only a forest of candidates is verified first, then the likeliest
+    candidate of each text that is still apart (most texts of a group then share a root), and a last
+    round takes all candidates that are apart even so. Null texts are empty; texts without words form one
     group; an empty table gives no rows; columns besides ``ident`` and ``text`` are not read.
     """
     test = Jaccard(similarity)
@@ -479,7 +490,16 @@ def similar_groups(spark: SparkSession, docs: DataFrame, ident: list[str], width
                 if len(x):
                     yield pa.RecordBatch.from_arrays(pair(x, y), names=["src", "dst"])
 
-    def second_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def likeliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for head, (key, _, mine, node, size, place, root, *bits) in _buckets(batches, [*_COLUMNS, "root", *SKETCH]):
+            bits = np.stack(bits, axis=1).view(np.uint64) if len(head) else bits
+            for a, z in zip(head, np.r_[head[1:], len(key)].astype(np.int64)):
+                if (root[a:z] != root[a]).any():
+                    found = list(test.nearest(mine[a:z], node[a:z], root[a:z], size[a:z], place[a:z], bits[a:z]))
+                    if found:
+                        yield pa.RecordBatch.from_arrays(pair(*np.array(found, np.int64).T), names=["src", "dst"])
+
+    def last_round(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for head, (key, _, mine, node, size, place, root, *bits) in _buckets(batches, [*_COLUMNS, "root", *SKETCH]):
             bits = np.stack(bits, axis=1).view(np.uint64) if len(head) else bits
             for a, z in zip(head, np.r_[head[1:], len(key)].astype(np.int64)):
@@ -546,11 +566,13 @@ def similar_groups(spark: SparkSession, docs: DataFrame, ident: list[str], width
         pairs = stage(spark, sketched(met.where("src is not null").select("src", "dst")).union(dense).distinct(), "pairs")
         edges = verified(pairs, "links")
         labels = connected_components(spark, edges)
-        rooted = large.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        apart = bucketed(rooted.select(*_COLUMNS, "root", *SKETCH)).mapInArrow(second_round, "src long, dst long")
-        more = stage(spark, apart.distinct().join(pairs, ["src", "dst"], "left_anti"), "pairs")
-        if more.limit(1).count():
-            labels = connected_components(spark, edges.union(verified(more, "links")))
+        for take in (likeliest, last_round):
+            rooted = large.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            apart = bucketed(rooted.select(*_COLUMNS, "root", *SKETCH)).mapInArrow(take, "src long, dst long")
+            more = stage(spark, apart.distinct().join(pairs, ["src", "dst"], "left_anti"), "pairs")
+            if more.limit(1).count():
+                pairs, edges = pairs.union(more), edges.union(verified(more, "links"))
+                labels = connected_components(spark, edges)
     else:
         pairs = stage(spark, sketched(met.where("src is not null").select("src", "dst")), "pairs")
         labels = connected_components(spark, verified(pairs, "links"))
