@@ -36,25 +36,26 @@ from amberline.llm.common import hidden, slices, text_or_empty
 
 END = "</w>"
 #: Pieces, their codes and the objects around them that a Python worker holds; beyond this it starts afresh.
-CACHE_BYTES, ENTRY_BYTES = 80 << 20, 350
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 350
 #: Bytes of words that walk the tables together; a longer word walks in steps of its own.
 BLOCK = 1 << 18
 
 
 class Automaton:
-    """``enter[token]``: the state after a token. ``arcs[token]``: packed bits, the states that have an arc for it."""
+    """``enter[token]``: the state after a token. ``arcs[row[token]]``: packed bits, the states that have an arc for it;
+    tokens with the same arcs share a row."""
 
-    def __init__(self, vocab: dict[str, int], enter: np.ndarray, arcs: np.ndarray):
-        self._set(vocab, enter, arcs)
+    def __init__(self, vocab: dict[str, int], enter: np.ndarray, arcs: np.ndarray, row: np.ndarray):
+        self._set(vocab, enter, arcs, row)
 
-    def _set(self, vocab: dict[str, int], enter: np.ndarray, arcs: np.ndarray) -> None:
-        self.vocab, self.enter, self.arcs = vocab, enter, arcs
+    def _set(self, vocab: dict[str, int], enter: np.ndarray, arcs: np.ndarray, row: np.ndarray) -> None:
+        self.vocab, self.enter, self.arcs, self.row = vocab, enter, arcs, row
         self.label = {i: t for t, i in vocab.items()}
 
     @functools.cached_property
     def trie(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         """Node and byte to node (0 is none, 1 the root), the inner and the final token that a node spells or -1, and the
-        most bytes of a token. Only workers need it."""
+        most bytes of a token. Nodes without children come last and have no row. Only workers need it."""
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
         nodes: dict[tuple[int, int], int] = {}
         ends = []
@@ -63,21 +64,25 @@ class Automaton:
             for c in text:
                 at = nodes.setdefault((at, byte_of[c]), len(nodes) + 2)
             ends.append((at, t.endswith(END), i, len(text)))
-        step = np.zeros((len(nodes) + 2, 256), np.int32)
-        if nodes:
-            own = np.array([(*k, v) for k, v in nodes.items()], np.int64)
-            step[own[:, 0], own[:, 1]] = own[:, 2]
+        own = np.array([(*k, v) for k, v in nodes.items()], np.int64).reshape(-1, 3)
+        parents = np.unique(own[:, 0])  # the root is the least
+        place = np.zeros(len(nodes) + 2, np.int64)
+        place[parents] = np.arange(1, len(parents) + 1)
+        leaves = np.flatnonzero(place[1:] == 0) + 1
+        place[leaves] = np.arange(len(parents) + 1, len(nodes) + 2)
+        step = np.zeros((len(parents) + 1, 256), np.int32)
+        step[place[own[:, 0]], own[:, 1]] = place[own[:, 2]]
         inner, final = (np.full(len(nodes) + 2, -1, np.int32) for _ in range(2))
         for at, last, i, _ in ends:
-            (final if last else inner)[at] = i
+            (final if last else inner)[place[at]] = i
         return step, inner, final, max([e[3] for e in ends], default=1)
 
     def __getstate__(self):
-        return self.vocab, self.enter, self.arcs.shape, zlib.compress(self.arcs.tobytes(), 1)
+        return self.vocab, self.enter, self.row, self.arcs.shape, zlib.compress(self.arcs.tobytes(), 1)
 
     def __setstate__(self, state):
-        vocab, enter, shape, arcs = state
-        self._set(vocab, enter, np.frombuffer(zlib.decompress(arcs), np.uint8).reshape(shape))
+        vocab, enter, row, shape, arcs = state
+        self._set(vocab, enter, np.frombuffer(zlib.decompress(arcs), np.uint8).reshape(shape), row)
 
     def encode(self, word: bytes) -> list[int]:
         return self.encode_all([word])[0]
@@ -98,7 +103,7 @@ class Automaton:
         step, inner, final, longest = self.trie
         node, end, found = np.ones(len(begin), np.int32), begin, []
         for _ in range(longest):
-            live = np.flatnonzero(end < stop)
+            live = np.flatnonzero((end < stop) & (node < len(step)))
             node = step[node[live], data[end[live]]]
             live, node = live[node > 0], node[node > 0]
             if not len(live):
@@ -127,7 +132,7 @@ class Automaton:
         state, back, last = (np.zeros(len(data) + len(words), np.int64) for _ in range(3))
         for a, b in zip(cuts, cuts[1:]):
             s, t, e = state[start[a:b]], token[a:b], end[a:b]
-            ok = (self.arcs[t, s >> 3] >> (s & 7)) & 1 == 1
+            ok = (self.arcs[self.row[t], s >> 3] >> (s & 7)) & 1 == 1
             t, e = t[ok], e[ok]
             state[e], last[e], back[e] = self.enter[t], t, start[a:b][ok]
         at, live, got = head + size + np.arange(len(words)), np.arange(len(words)), []
@@ -149,7 +154,7 @@ class Automaton:
         n = len(word)
         data = np.frombuffer(word, np.uint8)
         state, last, back = np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int32), np.zeros(n + 1, np.int64)
-        enter, arcs = self.enter, self.arcs
+        enter, arcs, row = self.enter, self.arcs, self.row
         reached = np.zeros(n + 1, bool)
         reached[0] = True
         for first in range(0, n, BLOCK):
@@ -158,7 +163,7 @@ class Automaton:
             order = np.argsort(start, kind="stable")  # a place's state is settled before its tokens are tried
             for a, e, t in zip(start[order].tolist(), end[order].tolist(), token[order].tolist()):
                 s = int(state[a])
-                if reached[a] and arcs[t, s >> 3] >> (s & 7) & 1:
+                if reached[a] and arcs[row[t], s >> 3] >> (s & 7) & 1:
                     state[e], last[e], back[e], reached[e] = enter[t], t, a, True
         out, at = [], n
         if not reached[n]:
@@ -212,7 +217,10 @@ def build(vocab: dict[str, int], merges: list[tuple[str, str]]) -> Automaton:
             n_known += 1
             enter[w] = into
             users[into] += 1
-    return Automaton(vocab, enter.astype(np.int32), np.ascontiguousarray(arcs[:, : (states + 7) // 8]))
+    width = (states + 7) // 8
+    rows: dict[bytes, int] = {}
+    row = np.array([rows.setdefault(arcs[t, :width].tobytes(), len(rows)) for t in range(size)], np.int32)
+    return Automaton(vocab, enter.astype(np.int32), np.frombuffer(b"".join(rows), np.uint8).reshape(-1, width), row)
 
 
 def load(path: str) -> tuple[Automaton, tuple[tuple[str, int], ...], tuple[str, dict[int, str]]]:
@@ -361,12 +369,17 @@ def sent(spark: SparkSession, path: str) -> Broadcast:
     if key not in _SENT:
         _SENT.clear()
         _SENT[key] = spark.sparkContext.broadcast(load(path))
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:  # what building the tables took goes back to the system
-            trim(0)
+        trim()
     return _SENT[key]
 
 
+def trim() -> None:
+    """Memory that is free within this process goes back to the system, where the C library can do that."""
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
 @functools.lru_cache(maxsize=1)
 def codec(held: Broadcast) -> Codec:
     """One codec a Python worker, which keeps the pieces it knows from task to task."""
@@ -394,5 +407,6 @@ def coded(spark: SparkSession, docs: DataFrame, path: str, carry: list[str], dig
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(n, pa.int64()), *(pa.array(c, pa.string()) for c in texts)], names=schema.names
             )
+        trim()  # the worker lives on for tasks of other stages
 
     return source.mapInArrow(run, schema)
