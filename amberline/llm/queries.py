@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm import bpe_automaton, mixing, pii, quality, secrets, simhash, suffix_dedup, token_store, toxicity, vptree
+from amberline.llm import bpe_automaton, collocations, mixing, pii, quality, rp_forest, secrets, simhash, suffix_dedup, token_store, toxicity, vptree, whitening
 from amberline.session import ship, table
 
 MIX_POWER, MIX_SEED = 0.5, 7
@@ -57,6 +57,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(ship(spark), table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(ship(spark), table(spark, sf_dir, "documents"), max_n=3, least=10, top=2000)
+
+
+def op12_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rp_forest.linked(ship(spark), table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whitened(ship(spark), table(spark, sf_dir, "embeddings"), most=8)
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
@@ -68,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_poisson_mix": op8_poisson_mix,
     "op9_vptree": op9_vptree,
     "op10_quality": op10_quality,
+    "op11_collocations": op11_collocations,
+    "op12_rp_forest": op12_rp_forest,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -98,4 +114,43 @@ ORACLE_SQL: dict[str, str] = {
         select query_id, row_number() over (partition by query_id order by score, vec_id)::int as rank, vec_id, score
         from d qualify row_number() over (partition by query_id order by score, vec_id) <= 10
     """,
+    "op11_collocations": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang,
+                   unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+            from documents
+        ),
+        words as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+        runs as (
+            select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase
+            from words, (values (1), (2), (3)) as t(k)
+        ),
+        f as (select lang, k, phrase, count(*) as f from runs group by all),
+        n as (select lang, sum(f)::bigint as n from f where k = 1 group by 1),
+        cand as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1 and f >= 10),
+        cuts as (
+            select c.lang, c.k, c.phrase, c.a, cut, h.f as l, t.f as r, (1000000::hugeint * c.a * c.a // (h.f::hugeint * t.f))::bigint as score
+            from cand as c, (values (1), (2)) as x(cut), f as h, f as t
+            where cut < c.k and h.lang = c.lang and t.lang = c.lang
+              and h.phrase = array_to_string(c.w[1:cut], ' ') and t.phrase = array_to_string(c.w[cut + 1:], ' ')
+        ),
+        best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+        longer as (select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as inside from cand where k = 3),
+        kept as (select * from best as b where not exists (from longer as o where o.lang = b.lang and o.inside = b.phrase and 100 * o.a >= 50 * b.a)),
+        ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+        select lang, rank, phrase, a, l, r, n, score from ranked join n using (lang) where rank <= 2000
+    """,
+    "op12_rp_forest": """
+        with recursive v as (
+            select row_number() over () as node, vec_id, embedding::double[] as e,
+                   coalesce(len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) as use
+            from embeddings
+        ),
+        links as (select a.node as x, b.node as y from v as a join v as b on a.node <> b.node and a.use and b.use and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach(node, there) as (select node, node from v union select r.node, l.y from reach as r join links as l on r.there = l.x),
+        component as (select r.node, min(v.vec_id) as component_id from reach as r join v on v.node = r.there group by 1),
+        n as (select x as node, count(*) as n_links from links group by 1)
+        select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id is not distinct from component_id as kept
+        from v join component using (node) left join n using (node)
+    """,
 }
