@@ -79,6 +79,15 @@ def average_precision(df: DataFrame, target: str, score: str) -> DataFrame:
     return steps.agg(F.round(F.try_divide(F.sum(F.col("y") * F.col("cy") / F.col("cn")), total), 6).alias("average_precision"))
 
 
+def average_precision_by(df: DataFrame, by: list[str], target: str, score: str) -> DataFrame:
+    """The same for each group: one global order of (group, score), from whose running sums those of earlier groups are taken."""
+    steps = df.groupBy(*by, F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("long")).alias("y"))
+    steps = running(steps, [*(F.asc(c) for c in by), F.desc("s")], {"cn": F.col("n"), "cy": F.col("y")})
+    before = steps.groupBy(*by).agg(F.min(F.col("cn") - F.col("n")).alias("bn"), F.min(F.col("cy") - F.col("y")).alias("by"))
+    own = steps.join(F.broadcast(before), by).groupBy(*by)  # one row a group
+    return own.agg(F.round(F.try_divide(F.sum(F.col("y") * (F.col("cy") - F.col("by")) / (F.col("cn") - F.col("bn"))), F.sum("y")), 6).alias("average_precision"))
+
+
 def calibration(df: DataFrame, target: str, score: str, bins: int = 10) -> DataFrame:
     """Mean score and observed rate in quantile bins; equal edges are one, a score on an edge belongs to the bin below."""
     cuts = F.array_sort(F.array_distinct(F.percentile(score, F.array(*(F.lit(i / bins) for i in range(bins + 1))))))

@@ -9,7 +9,7 @@ from amberline.functions.text import age_band, age_floor, blank_to_null, months_
 from amberline.operators import decision, features
 from amberline.operators.staging import staged
 from amberline.plans.profile_queries import SPOILED, spoiled
-from amberline.session import table
+from amberline.session import ship, table
 
 QUERIES, SQL = {}, {}
 
@@ -235,7 +235,7 @@ FOLDS = 5
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    d, labels = table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
     own = d.join(labels, "doc_id").select(
         "doc_id", "quality", F.col("n_chars").cast("double").alias("n_chars"), F.size(F.split("text", r"\s+")).cast("double").alias("n_words"), (F.col("lang") == "en").cast("double").alias("english"),
         (F.length(F.regexp_replace("text", r"[^#*$%&|<>]", "")) / F.greatest(F.length("text"), F.lit(1))).alias("symbol_share"), F.col("quality").cast("double").alias("amount"),

@@ -6,7 +6,6 @@ import pytest
 from amberline.plans import catalogue
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"cv_model_comparison", "feature_block_ablation", "holdout_evaluation"}
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +33,7 @@ def test_matches_sql(spark, sf, duck, name):
     same(df.collect(), df.columns, got.fetchall(), names)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_gives_rows(spark, sf, name):
     assert catalogue.QUERIES[name](spark, sf).count() > 0
 

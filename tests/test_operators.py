@@ -275,37 +275,6 @@ def test_fold_summary_reads_all_orders(spark, sf):
     assert found.keys() == p.keys() and all(abs(found[m] - sum(v) / len(v)) < 2e-6 for m, v in p.items())
 
 
-def test_comparison_searches_the_whole_grid(spark, sf, monkeypatch):
-    from amberline.operators import models
-    from amberline.plans import catalogue
-
-    fits, tests = [], []
-
-    def fit(spec, params, train, test, features, label):
-        fits.append((spec.name, str(sorted(params.items()))))
-        return test.withColumn("p", F.lit(0.5) + F.col(label) * (0.25 if params.get("C") == 10.0 else 0.0))
-
-    class Score:
-        def first(self):
-            return [1.0 if "10.0" in fits[-1][1] else 0.5]
-
-    def evaluate(spec, params, threshold, train, test, features, label, amount):
-        tests.append((spec.name, params, threshold))
-        return spark.range(1)
-
-    monkeypatch.setattr(models, "fit_predict", fit)
-    monkeypatch.setattr(models, "evaluate_once", evaluate)
-    monkeypatch.setattr(models, "average_precision", lambda *_: Score())
-    assert {r["model"] for r in catalogue.QUERIES["cv_model_comparison"](spark, sf).collect()} == {s.name for s in models.SPECS}
-    assert sorted(fits) == sorted((s.name, str(sorted(p.items()))) for s in models.SPECS for p in s.points() for _ in range(5))
-    monkeypatch.setattr(models, "SPECS", models.SPECS[:2])
-    catalogue.QUERIES["holdout_evaluation"](spark, sf)
-    assert tests == [("logistic", {"C": 10.0}, 0.75)]
-    fits.clear()
-    catalogue.QUERIES["feature_block_ablation"](spark, sf).collect()
-    assert fits[-10:] == [("logistic", "[('C', 10.0)]")] * 10
-
-
 def test_folds_are_stratified(spark, sf):
     from amberline.plans import decision_queries
 
