@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from amberline.operators.quantiles import quantiles
 from amberline.operators.staging import running
 
 #: Cost of one contact, in cents.
@@ -90,11 +91,10 @@ def average_precision_by(df: DataFrame, by: list[str], target: str, score: str)
 
 def calibration(df: DataFrame, target: str, score: str, bins: int = 10) -> DataFrame:
     """Mean score and observed rate in quantile bins; equal edges are one, a score on an edge belongs to the bin below."""
-    cuts = F.array_sort(F.array_distinct(F.percentile(score, F.array(*(F.lit(i / bins) for i in range(bins + 1))))))
-    edges = df.agg(cuts.alias("edges"))
-    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    number = F.size(F.filter(inner, lambda e: e < F.col(score)))
-    own = df.join(F.broadcast(edges)).select(number.alias("bin"), F.col(score).alias("p"), F.col(target).cast("double").alias("y"))  # one row of edges
+    cuts = quantiles(df, [score], [i / bins for i in range(bins + 1)])[score]
+    inner = sorted({c for c in cuts if c is not None})[1:-1]
+    number = F.size(F.filter(F.array(*map(F.lit, inner)).cast("array<double>"), lambda e: e < F.col(score)))
+    own = df.select(number.alias("bin"), F.col(score).alias("p"), F.col(target).cast("double").alias("y"))
     return own.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 6).alias("mean_score"), F.round(F.avg("y"), 6).alias("observed"))
 
 

@@ -7,8 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from amberline.operators.quantiles import quantiles
 from amberline.operators.staging import running
 
+#: Values of a target beyond which it is a measure and not a class.
+MOST_CLASSES = 1000
 FORBIDDEN = ("TARGET_B", "TARGET_D", "CONTROLN")
 
 
@@ -22,7 +25,9 @@ def stratified_split(df: DataFrame, target: str, key: str, share: float = 0.2, s
     Rows are ranked within their class by a hash of the key (ties by key). A class gets the whole part
     of its quota; what is missing to the total goes to the largest remainders.
     """
-    counts = df.groupBy(F.col(target).alias("_y")).agg(F.count(F.lit(1)).alias("_n")).collect()  # one row a class
+    counts = df.groupBy(F.col(target).alias("_y")).agg(F.count(F.lit(1)).alias("_n")).limit(MOST_CLASSES + 1).collect()  # one row a class
+    if len(counts) > MOST_CLASSES:
+        raise ValueError(f"{target} has more than {MOST_CLASSES} values: not classes")
     if len(counts) < 2:
         raise ValueError("a stratified split needs two classes or more")
     n = sum(r["_n"] for r in counts)
@@ -43,10 +48,6 @@ def stratified_split(df: DataFrame, target: str, key: str, share: float = 0.2, s
     return ranked.withColumn("split", F.when(test, into).otherwise(rest)).drop("_h", "_k")
 
 
-def fold_column(key: Column, folds: int = 5, seed: int = 2026) -> Column:
-    return F.pmod(F.conv(F.substring(portable_hash(key, seed), 1, 8), 16, 10).cast("long"), F.lit(folds)).cast("int")
-
-
 def stratified_folds(df: DataFrame, target: str, key: str, folds: int = 5, seed: int = 2026, into: str = "fold") -> DataFrame:
     """A fold per row; within each class, rows in hash order go to the folds in turn, so that counts differ by one at most."""
     ranked = running(df.withColumn("_h", portable_hash(F.col(key), seed)), [F.asc(target), F.asc("_h"), F.asc(key)], {}, "_k")
@@ -83,8 +84,7 @@ class Medians:
 
     @classmethod
     def fit(cls, train: DataFrame, columns: list[str]) -> Medians:
-        row = train.agg(*(F.percentile(c, F.lit(0.5)).alias(c) for c in columns)).first()
-        return cls({c: row[c] for c in columns})
+        return cls({c: q[0] for c, q in quantiles(train, columns, [0.5]).items()})
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in self.values.items()})

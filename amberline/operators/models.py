@@ -23,6 +23,7 @@ from pyspark.sql.types import MapType
 from amberline.operators import trees
 from amberline.operators.decision import average_precision, average_precision_by, fold_summary, metrics_at
 from amberline.operators.staging import staged
+from amberline.session import ship
 
 
 @dataclass(frozen=True)
@@ -143,6 +144,7 @@ def scores(spark: SparkSession, spec: Spec, points: list[dict[str, Any]], df: Da
     Features are numbers; a null counts as 0. Rows without a label are scored but not learned from: their fold must be held.
     """
     x = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features)) if features else F.array().cast("array<double>")
+    ship(spark)
     own = staged(df.withColumns({"_row": F.monotonically_increasing_id(), "_x": x}), "fits")
     seeds = [f.name for f in df.schema if f.name != label and not isinstance(f.dataType, MapType)]  # a row draws by what it holds
     rows = own.select(F.col("_row").alias("row"), F.xxhash64(*seeds).alias("key"), F.coalesce(F.col(label).cast("double"), F.lit(0.0)).alias("y"), F.col(fold).cast("int").alias("fold"), F.col("_x").alias("x"))

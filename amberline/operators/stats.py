@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from amberline.functions.text import erfc
+from amberline.operators.quantiles import quantiles
 from amberline.operators.staging import running
 
 
@@ -38,10 +39,10 @@ def target_rate(df: DataFrame, target: str) -> DataFrame:
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """Exact quantiles (linear between ranks) and the sample deviation."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.agg(F.count(column).alias("n"), F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"))
+    q = [F.lit(v).cast("double") for v in quantiles(df, [column], [0.25, 0.5, 0.75])[column]]
+    out = df.agg(F.count(column).alias("n"), F.min(column).alias("min"), F.max(column).alias("max"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"))
     r = lambda c, name: F.round(c, 4).alias(name)
-    return out.select("n", r(F.col("min"), "min"), r(F.get("q", F.lit(0)), "q25"), r(F.get("q", F.lit(1)), "median"), r(F.get("q", F.lit(2)), "q75"), r(F.col("max"), "max"), r(F.col("mean"), "mean"), r(F.col("std"), "std"))
+    return out.select("n", r(F.col("min"), "min"), r(q[0], "q25"), r(q[1], "median"), r(q[2], "q75"), r(F.col("max"), "max"), r(F.col("mean"), "mean"), r(F.col("std"), "std"))
 
 
 def ranked_quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
