@@ -56,12 +56,6 @@ def stratified_folds(df: DataFrame, target: str, key: str, folds: int = 5, seed:
     return own.withColumn(into, F.pmod(F.col("_k") - F.col("_first"), F.lit(folds)).cast("int")).drop("_h", "_k", "_y", "_first")
 
 
-def feature_projection(df: DataFrame, target: str, forbidden: tuple[str, ...] = FORBIDDEN) -> DataFrame:
-    if target not in df.columns:
-        raise ValueError(f"no target column {target}")
-    return df.drop(*forbidden, target)
-
-
 def non_null_count(columns: list[str]) -> Column:
     return sum((F.col(c).isNotNull().cast("int") for c in columns[1:]), F.col(columns[0]).isNotNull().cast("int"))
 
@@ -119,7 +113,7 @@ class OneHot:
         counts = train.groupBy(level.alias("v")).agg(F.count(F.lit(1)).alias("n"))
         kept = [r["v"] for r in counts.where(F.col("n") >= least).orderBy("v").limit(most + 1).collect()]
         if len(kept) > most:
-            raise ValueError(f"{column} has more than {most} frequent levels")
+            raise ValueError(f"{column} has more than {most} frequent levels: a column each is too wide, pipeline.LevelFlags makes one sparse vector of them")
         return cls(column, tuple(kept), bool(counts.where(F.col("n") < least).limit(1).count()))
 
     def encode(self) -> list[Column]:

@@ -231,6 +231,82 @@ def dummy_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit_predict(SPECS[0], {}, df.where("k % 5 <> 0"), df.where("k % 5 = 0"), [], "y").select("k", F.round("p", 6).alias("p"))
 
 
+#: Raw rows of a campaign: blanks, unknown codes, dates that are none, responses of earlier campaigns, a census column.
+RAW = """raw as (select c_custkey as CONTROLN, (c_mktsegment = 'BUILDING')::int as TARGET_B, case when c_mktsegment = 'BUILDING' then c_nationkey else 0 end::double as TARGET_D,
+    case when c_custkey % 5 = 0 then null else c_acctbal end as balance, c_custkey % 110 as age, (c_custkey % 97) * 100 + c_custkey % 14 as dob, case when c_custkey % 2 = 0 then 1 end as RAMNT_3, case when c_custkey % 3 = 0 then 1 end as RAMNT_14,
+    case when c_custkey % 7 = 0 then ' ' when c_custkey % 300 = 1 then 'rare' || c_custkey else c_mktsegment end as segment, case c_custkey % 5 when 0 then 'D' when 1 then 'E' when 2 then 'G' when 3 then 'Z' end as grade,
+    case when c_custkey % 6 = 0 then null when c_custkey % 10 = 1 then 'N' || c_custkey else 'N' || c_nationkey end as nation, c_nationkey % 4 as HH1 from customer)"""
+
+
+def raw_campaign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, own = F.col("c_custkey"), F.col("c_mktsegment") == "BUILDING"
+    text = lambda c: F.concat(F.lit("N"), c.cast("string"))
+    return table(spark, sf_dir, "customer").select(
+        k.alias("CONTROLN"), own.cast("int").alias("TARGET_B"), F.when(own, F.col("c_nationkey")).otherwise(0).cast("double").alias("TARGET_D"), F.when(k % 5 != 0, F.col("c_acctbal")).alias("balance"), (k % 110).alias("age"),
+        (k % 97 * 100 + k % 14).alias("dob"), F.when(k % 2 == 0, 1).alias("RAMNT_3"), F.when(k % 3 == 0, 1).alias("RAMNT_14"),
+        F.when(k % 7 == 0, " ").when(k % 300 == 1, F.concat(F.lit("rare"), k.cast("string"))).otherwise(F.col("c_mktsegment")).alias("segment"), F.when(k % 5 == 0, "D").when(k % 5 == 1, "E").when(k % 5 == 2, "G").when(k % 5 == 3, "Z").alias("grade"),
+        F.when(k % 6 == 0, None).when(k % 10 == 1, text(k)).otherwise(text(F.col("c_nationkey"))).alias("nation"), (F.col("c_nationkey") % 4).alias("HH1"),
+    )
+
+
+GRADES, SEGMENTS = ["D", "E", "F", "G"], ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "missing"]
+_POLICY_SQL = f"""{RAW}, own as (select CONTROLN as k, TARGET_B as y, TARGET_D as amount, balance, case when age > 5 then age end::double as age,
+    case when dob % 100 between 1 and 12 then (97 * 12 + 6) - (dob // 100 * 12 + dob % 100) end::double as dob_months, ((RAMNT_3 is not null)::int + (RAMNT_14 is not null)::int)::double as n_responses, HH1::double as HH1,
+    nullif(trim(segment), '') as segment, grade, nation from raw)"""
+_NUMBERS = ["balance", "age", "dob_months", "n_responses", "HH1"]
+
+
+def _policy(census: bool):
+    from amberline.operators.pipeline import PolicyFrame
+
+    return PolicyFrame(numeric=["balance", "age"], categorical=["segment", "grade", "nation"], dates=["dob"], ages=["age"], responses=r"RAMNT_(\d+)$", census=census, censusCols=["HH1"], keep=["_key", "_y", "_amount"])
+
+
+@query(f"with {_POLICY_SQL} select k, y, amount, balance, age, dob_months, n_responses, segment, grade, nation, {', '.join(f'count({c}) over () as {c}_filled' for c in ('age', 'dob_months'))} from own")
+def policy_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    from amberline.operators.pipeline import labelled
+
+    df = labelled(raw_campaign(spark, sf_dir), "TARGET_B", "TARGET_D", "CONTROLN")
+    out = _policy(False).fit(df).transform(df).select(F.col("_key").alias("k"), F.col("_y").alias("y"), F.col("_amount").alias("amount"), "balance", "age", "dob_months", "n_responses", "segment", "grade", "nation")
+    filled = out.agg(*(F.count(c).alias(f"{c}_filled") for c in ("age", "dob_months")))
+    return out.join(F.broadcast(filled))  # one row
+
+
+_FILLED = ", ".join(f"coalesce({c}, (select quantile_cont({c}, 0.5) from own where k % 2 = 0)) as {c}" for c in _NUMBERS)
+_SCALED = ", ".join(f"round(coalesce(({c} - (select avg({c}) from coded where k % 2 = 0)) / nullif((select stddev_pop({c}) from coded where k % 2 = 0), 0), {c} - (select avg({c}) from coded where k % 2 = 0)), 6) as {c}" for c in [*_NUMBERS, "grade", "nation"])
+
+
+@query(f"""with {_POLICY_SQL}, places as (select *, case grade when 'D' then 0 when 'E' then 1 when 'F' then 2 when 'G' then 3 end::double as place, coalesce(segment, 'missing') as level from own),
+    shares as (select nation as n, count(*) / (select count(nation) from own where k % 2 = 0) as s from own where k % 2 = 0 and nation is not null group by 1),
+    often as (select level as v from places where k % 2 = 0 group by 1 having count(*) >= 10),
+    coded as (select k, y, level, {_FILLED}, coalesce(place, (select quantile_cont(place, 0.5) from places where k % 2 = 0)) as grade, coalesce(s, 0.0) as nation from places left join shares on nation = n)
+    select k, y, {_SCALED}, {', '.join(f"(level = '{v}' and level in (select v from often))::int as is_{v.lower()}" for v in SEGMENTS)},
+        (level not in (select v from often) and exists (select 1 from coded where k % 2 = 0 and level not in (select v from often)))::int as is_infrequent from coded where k % 2 = 1""")
+def saved_feature_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on the even half, written to the shared folder, read again and applied to the odd half."""
+    import uuid
+
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    from amberline.operators import pipeline
+    from amberline.operators.staging import shared_dir
+
+    df = pipeline.labelled(raw_campaign(ship(spark), sf_dir), "TARGET_B", "TARGET_D", "CONTROLN")
+    path = f"{shared_dir(spark)}/features-{uuid.uuid4().hex[:12]}"
+    pipeline.pipeline(_policy(True), ["segment"], {"grade": GRADES}, ["nation"], scaled=True).fit(df.where("_key % 2 = 0")).write().save(path)
+    fitted = PipelineModel.load(path)
+    names = next(s for s in fitted.stages if isinstance(s, PipelineModel)).stages[0].names("segment")
+    at = lambda k: F.get("v", F.lit(k))
+    flag = lambda name: (at(len(_NUMBERS) + names.index(name)) if name in names else F.lit(0.0)).cast("int")
+    own = fitted.transform(df.where("_key % 2 = 1")).withColumn("v", vector_to_array("features"))
+    numbers = [F.round(at(k if k < len(_NUMBERS) else k + len(names)), 6).alias(c) for k, c in enumerate([*_NUMBERS, "grade", "nation"])]
+    flags = [flag(v).alias(f"is_{v.lower()}") for v in SEGMENTS]
+    return own.select(F.col("_key").alias("k"), F.col("_y").alias("y"), *numbers, *flags, flag(pipeline.INFREQUENT).alias("is_infrequent"))
+
+
 FOLDS = 5
 
 
