@@ -91,12 +91,16 @@ class Contacts:
 
 
 def find_pages(chunks: DataFrame, fallback: Contacts = Contacts()) -> DataFrame:
-    """One row: the first page, in corpus order, whose URL speaks of contact, and of clinical care."""
+    """One row: the first page, in corpus order, whose URL speaks of contact, and of clinical care, null where there is none.
+
+    ``contact_fields`` and ``clinical_fields`` are what templates name: the page, or else the fallback, which is never cited.
+    """
     low = F.lower("url")
     first = lambda *parts: F.min_by(F.struct("title", "url"), F.when(reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in parts]), F.col("ord")))
     own = chunks.agg(first("contact").alias("contact"), first("clinical-care", "care-network", "care_network").alias("care"), first("clinical").alias("any"))
+    own = own.select("contact", F.coalesce("care", "any", "contact").alias("clinical"))
     default = F.struct(F.lit(fallback.title).alias("title"), F.lit(fallback.url).alias("url"))
-    return own.select(F.coalesce("contact", default).alias("contact"), F.coalesce("care", "any", "contact", default).alias("clinical"))
+    return own.select("contact", "clinical", F.coalesce("contact", default).alias("contact_fields"), F.coalesce("clinical", "contact", default).alias("clinical_fields"))
 
 
 def signals(index: retrieval.Index, questions: DataFrame, hits: DataFrame | None = None) -> DataFrame:
@@ -139,9 +143,9 @@ def answers(index: retrieval.Index, questions: DataFrame, fallback: Contacts = C
     way = routed(signals(index, questions, hits))
     pages = F.broadcast(find_pages(index.chunks, fallback))  # one row
     out = way.join(extracts(index, hits), "query_id", "left").join(pages)
-    fields = {f"{p}_{f}": F.col(p)[f] for p in ("contact", "clinical") for f in ("title", "url")}
+    fields = {f"{p}_{f}": F.col(f"{p}_fields")[f] for p in ("contact", "clinical") for f in ("title", "url")}
     text = F.when(F.col("kind") == "refusal", render(REFUSAL, fields)).when(F.col("kind") == "escalation", render(ESCALATION, fields)).otherwise(F.col("extract"))
-    cites = F.when(F.col("kind") == "refusal", F.array_distinct(F.array("clinical", "contact"))).when(F.col("kind") == "escalation", F.array("contact")).otherwise(F.col("cited"))
+    cites = F.when(F.col("kind") == "refusal", F.array_distinct(F.array_compact(F.array("clinical", "contact")))).when(F.col("kind") == "escalation", F.array_compact(F.array("contact"))).otherwise(F.col("cited"))
     return out.select(*questions.columns, "kind", text.alias("text"), cites.alias("citations"), "top_score", "overlap", "coverage")
 
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from amberline.functions import text
 from amberline.operators import chunks, retrieval, routing
-from amberline.operators.staging import staged
+from amberline.operators.staging import running, shared_dir, staged
 from amberline.session import table
-from amberline.sources import html, tables
+from amberline.sources import crawl, html, tables
 
 QUERIES, SQL = {}, {}
 
@@ -262,7 +262,18 @@ def route_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.routed(routing.signals(_index(spark, sf_dir), _asked(spark, sf_dir))).select("query_id", "kind")
 
 
-@query()
+_SQ = lambda t: t.replace("'", "''")
+_CONTACT = routing.Contacts()
+_FIXED = {k: _SQ(t.format(contact_title=_CONTACT.title, contact_url=_CONTACT.url, clinical_title=_CONTACT.title, clinical_url=_CONTACT.url)) for k, t in (("refusal", routing.REFUSAL), ("escalation", routing.ESCALATION))}
+_QUOTE = r"""case when len(w) <= 90 then regexp_replace(text, '^\s+|\s+$', '', 'g') when regexp_extract(head, '(?s)^(.*[.!?])(?:\s|$)', 1) <> '' then regexp_extract(head, '(?s)^(.*[.!?])(?:\s|$)', 1) else head end"""
+
+
+@query(rf"""with {_ASKED_BM25}, {_ROUTED}, place as (select query_id, url, min(rank) as rank from best join chunk using (ord) where rank <= {routing.TOP_K} group by 1, 2 qualify row_number() over (partition by query_id order by min(rank)) <= 2),
+    body as (select chunk.ord, text, {_WORDS} as w, array_to_string(({_WORDS})[1:90], ' ') as head from (select row_number() over (order by doc_id, source, text) - 1 as ord, text from documents) as chunk),
+    part as (select query_id, rank, url, 'From "' || url || '":' || chr(10) || {_QUOTE} as part from place join best using (query_id, rank) join body using (ord)),
+    quoted as (select query_id, string_agg(part, chr(10) || chr(10) order by rank) || chr(10) || chr(10) || '{_SQ(routing.POINTER)}' as extract, string_agg('- ' || url || ': ' || url, chr(10) order by rank) as sources, count(*) as n from part group by 1)
+    select query_id, kind, case kind when 'refusal' then '[REFUSAL]' || chr(10) || '{_FIXED["refusal"]}' when 'escalation' then '[ESCALATION]' || chr(10) || '{_FIXED["escalation"]}'
+        else '[ANSWER]' || chr(10) || extract || chr(10) || chr(10) || 'Sources:' || chr(10) || sources end as shown, case when kind = 'answer' then n else 0 end::int as n_citations from way left join quoted using (query_id)""")
 def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = routing.answers(_index(spark, sf_dir), _asked(spark, sf_dir))
     return own.select("query_id", "kind", routing.formatted(F.col("kind"), F.col("text"), F.col("citations")).alias("shown"), F.size("citations").alias("n_citations"))
@@ -303,13 +314,74 @@ def manifest_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.manifest_summary(table(spark, sf_dir, "pages").select(status.alias("status"), F.length("html").cast("long").alias("word_count")))
 
 
-@query(r"""with p as (select page_id, url, coalesce(nullif(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), ''), '/') as path from pages),
-    r(prefix, allow) as (values ('/fr/', false), ('/fr/1', true), ('/en/2', false), ('/private', false)),
-    hit as (select page_id, allow, row_number() over (partition by page_id order by len(prefix) desc, allow desc) as n from p join r on starts_with(path, prefix))
-    select page_id, coalesce(allow, true) as allowed from p left join (select * from hit where n = 1) using (page_id)""")
+#: Rules of the hosts' robots.txt files; the first that matches decides. Some are escaped, some come under another agent or after an empty line.
+ROBOTS = [("Disallow: /en/1", False), ("Allow: /fr/1", True), ("Disallow: /fr/", False), ("Allow: /en/25", True), ("Disallow: /%65n/2", False), ("disallow : /de/*", False), ("Disallow: /es/5 # and below", False)]
+_ROBOTS_SQL = "r(n, prefix, allow) as (values (0, '/en/1', false), (1, '/fr/1', true), (2, '/fr/', false), (3, '/en/25', true), (4, '/en/2', false), (5, '/de/*', false), (6, '/es/5', false))"
+_SITE_SQL = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
+
+
+@query(rf"""with p as (select page_id, {_SITE_SQL} as site, coalesce(nullif(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', ''), ''), '/') as path from pages), {_ROBOTS_SQL},
+    hit as (select page_id, arg_min(allow, n) as allow from p join r on starts_with(path, prefix) where not (n = 0 and site like 'blog.%') group by 1)
+    select page_id, coalesce(allow, true) as allowed from p left join hit using (page_id)""")
 def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame([("/fr/", False), ("/fr/1", True), ("/en/2", False), ("/private", False)], "prefix string, allow boolean")
-    return tables.robots_allowed(table(spark, sf_dir, "pages"), rules).select("page_id", "allowed")
+    """Every host's robots.txt, read and held against its pages; those of blogs have no first rule."""
+    pages = table(spark, sf_dir, "pages")
+    rules = F.lit("\n".join(r for r, _ in ROBOTS[1:]))
+    first = F.when(F.startswith("site", F.lit("blog.")), "").otherwise(ROBOTS[0][0] + "\n")
+    body = F.concat(F.lit("# all hosts\nUser-agent: other-bot\nDisallow: /\n\nDisallow: /\nUser-Agent: third\nUSER-AGENT: *\n"), first, rules, F.lit("\nCrawl-delay: 5\n\nUser-agent: *\nDisallow: /\n"))
+    files = pages.select(crawl.site_of(F.col("url")).alias("site")).distinct().select("site", F.lit(200).alias("status"), body.alias("body"))
+    return crawl.robots_allowed(pages, crawl.robots_rules(files, "amberline/1.0")).select("page_id", "allowed")
+
+
+@query(rf"""with f as (select url, 99 - page_id % 100 // 25 as file, page_id // 100 * 25 + page_id % 25 as place, page_id from pages),
+    first as (select url, min((file, page_id)) as met from f where url like '%example.com%' and {_SITE_SQL} like '%example.com%' and url not like '%/fr/%' and url not like '%ref=%' group by 1)
+    select url, row_number() over (order by met) as n from first""")
+def sitemap_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs named by sitemaps that an index lists, last file first; each URL where it is met first."""
+    pages = table(spark, sf_dir, "pages").withColumn("file", F.floor(F.col("page_id") % 100 / 25).cast("int"))
+    safe = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    shown = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("<![CDATA["), F.col("url"), F.lit("]]>"))).otherwise(F.concat(F.lit("\n  "), safe, F.lit("\n ")))
+    item = F.concat(F.lit("<sm:url><sm:loc>"), shown, F.lit("</sm:loc><sm:priority>0.5</sm:priority></sm:url>"))
+    head, space = '<?xml version="1.0" encoding="UTF-8"?>', ' xmlns:sm="http://www.sitemaps.org/schemas/sitemap/0.9">'
+    many = pages.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("page_id", item.alias("item")))).alias("items"))
+    files = many.select(F.concat(F.lit("https://x.example/sitemap-"), F.col("file").cast("string")).alias("location"), F.concat(F.lit(f"{head}<sm:urlset{space}"), F.array_join("items.item", ""), F.lit("</sm:urlset>")).alias("body"))
+    listed = "".join(f"<sitemap><loc>https://x.example/sitemap-{k}</loc></sitemap>" for k in (3, 2, 1, 0, 7))
+    index = spark.createDataFrame([("https://x.example/index", f'{head}<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">{listed}<sitemap><loc>https://x.example/index</loc></sitemap></sitemapindex>')], "location string, body string")
+    urls = crawl.sitemap_urls(files.unionByName(index), "https://x.example/index")
+    found = tables.discovered(urls, "url", "place", "example.com", ("/fr/", "ref="))
+    return running(found, [F.asc("place"), F.asc("url")], {}, "n").select("url", "n")
+
+
+_WORD_COUNT = r"len(list_filter(regexp_split_to_array(html, '\s+'), lambda x: x <> ''))"
+
+
+@query(f"""select 'https://corpus.example/p/' || page_id || '?a=' || (page_id % 3) as url, 'p_' || page_id || '_a_' || (page_id % 3) || '.json' as file, case when page_id % 5 = 0 then null else 'T' || page_id end as title, 200 as http_status,
+    {_WORD_COUNT}::bigint as word_count, sha256(html) as sha256, 2::int as n_blocks, md5(html) as text_md5 from pages""")
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as one JSON file each and read back."""
+    import uuid
+
+    k = F.col("page_id")
+    blocks = F.array(F.struct(F.lit("heading").alias("kind"), F.lit("\u201ch\u201d").alias("text")), F.struct(F.lit("text").alias("kind"), F.col("html").alias("text")))
+    pages = table(spark, sf_dir, "pages").select(
+        F.concat(F.lit("https://corpus.example/p/"), k.cast("string"), F.lit("?a="), (k % 3).cast("string")).alias("url"), F.when(k % 5 != 0, F.concat(F.lit("T"), k.cast("string"))).alias("title"), F.lit(200).alias("http_status"),
+        F.lit("2026-01-01T00:00:00+00:00").alias("fetch_timestamp"), text.word_count(F.col("html")).cast("long").alias("word_count"), F.sha2("html", 256).alias("sha256"), blocks.alias("blocks"),
+    )
+    path = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex[:12]}"
+    crawl.write_corpus(pages, path)
+    read = tables.read_pages(spark, path)
+    return read.select("url", F.regexp_extract("path", "[^/]+$", 0).alias("file"), "title", "http_status", "word_count", "sha256", F.size("blocks").alias("n_blocks"), F.md5(F.get("blocks", F.lit(1))["text"].cast("binary")).alias("text_md5"))
+
+
+@query("""select c_mktsegment as segment, count(*) as n, round(avg(c_acctbal), 4) as mean, case when c_mktsegment like 'B%' then null else min(c_name) end as first from customer group by 1""")
+def csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report written as CSV with a header and read back by its declared schema."""
+    import uuid
+
+    own = table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("c_acctbal"), 4).alias("mean"), F.when(~F.startswith("segment", F.lit("B")), F.min("c_name")).alias("first"))
+    path = f"{shared_dir(spark)}/report-{uuid.uuid4().hex[:12]}"
+    tables.write_csv(own, path)
+    return tables.read_csv(spark, path, own.schema)
 
 
 @query(f"""with {_BM25}, {_COVERAGE}, {_OVERLAP}, {_EVAL} select query_id, category, reciprocal_rank, hit_at_3, coalesce(coverage, 0.0) as coverage, coalesce(overlap, 0.0) as overlap, coalesce(round(score, 6), 0.0) as top_score

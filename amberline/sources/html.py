@@ -9,24 +9,29 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from amberline.operators.batches import slices
+
 # Elements and classes that are not content.
 CHROME_TAGS = {"nav", "header", "footer", "form", "script", "style", "noscript"}
 CHROME_CLASS = re.compile(r"(google-translate|search-\d|social-media|footer-|quicklinks|skip-to-main)")
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 LABEL_WORDS = 12
+#: Bytes of HTML that are parsed before their rows go on.
+SLICE = 4 << 20
 BLOCKS = "title string, blocks array<struct<kind:string,text:string>>"
 
 
 class Node:
-    __slots__ = ("name", "attrs", "parts", "parent", "mark")
+    __slots__ = ("name", "attrs", "parts", "parent", "span")
 
     def __init__(self, name: str, attrs: dict[str, str | None], parent: Node | None):
-        self.name, self.attrs, self.parent, self.parts, self.mark = name, attrs, parent, [], None
+        self.name, self.attrs, self.parent, self.parts, self.span = name, attrs, parent, [], (0, 0)
 
     def walk(self) -> Iterator[Node]:
         stack = [self]
@@ -44,8 +49,23 @@ class Node:
             else:
                 stack += reversed(node.parts)
 
-    def text(self) -> str:
-        return " ".join(s for s in (x.strip() for x in self.strings()) if s)
+
+def spanned(region: Node) -> list[str]:
+    """The strings of a region that are not blank, in order; each node gets the part of them that it covers, by one walk."""
+    found: list[str] = []
+    stack: list[tuple[Node | str, bool]] = [(region, False)]
+    while stack:
+        node, left = stack.pop()
+        if isinstance(node, str):
+            if node := node.strip():
+                found.append(node)
+        elif left:
+            node.span = (node.span[0], len(found))
+        else:
+            node.span = (len(found), 0)
+            stack.append((node, True))
+            stack += [(p, False) for p in reversed(node.parts)]
+    return found
 
 
 class Builder(HTMLParser):
@@ -102,22 +122,25 @@ def blocks(html: str | None, url: str | None) -> tuple[str, list[dict[str, str]]
 
     for node in list(region.walk()):
         node.parts = [p for p in node.parts if isinstance(p, str) or not chrome(p)]
-    for node in region.walk():
-        if node.name in HEADINGS and (text := node.text()):
-            node.mark = text
-    for node in region.walk():
-        if node.name in ("strong", "b") and (text := node.text()) and len(text.split()) <= LABEL_WORDS and node.parent is not None and node.parent.text() == text:
-            node.mark = text
+    strings = spanned(region)
+    words = [0, *accumulate(len(x.split()) for x in strings)]
+
+    def label(n: Node) -> bool:
+        first, last = n.span
+        if first == last:
+            return False
+        return n.name in HEADINGS or n.name in ("strong", "b") and words[last] - words[first] <= LABEL_WORDS and n.parent is not None and n.parent.span == n.span
+
     out: list[dict[str, str]] = []
     seen: set[str] = set()
     stack: list[Node | str] = [region]
     while stack:
         node = stack.pop()
-        if isinstance(node, Node) and node.mark is None:
+        heading = isinstance(node, Node)
+        if heading and not label(node):
             stack += reversed(node.parts)
             continue
-        heading = isinstance(node, Node)
-        for line in (node.mark if heading else node).split("\n"):
+        for line in (" ".join(strings[slice(*node.span)]) if heading else node).split("\n"):
             if line := line.strip():
                 first = heading and line.lower() not in seen
                 if first:
@@ -134,8 +157,8 @@ def extracted(pages: DataFrame, html: str = "html", url: str = "url") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
-        for batch in batches:
+        for batch in slices(batches, html, SLICE):
             made = [blocks(h, u) for h, u in zip(batch.column(html).to_pylist(), batch.column(url).to_pylist())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], kind)], names=[*kept, "title", "blocks"])
 
-    return pages.mapInArrow(run, schema)
+    return pages.withColumn(html, pages[html].cast("string")).mapInArrow(run, schema)

@@ -45,14 +45,6 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_pages(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
-
-
-def sitemap_urls(xml: Column) -> Column:
-    return F.transform(F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<\s]+)\s*</loc>"), F.lit(1)), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&")))
-
-
 def first_occurrences(df: DataFrame, key: str, order: str) -> DataFrame:
     """Distinct keys with the least place at which each occurs."""
     return df.groupBy(key).agg(F.min(order).alias(order))
@@ -82,19 +74,6 @@ def manifest_diff(listed: DataFrame, held: DataFrame) -> DataFrame:
     return both.withColumn("reason", reason).where("reason is not null")
 
 
-def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """``urls`` with ``allowed``: the rule with the longest prefix of the path decides, allow before disallow; no rule allows.
-
-    ``rules(prefix, allow)`` of one site and agent is a short list; prefixes of a path are looked up
-    by equality, so the join stays an equi-join.
-    """
-    path = F.coalesce(F.nullif(F.regexp_replace(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), F.lit("")), F.lit("/"))
-    each = urls.withColumn("_path", path).select("*", F.explode(F.sequence(F.lit(0), F.length("_path"))).alias("_n"))
-    hit = each.select(url, "_n", F.substring("_path", F.lit(1), F.col("_n")).alias("prefix")).distinct().join(rules.where("prefix <> ''"), "prefix")
-    best = hit.groupBy(url).agg(F.max(F.struct("_n", "allow")).alias("b")).select(url, F.col("b.allow").alias("allowed"))
-    return urls.join(best, url, "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))
-
-
 def assembled(fetched: DataFrame) -> dict[str, DataFrame]:
     """Pages, failures and excluded URLs of ``fetched(url, status, ...)``, where status also says ``excluded``."""
     status = F.col("status")
