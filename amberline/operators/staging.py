@@ -28,20 +28,32 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hidden(columns: list[str], name: str) -> str:
+    """A name for a column of our own that none of ``columns`` has, whatever their case."""
+    taken, name = {c.lower() for c in columns}, f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column], number: str = "k") -> DataFrame:
     """``df`` with a global row number and running sums in ``order``, which must be total.
 
     Rows are range-partitioned by the order and written once; sums of whole partitions (one row
     each) give the offsets, and each partition is then summed on its own, so no task sees all rows.
+    Columns of any name pass through.
     """
-    named = df.withColumns({f"_s{i}": c for i, c in enumerate(sums.values())})
+    own = lambda name: hidden(df.columns, name)
+    part, n, place = own("part"), own("n"), own("r")
+    added, before_, local_ = ([own(f"{c}{i}") for i in range(len(sums))] for c in "stl")
+    named = df.withColumns(dict(zip(added, sums.values())))
     # the file that a row lies in names its range, whatever later reads do with files
-    ranged = named.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = named.repartitionByRange(*order).withColumn(part, F.spark_partition_id())
     ranged = staged(ranged, "ordered")
-    totals = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(f"_s{i}").alias(f"_t{i}") for i in range(len(sums))))
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
-    offsets = totals.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), *(F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_t{i}") for i in range(len(sums))))
-    local = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = ranged.withColumns({"_r": F.row_number().over(W.partitionBy("_part").orderBy(*order)), **{f"_l{i}": F.sum(f"_s{i}").over(local) for i in range(len(sums))}})
-    out = out.join(offsets, "_part")
-    return out.select(*df.columns, (F.col("_n") + F.col("_r")).alias(number), *((F.col(f"_t{i}") + F.col(f"_l{i}")).alias(name) for i, name in enumerate(sums)))
+    totals = ranged.groupBy(part).agg(F.count(F.lit(1)).alias(n), *(F.sum(s).alias(t) for s, t in zip(added, before_)))
+    before = W.orderBy(part).rowsBetween(W.unboundedPreceding, -1)  # one row a partition
+    offsets = totals.select(part, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in [n, *before_]))
+    local = W.partitionBy(part).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = ranged.withColumns({place: F.row_number().over(W.partitionBy(part).orderBy(*order)), **{c: F.sum(s).over(local) for s, c in zip(added, local_)}})
+    out = out.join(offsets, part)
+    return out.select(*df.columns, (F.col(n) + F.col(place)).alias(number), *((F.col(t) + F.col(c)).alias(name) for name, t, c in zip(sums, before_, local_)))

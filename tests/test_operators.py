@@ -286,3 +286,18 @@ def test_folds_are_stratified(spark, sf):
         for r in own.groupBy(y, "fold").count().collect():
             n.setdefault(r[y], []).append(r["count"])
         assert all(len(c) == 5 and max(c) - min(c) <= 1 for c in n.values())
+
+
+def test_running_sums_beside_columns_of_any_name(spark):
+    from amberline.operators.staging import running
+
+    names = ["_part", "_n", "_r", "_S0", "_t0", "_l0", "__part"]
+    df = spark.range(50).select("id", *(F.lit(f"{c}!").alias(c) for c in names))
+    got = running(df, [F.desc("id")], {"total": F.col("id")}, "place").collect()
+    assert all([r[c] for c in names] == [f"{c}!" for c in names] for r in got)
+    assert {r["id"]: (r["place"], r["total"]) for r in got} == {k: (50 - k, sum(range(k, 50))) for k in range(50)}
+
+
+def test_a_measure_is_not_split_by_class(spark):
+    with pytest.raises(ValueError, match="not classes"):
+        features.stratified_split(spark.range(1500), "id", "id")
