@@ -71,7 +71,11 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     Where fewer than k chunks score above 0, chunks without a query term follow at score 0 in corpus
     order. A query needs at most the first k + m chunks for that, m being the chunks it matches.
     """
-    scored = staged(matches(index, queries), "scores")  # read three times
+    return ranked(index, queries, staged(matches(index, queries), "scores"), k)  # read three times
+
+
+def ranked(index: Index, queries: DataFrame, scored: DataFrame, k: int) -> DataFrame:
+    """The same from ``scored(query_id, ord, score)``, which holds the k best chunks of each query that a term matches, or all if there are fewer."""
     asked = query_terms(queries).select("query_id").distinct()
     found = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), F.sum((F.col("score") > 0).cast("long")).alias("above"))
     short = asked.join(found, "query_id", "left").where(F.coalesce("above", F.lit(0)) < k).select("query_id", F.coalesce("m", F.lit(0)).alias("m"))

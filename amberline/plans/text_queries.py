@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from amberline.functions import text
-from amberline.operators import chunks, retrieval, routing
+from amberline.operators import blockmax, chunks, retrieval, routing
 from amberline.operators.staging import running, shared_dir, staged
 from amberline.session import table
 from amberline.sources import crawl, html, tables
@@ -159,6 +159,15 @@ def bm25_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.search(_index(spark, sf_dir), _queries(spark, sf_dir), 3).select("query_id", "rank", "ord", F.round("score", 6).alias("score"))
 
 
+@query(f"with {_BM25} select query_id, rank::int as rank, ord, round(score, 6) as score from best where rank <= 10")
+def bm25_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of each query from a stored index, blocks that cannot reach them left out."""
+    import uuid
+
+    stored = blockmax.store(_index(spark, sf_dir), f"{shared_dir(spark)}/index-{uuid.uuid4().hex[:12]}", block=64)
+    return blockmax.search(stored, _queries(spark, sf_dir), 10)[0].select("query_id", "rank", "ord", F.round("score", 6).alias("score"))
+
+
 _PAGES = """page as (select query_id, url, row_number() over (partition by query_id order by min(rank)) as page_rank from best join chunk using (ord) where rank <= 40 group by 1, 2 qualify page_rank <= 10)"""
 
 
