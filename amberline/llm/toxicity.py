@@ -6,10 +6,17 @@ log-count ratio is r = ln((df_1 + a) / sum(df_1 + a)) - ln((df_0 + a) / sum(df_0
 regression is fitted to the features multiplied by their r. Training takes at most ROWS_A_CLASS
 labelled rows of each class, those with the least hash of doc_id: a documented bound on the fit, not
 on what is scored.
+
+Two settings are chosen on the training rows alone: the ridge, and by how many standard errors a feature's
+shares in the two classes must differ. Each pair of ``SETTINGS`` is fitted on two of three inner folds and judged by
+the log loss on the third, both classes counting alike; the pair with the least sum wins, the first of equals, and is
+then fitted on all training rows. Texts with equal features share an inner fold. Sizes of n-grams and the
+threshold are fixed beforehand.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +30,10 @@ SIZES = (3, 4, 5)
 DIMENSION_BITS = 20
 ROWS_A_CLASS = 2000
 FEATURES = 8192
-#: Standard errors by which a feature's shares in the two classes must differ; chance alone gives about 5 among all features.
-LEAST_Z = 5.0
-LEAST_TEXTS, SMOOTH, RIDGE, STEPS = 4, 1.0, 3.0, 400
+#: Ridge, and least standard errors between a feature's shares in the two classes, that the inner folds choose from.
+SETTINGS = tuple((ridge, z) for z in (8.0, 5.0, 3.0) for ridge in (30.0, 3.0, 0.3))
+FOLDS, TRIAL_STEPS = 3, 120
+LEAST_TEXTS, SMOOTH, STEPS = 4, 1.0, 400
 THRESHOLD = 0.7
 
 
@@ -55,8 +63,33 @@ def features(text: str) -> np.ndarray:
     return np.unique(np.concatenate([f for _, f in hashed(chars)] or [np.zeros(0, np.uint64)])).astype(np.uint32)
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+def log_loss(rows: list[np.ndarray], labels: np.ndarray, model: tuple[float, np.ndarray, np.ndarray]) -> float:
+    """Mean loss of a class, summed over both; a class without rows adds nothing."""
+    bias, at, weights = model
+    table = np.zeros(1 << DIMENSION_BITS)
+    table[at] = weights
+    margin = np.array([bias + table[x].sum() for x in rows])
+    loss = np.logaddexp(0.0, np.where(labels == 1, -margin, margin))
+    return float(sum(loss[labels == c].mean() for c in (0, 1) if (labels == c).any()))
+
+
+def choose(rows: list[np.ndarray], labels: np.ndarray) -> tuple[float, float]:
+    """The pair of ``SETTINGS`` with the least loss over the inner folds."""
+    fold = np.array([zlib.crc32(x.tobytes()) % FOLDS for x in rows], dtype=np.int64)
+    lost = [0.0] * len(SETTINGS)
+    for k in range(FOLDS):
+        own, other = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        if not len(own) or not len(other):
+            continue
+        for i, setting in enumerate(SETTINGS):
+            model = fit([rows[j] for j in own], labels[own], setting, TRIAL_STEPS)
+            lost[i] += log_loss([rows[j] for j in other], labels[other], model)
+    return SETTINGS[int(np.argmin(lost))]
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, setting: tuple[float, float], steps: int = STEPS) -> tuple[float, np.ndarray, np.ndarray]:
     """Bias, feature numbers and their weights. Rows with equal features and label count once. With one class only, there are no weights."""
+    ridge, least_z = setting
     once = {(r.tobytes(), int(y)): k for k, (r, y) in reversed(list(enumerate(zip(rows, labels))))}
     keep = sorted(once.values())
     rows, labels = [rows[k] for k in keep], labels[keep]
@@ -70,7 +103,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray,
     z = np.abs(df[1] / n[1] - df[0] / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n[1] + 1 / n[0]))
     z[(total < LEAST_TEXTS) | (total == n.sum())] = 0
     chosen = np.sort(np.argsort(-z, kind="stable")[:FEATURES])
-    chosen = chosen[z[chosen] >= LEAST_Z]
+    chosen = chosen[z[chosen] >= least_z]
     ratio = [np.log((d[chosen] + SMOOTH) / (d + SMOOTH).sum()) for d in df]
     r = ratio[1] - ratio[0]
     place = np.full(1 << DIMENSION_BITS, -1, np.int64)
@@ -83,10 +116,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray,
     weight = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])  # both classes count alike
     w, b = np.zeros(len(chosen)), 0.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
         margin = b + np.bincount(row, value * w[column], minlength=len(rows))
         error = weight * (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y)
-        slope = np.append(np.bincount(column, value * error[row], minlength=len(w)) + RIDGE / len(rows) * w, error.sum())
+        slope = np.append(np.bincount(column, value * error[row], minlength=len(w)) + ridge / len(rows) * w, error.sum())
         m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
@@ -111,13 +144,14 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[floa
         for batch in batches:
             rows += [np.frombuffer(b, np.uint32) for b in batch.column("features").to_pylist()]
             y += batch.column("y").to_pylist()
-        bias, at, weights = fit(rows, np.array(y, dtype=np.int64))
+        labels = np.array(y, dtype=np.int64)
+        bias, at, weights = fit(rows, labels, choose(rows, labels))
         yield pa.RecordBatch.from_arrays([pa.array([bias]), pa.array([at.astype("<i8").tobytes()], pa.binary()), pa.array([weights.astype("<f8").tobytes()], pa.binary())], names=["bias", "at", "weights"])
 
     few = texts.mapInArrow(reduce, "doc_id long, y int, features binary").repartition(1).sortWithinPartitions("doc_id", "y", "features")
     model = few.mapInArrow(fit_all, "bias double, at binary, weights binary").first()
     if model is None:  # no labelled rows, so no task to fit on
-        return fit([], np.zeros(0, np.int64))
+        return fit([], np.zeros(0, np.int64), SETTINGS[0])
     return model["bias"], np.frombuffer(model["at"], "<i8"), np.frombuffer(model["weights"], "<f8")
 
 
