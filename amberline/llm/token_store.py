@@ -8,7 +8,7 @@ Files, all Parquet, under one folder:
   keys and lengths of its chunks in order, and the Merkle root over these keys.
 * ``manifest``: per shard its rows, its ids, the position of its first id, and the Merkle root over
   its recipes' roots.
-* ``total``: one row: the number of shards, documents and ids, and the Merkle root over the shards' roots.
+* ``total``: one row: the number of shards, documents and ids, the Merkle root over the shards' roots, and the bytes of an id.
 
 A chunk ends where a rolling hash of the last ids says so, so equal passages give equal chunks
 wherever they stand. Reading back verifies the reconstruction from the top down and raises at the
@@ -54,6 +54,11 @@ JOINED = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def id_type(size: int) -> np.dtype:
+    """What an id of a vocabulary of this size is stored as."""
+    return np.dtype("<u2") if size <= 65536 else np.dtype("<u4")
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library, each distinct word encoded once.
 
@@ -73,7 +78,7 @@ class Encoder:
         pre = read.get("pre_tokenizer") or {}
         self.by_word = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not read.get("normalizer")
         self.special = [t["content"] for t in read["added_tokens"]]
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 65536 else np.dtype("<u4")
+        self.dtype = id_type(self.tokenizer.get_vocab_size())
         self.forget()
         self.begins = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         space = byte_symbols()[0x20]
@@ -207,6 +212,8 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, end_i
     Null texts are empty and hold the end id only. Rows with a null doc_id come first, equal ids
     are ordered by their Merkle roots. Extra columns are not read. An empty table writes no rows.
     """
+    from tokenizers import Tokenizer
+
     with open(tokenizer, encoding="utf-8") as f:
         held = spark.sparkContext.broadcast(f.read())  # its size is set by the vocabulary
 
@@ -262,7 +269,8 @@ def write(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, end_i
     first = F.coalesce(F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     roots = rows.repartition("shard").sortWithinPartitions("shard", "doc_id", "root").select("shard", "root").mapInArrow(_shard_roots, "shard int, root binary")
     facts.withColumn("first", first).join(roots, "shard").write.parquet(f"{path}/manifest")
-    totals(spark, path).write.parquet(f"{path}/total")
+    size = Tokenizer.from_str(held.value).get_vocab_size()
+    totals(spark, path).withColumn("width", F.lit(id_type(size).itemsize)).write.parquet(f"{path}/total")
     return path
 
 
@@ -279,6 +287,8 @@ def totals(spark: SparkSession, path: str) -> DataFrame:
 
 MANIFEST = "shard int, n_docs long, n_ids long, first long, root binary"
 TOTAL = "n_shards long, n_docs long, n_ids long, root binary"
+#: Bytes of an id in the chunks, in the same table as the total.
+WIDTH = "width int"
 STORE = "key binary, doc_id long, n_tokens long, body binary, sizes binary, kind string"
 RECIPE = "doc_id long, root binary, n_tokens long, keys binary, sizes binary, shard int"
 
@@ -336,14 +346,14 @@ def crc_before(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
     return out
 
 
-def read(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
+def read(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` of each document, from the files alone.
 
     Raises if the store is not whole (see above). An empty store gives no rows.
     """
-    dtype = np.dtype(f"<u{width}")
     nothing = (0, 0, 0, merkle([]))
-    listed = spark.read.schema(TOTAL).parquet(f"{path}/total").first() or nothing
+    *listed, width = spark.read.schema(f"{TOTAL}, {WIDTH}").parquet(f"{path}/total").first() or (*nothing, 2)
+    dtype = np.dtype(f"<u{width}")
     if tuple(listed) != tuple(totals(spark, path).first() or nothing):
         raise ValueError("the manifest does not match its total")
 

@@ -2,6 +2,7 @@
 
 import copy
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -629,3 +630,16 @@ def test_quality_stage_and_query_agree(spark, docs, odd):
     assert kept == {r["doc_id"] for r in quality.keep_good(spark, docs).collect()}
     assert quality.judged(spark, odd).count() == len(ODD) and quality.judged(spark, empty(odd)).count() == 0
     assert quality.keep_good(spark, odd).columns == odd.columns and quality.keep_good(spark, empty(odd)).count() == 0
+
+
+def test_wide_ids_are_read_as_they_were_written(spark, docs, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    spec = json.loads(open(path, encoding="utf-8").read())
+    first = max(spec["model"]["vocab"].values()) + len(spec["added_tokens"]) + 1
+    spec["model"]["vocab"] |= {f"never-{k}": first + k for k in range(20000)}  # no merge leads to them
+    (tmp_path / "wide.json").write_text(json.dumps(spec))
+    own = docs.where("doc_id < 20")
+    read = token_store.read(spark, token_store.write(spark, own, str(tmp_path / "wide.json"), f"file://{tmp_path}/wide"))
+    assert spark.read.parquet(f"{tmp_path}/wide/total").first()["width"] == 4
+    again = token_store.read(spark, token_store.write(spark, own, path, f"file://{tmp_path}/narrow"))
+    assert sorted(map(tuple, read.collect())) == sorted(map(tuple, again.collect())) and read.count() == own.count()
