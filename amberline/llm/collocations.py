@@ -27,24 +27,39 @@ def lowered(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.lower(text))
 
 
-def phrases(docs: DataFrame, max_n: int, text: str, lang: str) -> DataFrame:
-    """``lang, phrase, times``: a row per run of 1 to ``max_n`` words of a piece, and one per piece with the empty phrase and the number of its words."""
-    pieces = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(lowered(common.text_or_empty(text)), PIECES)).alias("piece"))
+def phrases(docs: DataFrame, lengths: list[int], text: str, lang: str) -> DataFrame:
+    """``key, times``: a row per run of so many words of a piece; with runs of one word, also one per piece without words that counts its words.
+
+    The key is the language, a line feed and the words: one string takes less room in the shuffle than two.
+    """
+    pieces = docs.select(F.concat(F.coalesce(F.col(lang).cast("string"), F.lit("und")), F.lit("\n")).alias("lang"), F.explode(F.split(lowered(common.text_or_empty(text)), PIECES)).alias("piece"))
     trimmed = pieces.select("lang", F.btrim("piece", F.lit(" \t")).alias("piece")).where("piece <> ''")
-    words = trimmed.select("lang", F.split("piece", BLANKS).alias("w")).withColumn("size", F.size("w"))
-    at = words.select("lang", "w", "size", F.explode(F.sequence(F.lit(0), F.col("size"))).alias("i"))
+    words = trimmed.select("lang", F.split("piece", BLANKS).alias("w")).withColumn("size", F.size("w")).where(F.col("size") >= min(lengths))
+    at = words.select("lang", "w", "size", F.explode(F.sequence(F.lit(0), F.col("size") - (min(lengths) - 1))).alias("i"))
     word = lambda k: F.get("w", F.col("i") + k)
-    runs, run = [], word(0)
-    for n in range(1, max_n + 1):
-        runs.append(F.when(F.col("i") + n <= F.col("size"), run) if n > 1 else F.coalesce(run, F.lit("")))
-        run = F.concat(run, F.lit(" "), word(n))
+    runs = []
+    for n in lengths:
+        run = F.concat("lang", word(0), *(part for k in range(1, n) for part in (F.lit(" "), word(k))))
+        runs.append(F.when(F.col("i") + n <= F.col("size"), run) if n > 1 else F.concat("lang", F.coalesce(word(0), F.lit(""))))
     last = F.col("i") == F.col("size")
-    return at.select("lang", F.when(last, F.col("size")).otherwise(1).alias("times"), F.explode(F.array(*runs)).alias("phrase")).where("phrase is not null")
+    return at.select(F.when(last, F.col("size")).otherwise(1).alias("times"), F.explode(F.array(*runs)).alias("key")).where("key is not null")
 
 
-def counted(docs: DataFrame, max_n: int, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``lang, phrase, f``: occurrences of every run of up to ``max_n`` words; those of all words under the empty phrase."""
-    return phrases(docs, max_n, text, lang).groupBy("lang", "phrase").agg(F.sum("times").alias("f"))
+def counted(spark: SparkSession, docs: DataFrame, max_n: int, least: int = 1, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``lang, phrase, f``: runs of up to ``max_n`` words that occur ``least`` times; the number of all words under the empty phrase.
+
+    Longer runs are counted length by length, so that the disk holds the shuffle of one length at a time.
+    """
+    found = None
+    for lengths in [[1, 2], *([n] for n in range(3, max_n + 1))]:
+        counts = phrases(docs, lengths, text, lang).groupBy("key").agg(F.sum("times").alias("f"))
+        phrase = F.call_function("substring_index", F.col("key"), F.lit("\n"), F.lit(-1))  # no phrase holds a line feed
+        kept = counts.where((F.col("f") >= least) | F.endswith("key", F.lit("\n")))
+        kept = kept.select(F.call_function("left", F.col("key"), F.length("key") - F.length(phrase) - 1).alias("lang"), phrase.alias("phrase"), "f")
+        with common.freeing(spark):
+            own = common.stage(spark, kept, "phrases")
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
 def first_words(phrase: Column, k: Column) -> Column:
@@ -70,7 +85,7 @@ def collocations(spark: SparkSession, docs: DataFrame, max_n: int = 3, least: in
     """
     if max_n < 2:
         raise ValueError("phrases have two words or more")
-    counts = common.stage(spark, counted(docs, max_n, text, lang).where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
+    counts = counted(spark, docs, max_n, least, text, lang)
     size = F.size(F.split("phrase", " "))
     candidates = counts.where((F.col("phrase") != "") & (size > 1))
     k = F.explode(F.sequence(F.lit(1), size - 1)).alias("k")

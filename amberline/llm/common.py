@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.operators.staging import shared_dir
+from amberline.operators.batches import flat, slices
+from amberline.operators.staging import hidden, shared_dir
+
+__all__ = ["connected_components", "drop", "flat", "freeing", "hidden", "purge", "raw_bytes", "shared_dir", "slices", "stage", "stage_at", "text_or_empty"]
 
 
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -31,6 +34,18 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that runs inside go as it ends, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def purge(spark: SparkSession) -> None:
     """Delete every table this application staged. Call it after the last result has been written."""
     drop(spark, shared_dir(spark))
@@ -40,38 +55,6 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def hidden(columns: list[str], name: str) -> str:
-    """A name for a column of our own that none of ``columns`` has, whatever their case."""
-    taken, name = {c.lower() for c in columns}, f"_{name}"
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
-def slices(batches: Iterator[pa.RecordBatch], column: str | int, max_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that one slice holds at most ``max_bytes`` of ``column`` (a longer row comes alone)."""
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        _, offsets = flat(batch.column(column))
-        first = 0
-        while first < n:
-            last = int(np.searchsorted(offsets, offsets[first] + max_bytes, side="right")) - 1
-            last = min(max(last, first + 1), n)
-            yield batch.slice(first, last - first)
-            first = last
-
-
-def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column without nulls, and the n + 1 offsets into them; no copy."""
-    kind = np.int64 if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else np.int32
-    _, at, data = column.buffers()
-    offsets = np.frombuffer(at, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    whole = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 def raw_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
