@@ -120,10 +120,13 @@ ORACLE_SQL: dict[str, str] = {
                    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
             from documents
         ),
-        words as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+        split as (select row_number() over () as piece, lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') as w from pieces),
+        words as (select piece, lang, unnest(w) as x, unnest(range(len(w))) as i from split),
+        ahead as (select lang, x, lead(x, 1) over p as y, lead(x, 2) over p as z from words window p as (partition by piece order by i)),
         runs as (
-            select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase
-            from words, (values (1), (2), (3)) as t(k)
+            select lang, 1 as k, x as phrase from ahead
+            union all select lang, 2, x || ' ' || y from ahead where y is not null
+            union all select lang, 3, x || ' ' || y || ' ' || z from ahead where z is not null
         ),
         f as (select lang, k, phrase, count(*) as f from runs group by all),
         n as (select lang, sum(f)::bigint as n from f where k = 1 group by 1),
