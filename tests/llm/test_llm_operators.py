@@ -574,7 +574,7 @@ def test_nearest_is_exact_at_factor_one(spark, monkeypatch):
 
 @pytest.mark.parametrize("x", [np.eye(1400), np.ones((5000, 3)), np.concatenate([np.eye(600), np.eye(600)])])
 def test_ties_and_equal_vectors(x):
-    tree = vptree.Tree(np.arange(len(x)), x, leaf=16)
+    tree = vptree.Tree.grown(np.arange(len(x)), x, leaf=16)
     own = np.arange(0, len(x), 200)
     ids, d = tree.search(own, x[own], 5)
     for q, found, away in zip(own, ids, d):
@@ -582,11 +582,42 @@ def test_ties_and_equal_vectors(x):
         assert [(a, i) for a, i in zip(away.tolist(), found.tolist())] == every
 
 
+def test_a_bound_leaves_out_only_what_is_beyond_it():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 6)) + rng.integers(0, 12, (3000, 1)) * 4
+    own, tree = np.arange(0, 3000, 30), vptree.Tree.grown(np.arange(3000), x, leaf=32)
+    ids, d = tree.search(own, x[own], 8)
+    free, limit = tree.compared, d[:, 3]
+    told_ids, told = tree.search(own, x[own], 8, limit=limit)
+    assert tree.compared - free < free < len(own) * 3000
+    for at in range(len(own)):
+        within = d[at] <= limit[at]
+        assert told_ids[at][: within.sum()].tolist() == ids[at][within].tolist() and told[at][: within.sum()].tolist() == d[at][within].tolist()
+
+
+def test_repeated_ids_spans_and_more_shards_than_rows(spark, monkeypatch):
+    monkeypatch.setattr(vptree, "SHARD_ROWS", 40)
+    monkeypatch.setattr(vptree, "SPAN_QUERIES", 1)
+    monkeypatch.setattr(vptree, "BLOCK_QUERIES", 1)
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.normal(size=3).round(1).tolist()) for i in rng.integers(0, 12, 500)]  # an id stands on some forty rows
+    rows += [(k, [float(k + 1)] * 5) for k in range(4)]  # fewer rows of this length than asked for
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in vptree.nearest(spark, df, k=10, every=4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {0, 4, 8}
+    for q, found in got.items():
+        asks = np.array([min(v for i, v in rows if i == q)])
+        d = sorted((float(vptree.distances(asks, np.array([v]))[0, 0]), i) for i, v in rows if i != q and len(v) == asks.shape[1])[:10]
+        assert sorted(found) == [(place + 1, i, s) for place, (s, i) in enumerate(d)]
+
+
 def test_relaxed_search_keeps_most_neighbours():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(40, 8)) * 6
     x = np.concatenate([c + rng.normal(size=(100, 8)) for c in centres])
-    tree = vptree.Tree(np.arange(len(x)), x, leaf=32)
+    tree = vptree.Tree.grown(np.arange(len(x)), x, leaf=32)
     own, q = np.arange(0, 4000, 40), x[::40]
     exact, relaxed = tree.search(own, q, 10)[0], tree.search(own, q, 10, 0.7)[0]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(exact, relaxed)]) >= 0.9
