@@ -22,8 +22,9 @@ SYMBOLS = b"#*$%&|<>"
 BASE_WORDS, BASE_REPEAT_PERCENT, WINDOW = 10, 20, 5
 GOOD, ABSTAIN, BAD = 2, 1, 0
 KEEP_AT = 0.5
-#: A bad vote is taken to hit at most this share of good documents.
-FALSE_ALARM = 0.01
+#: Before any document is seen, a bad vote is expected to hit this share of good documents; the
+#: expectation weighs PRIOR times as much as the votes cast on them, whatever the size of the corpus.
+FALSE_ALARM, PRIOR = 0.01, 1.0
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "n_lines"]
 #: A rule: measure per unit, good up to (inclusive), bad from (inclusive). Between them it abstains.
 RULES = [
@@ -118,8 +119,9 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> dict[int
 
     EM on a two-class model with one chance P(bad | class) per rule, over votes that are cast:
     an abstention says nothing. It starts from the reading that a document with any bad vote is
-    probably bad. Chances are smoothed by one pseudo-vote, and the good class keeps its name
-    because P(bad | good) is at most FALSE_ALARM and never above P(bad | bad).
+    probably bad. P(bad | bad) is smoothed by one pseudo-vote. P(bad | good) is the mean of a Beta
+    distribution that starts at FALSE_ALARM and takes in all votes, so that a rule which errs more
+    often is found out; the class in which a rule votes bad less often is called good.
     """
     if not len(patterns):
         return {}
@@ -128,10 +130,12 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> dict[int
     good = np.where(bad.any(axis=1), 0.1, 0.95)
     for _ in range(rounds):
         chance = []
-        for p in (1 - good, good):
+        for p, expected, prior in ((1 - good, 0.5, 0.0), (good, FALSE_ALARM, PRIOR)):
             w = (weight * p)[:, None]
-            chance.append(((w * bad).sum(axis=0) + 0.5) / ((w * cast).sum(axis=0) + 1.0))
-        on_good = np.minimum(np.minimum(chance[1], chance[0]), FALSE_ALARM)
+            said = (w * cast).sum(axis=0)
+            pseudo = prior * said + 1.0
+            chance.append(((w * bad).sum(axis=0) + expected * pseudo) / (said + pseudo))
+        on_good = np.minimum(chance[1], chance[0])
         on_bad = np.clip(chance[0], 1e-6, 1 - 1e-6)
         share = np.clip((weight * good).sum() / weight.sum(), 0.01, 0.99)
         odds = np.log(share / (1 - share)) + np.where(

@@ -3,6 +3,7 @@
 import copy
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -649,6 +650,46 @@ def test_quality_measures(texts):
         assert quality.measure((t or "").encode())[:5] == brute_quality(t)
 
 
+def plain_em(rows, rounds=100):
+    """The fit of quality document by document, in plain Python."""
+    rules = range(quality.N_RULES)
+    good = [0.1 if quality.BAD in r else 0.95 for r in rows]
+    for _ in range(rounds):
+        on = []
+        for weights, expected, prior in (([1 - g for g in good], 0.5, 0.0), (good, quality.FALSE_ALARM, quality.PRIOR)):
+            said = [sum(w for r, w in zip(rows, weights) if r[j] != quality.ABSTAIN) for j in rules]
+            hits = [sum(w for r, w in zip(rows, weights) if r[j] == quality.BAD) for j in rules]
+            on.append([(h + expected * (prior * n + 1)) / (n + prior * n + 1) for h, n in zip(hits, said)])
+        share = min(max(sum(good) / len(rows), 0.01), 0.99)
+        new = []
+        for r in rows:
+            odds = math.log(share / (1 - share))
+            for j in rules:
+                b, g = min(max(on[0][j], 1e-6), 1 - 1e-6), min(on[0][j], on[1][j])
+                odds += math.log(g / b) if r[j] == quality.BAD else math.log((1 - g) / (1 - b)) if r[j] == quality.GOOD else 0
+            new.append(1 / (1 + math.exp(-odds)))
+        if max(abs(a - b) for a, b in zip(new, good)) < 1e-9:
+            return new
+        good = new
+    return good
+
+
+def test_quality_fit_against_documents_one_by_one():
+    rng = np.random.default_rng(3)
+    truth = rng.random(3000) < 0.8  # one rule errs on 6 % of the good documents
+    on_good, on_bad = np.array([0.002, 0.002, 0.06, 0.01, 0.0, 0.005, 0.0, 0.01]), np.array([0.7, 0.6, 0.6, 0.4, 0.5, 0.6, 0.3, 0.4])
+    bad = rng.random((3000, quality.N_RULES)) < np.where(truth[:, None], on_good, on_bad)
+    cast = rng.random(bad.shape) < 0.9
+    rows = np.where(cast, np.where(bad, quality.BAD, quality.GOOD), quality.ABSTAIN)
+    patterns, counts = np.unique((rows * 3 ** np.arange(quality.N_RULES)).sum(axis=1), return_counts=True)
+    fitted = quality.fit(patterns, counts)
+    got = [fitted[int(p)] for p in (rows * 3 ** np.arange(quality.N_RULES)).sum(axis=1)]
+    assert np.abs(np.array(got) - plain_em(rows.tolist())).max() < 1e-6
+    assert np.mean((np.array(got) >= quality.KEEP_AT) == truth) > 0.97
+    only = fitted[int((np.where(np.arange(quality.N_RULES) == 2, quality.BAD, quality.GOOD) * 3 ** np.arange(quality.N_RULES)).sum())]
+    assert only >= quality.KEEP_AT  # a bad vote of the rule that errs does not decide on its own
+
+
 def test_quality_agrees_with_labels(spark, sf):
     base = sf.replace("sf0.001", "sf0.01")
     rows = quality.judged(spark, spark.read.parquet(f"{base}/documents.parquet")).join(spark.read.parquet(f"{base}/labels.parquet"), "doc_id").select("kept", "quality", "base_failed").collect()
