@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from amberline.functions.text import is_blank
 
-BATCH = 30
-
 
 def require_columns(df: DataFrame, names: list[str]) -> None:
     missing = [n for n in names if n not in df.columns]
@@ -21,33 +19,33 @@ def kind(dtype: T.DataType) -> str:
     return "string" if isinstance(dtype, T.StringType) else "float" if isinstance(dtype, (T.DoubleType, T.FloatType)) else "int" if isinstance(dtype, T.IntegralType) else "other"
 
 
+def _shown(df: DataFrame, c: str) -> Column:
+    """A value as text, equal for equal values only."""
+    dtype, value = df.schema[c].dataType, F.col(f"`{c}`")
+    if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
+        return F.when(value.isNotNull(), F.to_json(F.struct(value.alias("v"))))
+    return (value + F.lit(0.0) if kind(dtype) == "float" else value).cast("string")  # -0.0 is 0.0
+
+
 def inventory(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``column, position, dtype, non_null, pct_missing, pct_blank, n_unique`` (null is no value).
 
-    Columns are aggregated BATCH at a time, so that exact distinct counts expand rows by that much only.
+    One scan for any number of columns: counts of (column, value), which are added before they are
+    shuffled, give all facts. NaN is a value; a table without rows has counts of 0 and null shares.
     """
     columns = columns or df.columns
     require_columns(df, columns)
-    parts = []
-    for first in range(0, len(columns), BATCH):
-        own = columns[first : first + BATCH]
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for i, c in enumerate(own):
-            text = isinstance(df.schema[c].dataType, T.StringType)
-            blank = F.sum(is_blank(F.col(c)).cast("long")) if text else F.lit(0)
-            aggs += [F.count(c).alias(f"c{i}"), blank.alias(f"b{i}"), F.count_distinct(c).alias(f"u{i}")]
-        rows = [
-            F.struct(
-                F.lit(c).alias("column"), F.lit(first + i).alias("position"), F.lit(kind(df.schema[c].dataType)).alias("dtype"), F.col(f"c{i}").alias("non_null"),
-                F.round(100 * (1 - F.try_divide(f"c{i}", "n")), 4).alias("pct_missing"), F.round(100 * F.try_divide(F.coalesce(f"b{i}", F.lit(0)), F.col("n")), 4).alias("pct_blank"), F.col(f"u{i}").alias("n_unique"),
-            )
-            for i, c in enumerate(own)
-        ]
-        parts.append(df.agg(*aggs).select(F.inline(F.array(*rows))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    cells = F.array(*(F.struct(F.lit(i).alias("position"), _shown(df, c).alias("value")) for i, c in enumerate(columns)))
+    counts = df.select(F.inline(cells)).groupBy("position", "value").agg(F.count(F.lit(1)).alias("n"))
+    held, blank = F.col("value").isNotNull(), is_blank(F.col("value"))
+    added = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
+    facts = counts.groupBy("position").agg(F.sum("n").alias("n"), added(held).alias("held"), added(blank).alias("blank"), F.count("value").alias("values"))
+    names = df.sparkSession.createDataFrame([(i, c, kind(df.schema[c].dataType)) for i, c in enumerate(columns)], "position int, column string, dtype string")
+    share = lambda c: F.try_divide(F.col(c), F.col("n"))
+    return names.join(F.broadcast(facts), "position", "left").select(  # one row a column
+        "column", "position", "dtype", F.coalesce("held", F.lit(0)).cast("long").alias("non_null"), F.round(100 * (1 - share("held")), 4).alias("pct_missing"),
+        F.round(100 * F.when(F.col("dtype") == "string", share("blank")).otherwise(share("n") - 1), 4).alias("pct_blank"), F.coalesce("values", F.lit(0)).cast("long").alias("n_unique"),
+    )
 
 
 def value_shares(df: DataFrame, columns: list[str]) -> DataFrame:

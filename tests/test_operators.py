@@ -1,6 +1,7 @@
 """Hand-computed cases of single operators."""
 
 import ast
+import datetime
 from pathlib import Path
 
 import pytest
@@ -301,3 +302,22 @@ def test_running_sums_beside_columns_of_any_name(spark):
 def test_a_measure_is_not_split_by_class(spark):
     with pytest.raises(ValueError, match="not classes"):
         features.stratified_split(spark.range(1500), "id", "id")
+
+
+def test_inventory_of_odd_values(spark):
+    nan, schema = float("nan"), "k int, `a.b` string, f double, g float, l array<string>, s struct<x:int>, d date, y binary"
+    day = datetime.date(2020, 2, 29)
+    rows = [
+        (1, " ", 0.0, 1.5, ["a, b"], (1,), day, b"\xff"), (2, "", -0.0, nan, ["a", "b"], (None,), day, b"\xfe"), (3, None, nan, nan, None, None, None, None), (3, "x", nan, None, [None], (1,), day, b"\xff"),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = {r["column"]: tuple(r)[1:] for r in profile.inventory(df).collect()}
+    assert got == {
+        "k": (0, "int", 4, 0.0, 0.0, 3), "a.b": (1, "string", 3, 25.0, 50.0, 3), "f": (2, "float", 4, 0.0, 0.0, 2), "g": (3, "float", 3, 25.0, 0.0, 2), "l": (4, "other", 3, 25.0, 0.0, 3),
+        "s": (5, "other", 3, 25.0, 0.0, 2), "d": (6, "other", 3, 25.0, 0.0, 1), "y": (7, "other", 3, 25.0, 0.0, 2),
+    }
+    assert [tuple(r)[3:] for r in profile.inventory(df.limit(0), ["a.b"]).collect()] == [(0, None, None, 0)]
+    wide = spark.range(50).select(*(F.col("id").alias(f"c{k}") for k in range(200)))
+    plan = profile.inventory(wide)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (0, 50") == 1
+    assert {(r["non_null"], r["n_unique"]) for r in profile.inventory(wide).collect()} == {(50, 50)}
