@@ -29,7 +29,36 @@ def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages")).select("page_id", "title")
 
 
-@query()
+def _unescaped(column: str) -> str:
+    """In SQL; a cut-off entity may lack its semicolon."""
+    for entity, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("amp", "&")):
+        column = f"regexp_replace({column}, '&{entity};?', '{char}', 'g')"
+    return column
+
+
+# Over pages whose content is an article of h1, p, b and br: a paragraph ends at the first </p> that closes it,
+# and the bold run that it begins with ends there too.
+_BLOCKS = rf"""with recursive toks as (select page_id, regexp_extract_all(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '(?s)<[^>]*>|[^<]+') as ts from pages),
+    tok as (select page_id, unnest(ts) as t, generate_subscripts(ts, 1) as i from toks),
+    deep as (select *, sum(case t when '<p>' then 1 when '</p>' then -1 else 0 end) over w as depth, lag(t) over w as before,
+            case when t like '<%' then '' else regexp_replace({_unescaped('t')}, '^\s+|\s+$', '', 'g') end as str
+        from tok window w as (partition by page_id order by i)),
+    run as (select b.page_id, b.i as first, coalesce(min(e.i), 1 << 30) as last, b.t from deep b left join deep e on e.page_id = b.page_id and e.i > b.i
+            and (b.t = '<b>' and e.t = '</p>' and e.depth = b.depth - 1 or b.t = '<h1>' and e.t = '</h1>')
+        where b.t = '<h1>' or b.t = '<b>' and b.before = '<p>' group by all),
+    label as (select r.page_id, first, last from run r join deep d on d.page_id = r.page_id and d.i between first and last and d.str <> ''
+        group by r.page_id, first, last, r.t having r.t = '<h1>' or sum(len(list_filter(regexp_split_to_array(d.str, '\s+'), lambda x: x <> ''))) <= {html.LABEL_WORDS}),
+    outer_label as (select * from label l where not exists (from label o where o.page_id = l.page_id and o.first < l.first and o.last >= l.last)),
+    part as (select d.page_id, coalesce(l.first, d.i) as i, l.first is not null as heading, string_agg(d.str, ' ' order by d.i) as str
+        from deep d left join outer_label l on l.page_id = d.page_id and d.i between l.first and l.last where d.str <> '' group by all),
+    lines as (select page_id, i, heading, unnest(string_split(str, chr(10))) as line, generate_subscripts(string_split(str, chr(10)), 1) as k from part),
+    kept as (select page_id, i, k, heading, regexp_replace(line, '^\s+|\s+$', '', 'g') as text from lines where trim(line, e' \t\r\f\v') <> ''),
+    block as (select page_id, (row_number() over (partition by page_id order by i, k) - 1)::int as n,
+        case when heading and row_number() over (partition by page_id, heading, lower(text) order by i, k) = 1 then 'heading' else 'text' end as kind, text from kept)
+    """
+
+
+@query(_BLOCKS + "select page_id, n, kind, text from block")
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extracted(table(spark, sf_dir, "pages")).select("page_id", F.posexplode("blocks").alias("n", "b")).select("page_id", "n", "b.kind", "b.text")
 
@@ -38,7 +67,30 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunked(html.extracted(table(spark, sf_dir, "pages")))
 
 
-@query()
+_COUNT = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda x: x <> ''))"
+
+
+# One step of the recursion takes the next block of every page; what it closes is in ``made``.
+@query(_BLOCKS + rf""", sized as (select *, {_COUNT.format("text")}::bigint as w, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') as words from block),
+    fold as (select page_id, -1 as n, null::varchar as section, []::varchar[] as buffer, 0::bigint as held, []::struct(section varchar, body varchar)[] as made from pages
+        union all
+        select page_id, n, case when kind = 'heading' then text else section end, case when keep then next else [] end, case when keep then size else 0 end,
+            case when (kind = 'heading' or w > {chunks.MOST} or size < held + w) and len(buffer) > 0 then [struct_pack(section := section, body := array_to_string(buffer, chr(10)))] else [] end
+            || case when kind = 'heading' then [] when w > {chunks.MOST}
+                then [struct_pack(section := section, body := array_to_string(words[k * {chunks.MOST} + 1:k * {chunks.MOST} + {chunks.MOST}], ' ')) for k in range(0, (w + {chunks.MOST - 1}) // {chunks.MOST})]
+                when keep then [] else [struct_pack(section := section, body := array_to_string(next, chr(10)))] end
+        from (select *, kind = 'text' and w <= {chunks.MOST} and size < {chunks.LEAST} as keep from (
+            select f.page_id, s.n, s.kind, s.text, s.w, s.words, f.section, f.buffer, f.held,
+                case when f.held + s.w > {chunks.MOST} then [s.text] else f.buffer || [s.text] end as next, case when f.held + s.w > {chunks.MOST} then s.w else f.held + s.w end as size
+            from fold f join sized s on s.page_id = f.page_id and s.n = f.n + 1))),
+    ends as (select page_id, n + 1 as n, [struct_pack(section := section, body := array_to_string(buffer, chr(10)))] as made from fold where len(buffer) > 0
+            and n = (select coalesce(max(n), -1) from block b where b.page_id = fold.page_id)),
+    every_made as (select page_id, n, made from fold union all select page_id, n, made from ends),
+    piece as (select page_id, n, unnest(made) as c, generate_subscripts(made, 1) as k from every_made),
+    chunk as (select page_id, c.section as section, c.body as body, row_number() over (partition by page_id order by n, k) - 1 as n from piece),
+    named as (select page_id, url, trim({_unescaped("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) as title from pages)
+    select url || '#' || n as chunk_id, url, title, section, title || case when section <> '' then ' — ' || section else '' end || chr(10) || chr(10) || body as text, body, {_COUNT.format("body")}::bigint as word_count
+    from chunk join named using (page_id)""")
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir)
 
