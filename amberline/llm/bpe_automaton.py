@@ -17,7 +17,6 @@ Decoding emits the labels of the arcs.
 
 from __future__ import annotations
 
-import ctypes
 import functools
 import hashlib
 import json
@@ -32,7 +31,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-from amberline.llm.common import hidden, slices, text_or_empty
+from amberline.llm.common import hidden, settle, slices, text_or_empty, trim
 
 END = "</w>"
 #: Pieces, their codes and the objects around them that a Python worker holds; beyond this it starts afresh.
@@ -359,6 +358,12 @@ class Codec:
     def encode(self, text: str) -> tuple[int, str, str]:
         return self.encode_all([text])[0]
 
+    def leave(self) -> None:
+        """Lets go of what can be made again."""
+        self.known.clear()
+        self.held = 0
+        self.automaton.__dict__.pop("trie", None)
+
 
 _SENT: dict[tuple[str, str], Broadcast] = {}
 
@@ -373,13 +378,6 @@ def sent(spark: SparkSession, path: str) -> Broadcast:
     return _SENT[key]
 
 
-def trim() -> None:
-    """Memory that is free within this process goes back to the system, where the C library can do that."""
-    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if give:
-        give(0)
-
-
 @functools.lru_cache(maxsize=1)
 def codec(held: Broadcast) -> Codec:
     """One codec a Python worker, which keeps the pieces it knows from task to task."""
@@ -400,6 +398,7 @@ def coded(spark: SparkSession, docs: DataFrame, path: str, carry: list[str], dig
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(held)
+        settle("tokens", own.leave)
         for batch in slices(batches, -1, 2 << 20):
             n, *texts = zip(*own.encode_all(batch.column(-1).to_pylist()))
             if digests:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from amberline.operators.batches import flat, slices
 from amberline.operators.staging import hidden, shared_dir
 
-__all__ = ["connected_components", "drop", "flat", "freeing", "hidden", "purge", "raw_bytes", "shared_dir", "slices", "stage", "stage_at", "text_or_empty"]
+__all__ = ["connected_components", "drop", "flat", "freeing", "hidden", "purge", "raw_bytes", "settle", "shared_dir", "slices", "stage", "stage_at", "text_or_empty", "trim"]
 
 
 def stage(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -51,6 +52,27 @@ def purge(spark: SparkSession) -> None:
     drop(spark, shared_dir(spark))
 
 
+def trim() -> None:
+    """Memory that is free within this process goes back to the system, where the libraries can do that."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give:
+        give(0)
+
+
+_SETTLED: list[tuple[str, Callable[[], None]]] = []
+
+
+def settle(owner: str, leave: Callable[[], None] | None = None) -> None:
+    """Called as a task of ``owner`` begins: a Python worker outlives the stages that it serves, so what
+    another operator has kept in it goes now. ``leave`` says how to let go of what this one will keep."""
+    while _SETTLED and _SETTLED[-1][0] != owner:
+        _SETTLED.pop()[1]()
+        trim()
+    if leave is not None:
+        _SETTLED[:] = [(owner, leave)]
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm.common import hidden, raw_bytes, slices, stage, text_or_empty
+from amberline.llm.common import hidden, raw_bytes, settle, slices, stage, text_or_empty, trim
 
 SYMBOLS = b"#*$%&|<>"
 BASE_WORDS, BASE_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -157,7 +157,8 @@ def measured(docs: DataFrame, carry: list[str]) -> DataFrame:
         schema = schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, -1, 8 << 20):
+        settle("quality")
+        for batch in slices(batches, -1, 2 << 20):
             values = np.array([measure(t) for t in raw_bytes(batch.column(-1))], dtype=np.int64).reshape(-1, len(MEASURES))
             own = [pa.array(np.ascontiguousarray(values[:, k])) for k in range(len(MEASURES))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own, pa.array(pattern_of(values))], names=[*carry, *MEASURES, "pattern"])
@@ -203,11 +204,13 @@ def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
     source = docs.withColumn(hidden(docs.columns, "text"), text_or_empty())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, -1, 8 << 20):
+        settle("quality")
+        for batch in slices(batches, -1, 2 << 20):
             values = np.array([measure(t) for t in raw_bytes(batch.column(-1))], dtype=np.int64)
             failed = (values[:, 0] < BASE_WORDS) | (100 * values[:, 4] > BASE_REPEAT_PERCENT * values[:, 0])
             good = np.array([table.get(int(p), 0.0) >= KEEP_AT for p in pattern_of(values)])
             keep = pa.array(~failed & good)
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=columns).filter(keep)
+        trim()
 
     return source.mapInArrow(run, schema)

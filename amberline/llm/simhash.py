@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm.common import connected_components, hidden, raw_bytes, slices, stage, text_or_empty
+from amberline.llm.common import connected_components, hidden, raw_bytes, settle, slices, stage, text_or_empty, trim
 
 SEED = 42
 #: Base rows of a key beyond which its bucket is split into blocks.
@@ -430,11 +430,13 @@ def similar_groups(spark: SparkSession, docs: DataFrame, ident: list[str], width
         schema = schema.add(b, "long")
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle("near_duplicates")
         for batch in slices(batches, "text", 4 << 20):
             sets = [shingle_set(t, width) for t in raw_bytes(batch.column("text"))]
             bits = np.stack([parity(x) for x in sets], axis=1)
             made = [pa.array([_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, bits)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
+        trim()
 
     def all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -455,6 +457,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, ident: list[str], width
                     made.append((first.view(np.int64), np.full(len(first), node), np.full(len(first), len(shingles)), np.arange(len(first))))
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*made)], names=["key", "node", "size", "place"])
+        trim()
 
     pair = lambda x, y: [pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))]
 

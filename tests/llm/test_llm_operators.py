@@ -552,6 +552,16 @@ def test_rows_without_a_key_draw_apart(spark):
     assert mixing.mixed(spark, docs, detail=True).select("place").distinct().count() > 3500
 
 
+def test_a_worker_keeps_the_state_of_one_operator(monkeypatch):
+    monkeypatch.setattr(common, "_SETTLED", [])
+    gone = []
+    for owner in ("a", "a", "b", "c", "a"):
+        common.settle(owner, lambda owner=owner: gone.append(owner))
+    assert gone == ["a", "b", "c"]
+    common.settle("d")
+    assert gone == ["a", "b", "c", "a"] and common._SETTLED == []
+
+
 # nearest neighbours
 
 
