@@ -116,10 +116,12 @@ class OneHot:
             raise ValueError(f"{column} has more than {most} frequent levels: a column each is too wide, pipeline.LevelFlags makes one sparse vector of them")
         return cls(column, tuple(kept), bool(counts.where(F.col("n") < least).limit(1).count()))
 
-    def encode(self) -> list[Column]:
+    def encode(self, shown: list[str] | None = None) -> list[Column]:
+        """With ``shown``, the columns are those of these levels and the shared one, whatever levels were frequent."""
         v = F.coalesce(F.col(self.column).cast("string"), F.lit("missing"))
-        out = [(v == x).cast("int").alias(f"{self.column}_{x}") for x in self.levels]
-        return out + [(~v.isin(*self.levels)).cast("int").alias(f"{self.column}_infrequent")] * self.infrequent
+        out = [(v == x).cast("int").alias(f"{self.column}_{x}") for x in (self.levels if shown is None else shown)]
+        shared = (~v.isin(*self.levels)).cast("int").alias(f"{self.column}_infrequent")
+        return out + [shared] * (self.infrequent or shown is not None)
 
 
 def frequency_table(train: DataFrame, column: str) -> DataFrame:
