@@ -36,3 +36,35 @@ def test_one_hot_columns_do_not_depend_on_the_rows(spark, sf, tmp_path, copies):
     keys = spark.range(1, least + 1).select(F.col("id").alias("c_custkey"), F.element_at(F.array(*map(F.lit, ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"))), (F.col("id") % 5 + 1).cast("int")).alias("c_mktsegment"))
     rows = against_sql(spark, tmp_path, "one_hot_min_frequency", customer=keys.join(customer.drop("c_custkey", "c_mktsegment").limit(1)))
     assert len(rows) == least and (sum(r[-1] for r in rows) > 0) == (copies == 1)
+
+
+def test_scores_stay_in_slabs(spark, monkeypatch):
+    """Many slabs and sets of queries give what one gives; pairs of query and chunk are no rows of any exchange."""
+    from amberline.operators import blockmax, retrieval
+
+    texts = [f"shared word{i % 7} word{i % 11} other{i % 3}" if i % 5 else "shared" for i in range(200)]
+    index = retrieval.build(retrieval.corpus(spark.createDataFrame([(i, "u", "t", t) for i, t in enumerate(texts)], "k int, url string, title string, text string"), "k", "url", "title", "text"))
+    queries = spark.createDataFrame([(i, f"word{i % 7} word{i % 11} shared shared") for i in range(40)] + [(99, "nothing here is known"), (98, ""), (None, "word3")], "query_id int, query string")
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "ord", F.round("score", 8)).collect()), key=str)
+    want = rows(retrieval.search(index, queries, 4))
+    assert len(want) == 42 * 4
+    for slab, size in ((64, 7), (1, 1000)):
+        monkeypatch.setattr(retrieval, "SLAB", slab)
+        monkeypatch.setattr(retrieval, "SET", size)
+        assert rows(retrieval.search(index, queries, 4)) == want
+    monkeypatch.setattr(retrieval, "SLAB", 64)
+    plan = retrieval.search(index, queries, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Aggregate" not in plan.split("FlatMapCoGroupsInArrow")[0]
+    import tempfile
+
+    stored = blockmax.store(index, f"{tempfile.mkdtemp()}/index", block=10)  # six blocks a slab
+    best, blocks = blockmax.search(stored, queries, 4, first=1)
+    assert rows(best) == want
+    assert blocks.select("query_id", "block").distinct().count() == blocks.count() and blocks.agg(F.max("block")).first()[0] == 19
+
+
+def test_terms_are_counted_without_an_exchange(spark):
+    from amberline.operators import retrieval
+
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["a"])], "k int, t array<string>")
+    assert {r["k"]: r["c"] and [tuple(x) for x in r["c"]] for r in df.select("k", retrieval.counted(F.col("t")).alias("c")).collect()} == {1: [("a", 1), ("b", 2)], 2: None, 3: None, 4: [("a", 1)]}
