@@ -29,6 +29,8 @@ TREES, LEVELS, ROUNDS, SAMPLE, SEED = 8, 8, 6, 4096, 12
 LEAF, MOST = 1024, 2048
 #: Width of the band that goes to both sides, in deviations of the projected difference of a pair at the threshold.
 SPILL = 1.0
+#: Rows of all trees that are grown together.
+AT_ONCE = 1 << 17
 #: Rows of a leaf whose cosines are computed at once.
 STRIP = 512
 KEYS = ["dim", "tree", "leaf"]
@@ -87,8 +89,8 @@ def walked(projected: np.ndarray, cuts: np.ndarray, leaf: np.ndarray, band: floa
     return np.concatenate([x[0] for x in ended]), np.concatenate([x[1] for x in ended])
 
 
-def grown(spark: SparkSession, groups: DataFrame, least: float) -> DataFrame:
-    """``dim, tree, leaf, node, v`` of all leaves of all trees; ``groups`` has ``dim, node, v``."""
+def grown(spark: SparkSession, groups: DataFrame, trees: range, least: float) -> tuple[DataFrame, str]:
+    """``dim, tree, leaf, node, v`` of all leaves of some trees, and where they are stored; ``groups`` has ``dim, node, v``."""
     kind = groups.schema["v"].dataType.simpleString()
     schema = f"dim int, tree int, leaf long, node long, v {kind}"
 
@@ -112,19 +114,28 @@ def grown(spark: SparkSession, groups: DataFrame, least: float) -> DataFrame:
                 out = own.take(pa.array(who))
                 yield pa.RecordBatch.from_arrays([out.column("dim"), out.column("tree"), pa.array(ends), out.column("node"), out.column("v")], names=[*KEYS, "node", "v"])
 
-    live = groups.select("dim", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), F.lit(1).cast("long").alias("leaf"), "node", "v")
-    closed = None
+    live = groups.select("dim", F.explode(F.sequence(F.lit(trees[0]), F.lit(trees[-1]))).alias("tree"), F.lit(1).cast("long").alias("leaf"), "node", "v")
+    closed, paths = None, []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        staged, path = common.stage_at(spark, df, name)
+        paths.append(path)
+        return staged
+
     for turn in range(ROUNDS):
-        sizes = common.stage(spark, live.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST), "leaves")
+        sizes = kept(live.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > MOST), "sizes")
         if sizes.isEmpty():
             break
         drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2**30)) / 2**30
         cuts = live.join(sizes, KEYS).where(drawn * F.col("n") < SAMPLE).groupBy(*KEYS).applyInArrow(fit, "dim int, tree int, leaf long, cuts array<double>")
-        cuts = common.stage(spark, cuts.where(~F.isnan(F.get("cuts", F.lit(0)))), "cuts")  # the others no direction splits
+        cuts = kept(cuts.where(~F.isnan(F.get("cuts", F.lit(0)))), "cuts")  # the others no direction splits
         small = live.join(cuts.select(*KEYS), KEYS, "left_anti")
-        live = common.stage(spark, live.join(cuts, KEYS).mapInArrow(route, schema), "rows")
+        live = kept(live.join(cuts, KEYS).mapInArrow(route, schema), "rows")
         closed = small if closed is None else closed.unionByName(small)
-    return live if closed is None else closed.unionByName(live)
+    leaves = common.stage_at(spark, live if closed is None else closed.unionByName(live), "leaves")
+    for path in paths:
+        common.drop(spark, path)
+    return leaves
 
 
 def lows(linked: np.ndarray) -> np.ndarray:
@@ -185,6 +196,49 @@ def compared(held: pa.Table, place: int, first: int, second: int, least: float)
     return {"node": node[who], "low": low, "links": links}
 
 
+def links(spark: SparkSession, groups: DataFrame, least: float) -> DataFrame:
+    """``node, low, links`` of ``groups(dim, node, copies, v)`` from all trees.
+
+    A few trees are grown and compared at a time, so that the disk holds ``AT_ONCE`` rows of a tree or the copies of one tree,
+    and not of all; what stays of a tree are the leaves of each row, by which later ones know what has met.
+    """
+    many = max(1, min(TREES, AT_ONCE // max(1, groups.count())))
+    found, met, old = None, None, None
+    with common.freeing(spark):
+        for first in range(0, TREES, many):
+            leaves, path = grown(spark, groups.select("dim", "node", "v"), range(first, min(first + many, TREES)), least)
+            place = F.shiftleft(F.col("tree").cast("long"), 56) + F.col("leaf")
+            own = leaves.groupBy("node").agg(F.collect_list(place).alias("places"))  # a few a tree
+            if met is not None:
+                own = met.join(own.withColumnRenamed("places", "more"), "node").select("node", F.concat("places", "more").alias("places"))
+            met, new = common.stage_at(spark, own, "places")
+            part = common.stage(spark, met_in(leaves, met, groups, least), "links")
+            found = part if found is None else found.unionByName(part)
+            for gone in (path, old):
+                if gone:
+                    common.drop(spark, gone)
+            old = new
+    common.drop(spark, old)
+    return found
+
+
+def met_in(leaves: DataFrame, places: DataFrame, groups: DataFrame, least: float) -> DataFrame:
+    """``node, low, links`` of the rows of some leaves; ``places`` are those of these and of earlier trees."""
+    sizes = leaves.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = F.when(F.col("n") > MOST, F.ceil(F.col("n") * 2 / MOST)).otherwise(1).cast("int")
+    known = leaves.join(sizes, KEYS).join(places.join(groups.select("node", "copies"), "node"), "node").withColumn("blocks", blocks)
+    known = known.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    known = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    known = known.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
+
+    def compare(key: tuple, held: pa.Table) -> pa.Table:
+        _, tree, leaf, first, second = (k.as_py() for k in key)
+        return pa.table(compared(held, (tree << 56) + leaf, first, second, least))
+
+    found = known.select(*KEYS, "first", "second", "block", "node", "copies", "places", "v").groupBy(*KEYS, "first", "second")
+    return found.applyInArrow(compare, "node long, low long, links long")
+
+
 def linked(spark: SparkSession, vectors: DataFrame, least: float = 0.9, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row: other rows of cosine ``least`` or more, and the least id reachable by links.
 
@@ -200,22 +254,7 @@ def linked(spark: SparkSession, vectors: DataFrame, least: float = 0.9, vec_id:
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"), usable(vector).alias("use"))
     groups = rows.where("use").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     groups = common.stage(spark, groups.withColumns({"node": F.monotonically_increasing_id(), "dim": F.size("v")}), "vectors")
-    leaves = common.stage(spark, grown(spark, groups.select("dim", "node", "v"), least), "leaves")
-    place = F.shiftleft(F.col("tree").cast("long"), 56) + F.col("leaf")
-    places = leaves.groupBy("node").agg(F.sort_array(F.collect_list(place)).alias("places"))  # a few a tree
-    sizes = leaves.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = F.when(F.col("n") > MOST, F.ceil(F.col("n") * 2 / MOST)).otherwise(1).cast("int")
-    known = leaves.join(sizes, KEYS).join(places, "node").join(groups.select("node", "copies"), "node").withColumn("blocks", blocks)
-    known = known.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    known = known.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    known = known.withColumns({"first": F.least("block", "other"), "second": F.greatest("block", "other")})
-
-    def compare(key: tuple, held: pa.Table) -> pa.Table:
-        _, tree, leaf, first, second = (k.as_py() for k in key)
-        return pa.table(compared(held, (tree << 56) + leaf, first, second, least))
-
-    found = known.select(*KEYS, "first", "second", "block", "node", "copies", "places", "v").groupBy(*KEYS, "first", "second")
-    found = common.stage(spark, found.applyInArrow(compare, "node long, low long, links long"), "links")
+    found = links(spark, groups, least)
     roots = common.connected_components(spark, found.select(F.col("node").alias("src"), F.col("low").alias("dst")))
     totals = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = groups.join(roots, "node", "left").join(totals, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -68,3 +68,26 @@ def test_terms_are_counted_without_an_exchange(spark):
 
     df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["a"])], "k int, t array<string>")
     assert {r["k"]: r["c"] and [tuple(x) for x in r["c"]] for r in df.select("k", retrieval.counted(F.col("t")).alias("c")).collect()} == {1: [("a", 1), ("b", 2)], 2: None, 3: None, 4: [("a", 1)]}
+
+
+@pytest.mark.parametrize("rows", [1, 1 << 17])
+def test_a_forest_keeps_no_tree(spark, monkeypatch, rows):
+    """Trees one by one link as all together do, and rows of a tree do not stay on disk."""
+    from pathlib import Path
+
+    import numpy as np
+
+    from amberline.llm import rp_forest
+    from amberline.operators.staging import shared_dir
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    x[100:] = x[:100].repeat(2, axis=0) + rng.normal(size=(200, 8)) * 0.1
+    for name, value in (("AT_ONCE", rows), ("LEAF", 24), ("MOST", 40)):
+        monkeypatch.setattr(rp_forest, name, value, raising=False)
+    stored = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file://")).glob("*") if p.name.split("-")[0] in ("leaves", "rows", "places")}
+    before = stored()
+    got = rp_forest.linked(spark, spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    assert {r["vec_id"]: r["n_links"] for r in got.collect()} == dict(enumerate((u @ u.T >= 0.9).sum(axis=1) - 1))
+    assert stored() <= before
