@@ -38,12 +38,12 @@ def store(index: retrieval.Index, path: str, block: int = BLOCK) -> Stored:
     """Write the index once, sorted by term and block within files; read it with ``load``. Postings move once, to the weights of their terms."""
     hit = index.postings.join(index.terms, "term").join(F.broadcast(index.facts))  # one row of facts
     own = hit.select("term", F.floor(F.col("ord") / block).cast("long").alias("block"), "ord", retrieval.gain().alias("gain"))
-    own.sortWithinPartitions("term", "block", "ord").write.parquet(f"{path}/postings")
+    own.sortWithinPartitions("term", "block", "ord").write.option("compression", "zstd").parquet(f"{path}/postings")
     spark = index.chunks.sparkSession
     read = spark.read.parquet(f"{path}/postings")
-    read.groupBy("term", "block").agg(F.max("gain").alias("most")).sortWithinPartitions("term", "block").write.parquet(f"{path}/maxima")
+    read.groupBy("term", "block").agg(F.max("gain").alias("most")).sortWithinPartitions("term", "block").write.option("compression", "zstd").parquet(f"{path}/maxima")
     for name, part in (("chunks", index.chunks), ("terms", index.terms), ("facts", index.facts.withColumn("block", F.lit(block)))):
-        part.write.parquet(f"{path}/{name}")
+        part.write.option("compression", "zstd").parquet(f"{path}/{name}")
     return load(spark, path)
 
 
