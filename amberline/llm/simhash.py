@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from amberline.llm.common import connected_components, hidden, raw_bytes, settle, slices, stage, text_or_empty, trim
+from amberline.llm.common import connected_components, drop, freeing, hidden, raw_bytes, settle, slices, stage, stage_at, text_or_empty, trim
 
 SEED = 42
 #: Base rows of a key beyond which its bucket is split into blocks.
@@ -538,8 +538,10 @@ def similar_groups(spark: SparkSession, docs: DataFrame, ident: list[str], width
         needed = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
         needed = nodes.join(needed, "node", "left_semi").select("node", "first.*")
         texts = source.join(needed, keyed_by).groupBy("node").agg(F.any_value("text").alias("text"))
-        texts = stage(spark, texts, f"{name}-texts")
-        return stage(spark, both_ends(pairs, texts).select("src", "dst", "text_a", "text_b").mapInArrow(verify, "src long, dst long"), name)
+        texts, path = stage_at(spark, texts, f"{name}-texts")
+        links = stage(spark, both_ends(pairs, texts).select("src", "dst", "text_a", "text_b").mapInArrow(verify, "src long, dst long"), name)
+        drop(spark, path)
+        return links
 
     def sketched(pairs: DataFrame) -> DataFrame:
         return both_ends(pairs.distinct(), nodes.select(*own)).where(test.sketched()).select("src", "dst")
@@ -561,12 +563,13 @@ def similar_groups(spark: SparkSession, docs: DataFrame, ident: list[str], width
         keyed = keyed.withColumns({"block": F.lit(0), "own": F.lit(True)})
     bucketed = lambda df: df.repartition("key", "block").sortWithinPartitions("key", "block", "node")
     # by node within a key: a dense group then has the same first row under each key, and the same links
-    met = stage(spark, bucketed(keyed.select(*_COLUMNS)).mapInArrow(first_round, f"src long, dst long, {_BUCKET}"), "met")
+    met, met_at = stage_at(spark, bucketed(keyed.select(*_COLUMNS)).mapInArrow(first_round, f"src long, dst long, {_BUCKET}"), "met")
     large = met.where("src is null").select(*_COLUMNS)
     if large.limit(1).count():
-        large = stage(spark, large.join(nodes.select("node", *SKETCH), "node"), "large")
+        large, large_at = stage_at(spark, large.join(nodes.select("node", *SKETCH), "node"), "large")
         dense = bucketed(large.select(*_COLUMNS, *SKETCH)).mapInArrow(large_buckets, "src long, dst long")
         pairs = stage(spark, sketched(met.where("src is not null").select("src", "dst")).union(dense).distinct(), "pairs")
+        drop(spark, met_at)
         edges = verified(pairs, "links")
         labels = connected_components(spark, edges)
         for take in (likeliest, last_round):
@@ -576,8 +579,10 @@ def similar_groups(spark: SparkSession, docs: DataFrame, ident: list[str], width
             if more.limit(1).count():
                 pairs, edges = pairs.union(more), edges.union(verified(more, "links"))
                 labels = connected_components(spark, edges)
+        drop(spark, large_at)
     else:
         pairs = stage(spark, sketched(met.where("src is not null").select("src", "dst")), "pairs")
+        drop(spark, met_at)
         labels = connected_components(spark, verified(pairs, "links"))
     named_by = [F.col(k).alias(c) for k, c in zip(keyed_by, ident)]
     return made.join(labels, "node", "left").select(*named_by, F.coalesce("root", "node").alias("root"))
@@ -591,6 +596,7 @@ def keep_first(spark: SparkSession, docs: DataFrame, width: int = 5, similarity:
     """
     at, h = hidden(docs.columns, "at"), hidden(docs.columns, "hash")
     keyed = docs.withColumns({at: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), h: F.xxhash64(text_or_empty())})
-    groups = similar_groups(spark, keyed.select(at, h, "text"), [at, h], width, similarity)
+    with freeing(spark):  # what a step has shuffled goes as it ends, not with the stage
+        groups = similar_groups(spark, keyed.select(at, h, "text"), [at, h], width, similarity)
     first = groups.groupBy("root").agg(F.min(F.struct(at, h)).alias("m")).select("m.*").distinct()
     return keyed.join(first, [at, h], "left_semi").dropDuplicates([at, h]).select(*docs.columns)

@@ -91,3 +91,17 @@ def test_a_forest_keeps_no_tree(spark, monkeypatch, rows):
     u = x / np.linalg.norm(x, axis=1)[:, None]
     assert {r["vec_id"]: r["n_links"] for r in got.collect()} == dict(enumerate((u @ u.T >= 0.9).sum(axis=1) - 1))
     assert stored() <= before
+
+
+def test_near_duplicates_leave_no_texts_and_buckets(spark):
+    from pathlib import Path
+
+    from amberline.llm import simhash
+    from amberline.operators.staging import shared_dir
+
+    stored = lambda: {p.name for p in Path(shared_dir(spark).removeprefix("file://")).glob("*") if "-texts-" in p.name or p.name.split("-")[0] in ("met", "large")}
+    before = stored()
+    texts = [" ".join(f"w{k % 3}x{i}" for i in range(40)) + f" end{k % 20}" for k in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.keep_first(spark, docs).orderBy("doc_id").collect()] == [0, 1, 2]
+    assert stored() <= before
