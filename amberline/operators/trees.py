@@ -1,9 +1,11 @@
 """Histogram trees, grown level by level for many fits at once: forests and gradient boosting for two classes.
 
 Features are binned once. A tree asks for the best splits of the nodes it has reached; who answers does not
-matter to it. If a fit has more than ``HELD_ROWS`` rows, Spark answers: every task adds its rows to histograms of
+matter to it. If a search has more than ``HELD_ROWS`` rows, Spark answers: every task adds its rows to histograms of
 (fit, node, feature), these are summed by key, and only the best split of each comes back, one job a level for
-all fits together. A smaller fit is grown in the task that holds its rows, with the same histograms and splits.
+all fits together. A smaller fit is grown in the task that holds its rows, with the same splits; a forest tree there
+takes all nodes of a level at once, by histograms while nodes are few and by sorted runs of bins when they are many.
+Sums of a forest are whole counts of the two classes, weighted only when gains are taken, so both ways agree to the bit.
 
 Forest: bootstrap counts are Poisson(1) numbers of (tree, row), drawn from a hash, so that they are the same in any
 partitioning; classes are balanced within each tree's bootstrap. Trees are grown once to the largest depth and number
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from amberline.operators.staging import staged
 
-#: Largest fit that one task grows; beyond it rows stay where they are and histograms travel.
-HELD_ROWS = 65536
+#: Rows of a search (of up to ``HELD_WIDTH`` features, else in proportion fewer) whose fits are grown in one task each; beyond it rows stay where they are and histograms travel.
+HELD_ROWS, HELD_WIDTH = 1 << 20, 8
 BINS, SEED = 255, 2026
 #: Trees of a forest that a task grows, or that share the jobs of a level.
 CHUNK = 20
@@ -57,6 +59,7 @@ class Limits:
     drawn: int | None = None
     hessian: float = 0.0
     seed: int = 0
+    weights: tuple[float, float] | None = None  # of the two classes, where sums are whole counts of them
 
 
 @dataclass
@@ -118,8 +121,17 @@ class Tree:
             self.known[node] = tuple(best)
 
     def packed(self) -> dict[str, np.ndarray]:
-        g, h = (np.array([t[k] for t in self.total]) for k in (0, 1))
-        return {"feature": np.array(self.feature), "cut": np.array(self.cut), "left": np.array(self.left), "value": np.divide(g, h, out=np.zeros_like(g), where=h > 0)}
+        return {"feature": np.array(self.feature), "cut": np.array(self.cut), "left": np.array(self.left), "value": values(np.array(self.total), self.limits)}
+
+    def explored(self) -> dict[str, np.ndarray]:
+        """With all splits that were tried, also those that are not taken now."""
+        some = [(int(self.known[n][1]), int(self.known[n][2])) if left >= 0 else (-1, 0) for n, left in enumerate(self.left)]
+        return {"feature": np.array([f for f, _ in some]), "cut": np.array([c for _, c in some]), "left": np.array(self.left)}
+
+
+def values(total: np.ndarray, limits: Limits) -> np.ndarray:
+    g, h = np.moveaxis(weighted(total, limits), -1, 0)[:2]
+    return np.divide(g, h, out=np.zeros_like(g), where=h > 0)
 
 
 def descend(tree: dict[str, np.ndarray], bins: np.ndarray, most: int | None = None, at: np.ndarray | None = None) -> np.ndarray:
@@ -139,45 +151,91 @@ def descend(tree: dict[str, np.ndarray], bins: np.ndarray, most: int | None = No
 def histograms(bins: np.ndarray, place: np.ndarray, nodes: int, stats: np.ndarray) -> np.ndarray:
     """Sums of the three ``stats`` by (node, feature, bin); rows at place -1 are left out."""
     d, width = bins.shape[1], BINS + 1
-    own = place >= 0
-    at = ((place[own, None] * d + np.arange(d)) * width + bins[own]).ravel()
-    return np.stack([np.bincount(at, np.repeat(stats[own, k], d), nodes * d * width) for k in range(3)], axis=-1).reshape(nodes, d, width, 3)
+    own = np.flatnonzero(place >= 0)
+    first, parts, out = place[own] * width, [stats[own, k] for k in range(3)], np.zeros((nodes, d, width, 3))
+    for j in range(d):
+        at = first + bins[own, j]
+        for k in range(3):
+            out[:, j, :, k] = np.bincount(at, parts[k], nodes * width).reshape(nodes, width)
+    return out
+
+
+def weighted(sums: np.ndarray, limits: Limits) -> np.ndarray:
+    """Gradients, hessians and rows; those of a forest come as positives, negatives and rows."""
+    if limits.weights is None:
+        return sums
+    neg, pos = limits.weights
+    return np.stack([sums[..., 0] * pos, sums[..., 0] * pos + sums[..., 1] * neg, sums[..., 2]], axis=-1)
+
+
+def gains_of(left: np.ndarray, whole: np.ndarray, limits: Limits) -> np.ndarray:
+    """What the cuts gain that leave the sums ``left`` of ``whole`` to their left; 0 if they may not be."""
+    right = weighted(whole - left, limits)
+    left, whole = weighted(left, limits), weighted(whole, limits)
+    term = lambda s: np.divide(s[..., 0] ** 2, s[..., 1], out=np.zeros(s.shape[:-1]), where=s[..., 1] > 0)
+    gain = term(left) + term(right) - term(whole)
+    fits = (left[..., 2] >= limits.rows) & (right[..., 2] >= limits.rows) & (left[..., 1] > limits.hessian) & (right[..., 1] > limits.hessian)
+    return np.where(fits & (gain > 1e-9 * np.abs(whole[..., 1])), gain, 0.0)
 
 
 def best_splits(held: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """By (node, feature): gain of the best cut (0: none), the cut, sums to its left; and the sums of the node."""
     left = held.cumsum(axis=2)
-    whole = left[:, :, -1:, :]
-    right = whole - left
-    term = lambda s: np.divide(s[..., 0] ** 2, s[..., 1], out=np.zeros(s.shape[:-1]), where=s[..., 1] > 0)
-    gain = term(left) + term(right) - term(whole)
-    fits = (left[..., 2] >= limits.rows) & (right[..., 2] >= limits.rows) & (left[..., 1] > limits.hessian) & (right[..., 1] > limits.hessian)
-    gain = np.where(fits & (gain > 1e-9 * np.abs(whole[..., 1])), gain, 0.0)
+    gain = gains_of(left, left[:, :, -1:, :], limits)
     cut = gain.argmax(axis=2)
     pick = lambda a: np.take_along_axis(a, cut[:, :, None], axis=2)[:, :, 0]
-    return pick(gain), cut, np.stack([pick(left[..., k]) for k in range(3)], axis=-1), whole[:, :, 0, :]
+    return pick(gain), cut, np.stack([pick(left[..., k]) for k in range(3)], axis=-1), left[:, :, -1, :]
+
+
+def run_splits(bins: np.ndarray, place: np.ndarray, stats: np.ndarray, limits: Limits) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``best_splits`` of many small nodes, all of which have rows: only bins that a node has are looked at. ``stats`` are whole numbers."""
+    nodes, d, width = int(place.max()) + 1, bins.shape[1], BINS + 1
+    whole = np.stack([np.bincount(place, stats[:, k], nodes) for k in range(3)], axis=-1)
+    before = np.cumsum(whole, axis=0) - whole
+    gain, cut, sums = np.zeros((nodes, d)), np.zeros((nodes, d), np.int64), np.zeros((nodes, d, 3))
+    for j in range(d):
+        key = place * width + bins[:, j]
+        order = np.argsort(key)
+        key = key[order]
+        last = np.flatnonzero(np.r_[key[1:] != key[:-1], True])  # of each run of rows with the same node and bin
+        node = key[last] // width
+        left = np.cumsum(stats[order], axis=0)[last] - before[node]
+        own = gains_of(left, whole[node], limits)
+        head = np.searchsorted(node, np.arange(nodes))
+        most = np.maximum.reduceat(own, head)
+        best = np.flatnonzero(own == most[node])
+        best = best[np.searchsorted(node[best], np.arange(nodes))]  # the first of equals
+        gain[:, j], cut[:, j], sums[:, j] = most, key[last[best]] % width, left[best]
+    return gain, cut, sums, np.repeat(whole[:, None], d, axis=1)
+
+
+def mixed(z: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return z ^ (z >> np.uint64(31))
 
 
-def drawn(gains: np.ndarray, limits: Limits, draw: int) -> int:
-    """The feature with the largest gain; of a forest, among the first few in random order that have any."""
+def drawn(gains: np.ndarray, limits: Limits, draw: np.ndarray) -> np.ndarray:
+    """By node the feature with the largest gain; of a forest, among the first few in the node's random order that have any."""
     if limits.drawn is None:
-        return int(gains.argmax())
-    order = np.random.default_rng(draw).permutation(len(gains))
-    some = order[gains[order] > 0][: limits.drawn]
-    return int(some[gains[some].argmax()]) if len(some) else 0
+        return gains.argmax(axis=1)
+    number = np.arange(1, gains.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.argsort(mixed(draw.astype(np.uint64)[:, None] + number), axis=1, kind="stable")
+    own = np.take_along_axis(gains, order, axis=1)
+    first = np.where(np.cumsum(own > 0, axis=1) <= limits.drawn, own, 0.0).argmax(axis=1)
+    return np.take_along_axis(order, first[:, None], axis=1)[:, 0]
 
 
 def chosen(gains: np.ndarray, cuts: np.ndarray, sums: np.ndarray, whole: np.ndarray, limits: Limits, draw: int) -> tuple:
-    k = drawn(gains, limits, draw)
+    k = int(drawn(gains[None], limits, np.array([draw]))[0])
     return tuple(map(float, whole)), float(gains[k]), k, int(cuts[k]), tuple(map(float, sums[k]))
 
 
 def held_tree(limits: Limits, bins: np.ndarray, stats: np.ndarray) -> Tree:
-    """A tree over rows in memory."""
+    """A tree with a limit of leaves over rows in memory."""
     tree, at = Tree(limits), np.zeros(len(bins), np.int64)
     while open_ := tree.frontier():
-        packed = tree.packed()
-        at = descend(packed, bins, at=at if limits.leaves is None else None)  # with a limit a split may be taken back
+        at = descend(tree.explored(), bins, at=at)  # a split may be taken back, its rows stay below it
         found = []
         for k in range(0, len(open_), NODES):
             some = open_[k : k + NODES]
@@ -189,6 +247,42 @@ def held_tree(limits: Limits, bins: np.ndarray, stats: np.ndarray) -> Tree:
     return tree
 
 
+def held_levels(limits: Limits, bins: np.ndarray, stats: np.ndarray) -> dict[str, np.ndarray]:
+    """A packed tree without a limit of leaves over rows in memory, a level at a time; ``stats`` are counts of the two classes and of both."""
+    total, draw = stats.sum(axis=0)[None], np.array([limits.seed], np.uint64)
+    place, rows, first, parts, depth = np.zeros(len(bins), np.int64), np.arange(len(bins)), 0, [], 0
+    while True:
+        # ``total`` and ``draw`` are of the nodes of this level, ``rows`` those in its open nodes, ``place`` their node
+        feature, cut, left = np.full(len(total), -1), np.zeros(len(total), np.int64), np.full(len(total), -1)
+        open_ = (total[:, :2] > 0).all(axis=1) & ((depth == 0) | (total[:, 2] >= 2 * limits.rows)) & (limits.depth is None or depth < limits.depth)
+        keep = open_[place]
+        rows, place, number = rows[keep], place[keep], np.cumsum(open_) - 1
+        parts.append((feature, cut, left, total))
+        if not len(rows) or not bins.shape[1]:
+            break
+        own, at = bins[rows], number[place]
+        few = open_.sum() * (BINS + 1) <= len(rows)
+        found = best_splits(histograms(own, at, int(open_.sum()), stats[rows]), limits) if few else run_splits(own, at, stats[rows], limits)
+        gain, cuts, sums, _ = found
+        k = drawn(gain, limits, draw[open_])
+        pick = lambda a, k=k: a[np.arange(len(k)), k]
+        splits = pick(gain) > 0
+        node = np.flatnonzero(open_)[splits]
+        feature[node], cut[node], left[node] = k[splits], pick(cuts)[splits], first + len(total) + 2 * np.arange(len(node))
+        keep = feature[place] >= 0
+        rows, place, own = rows[keep], place[keep], own[keep]
+        place = left[place] - first - len(total) + (own[np.arange(len(rows)), feature[place]] > cut[place])
+        first += len(total)
+        begun = draw[node] * np.uint64(6364136223846793005)
+        draw = np.stack([begun + np.uint64(1), begun + np.uint64(3)], axis=1).ravel() & np.uint64(2**61 - 1)
+        total = np.stack([pick(sums)[splits], total[node] - pick(sums)[splits]], axis=1).reshape(-1, 3)
+        depth += 1
+        if not len(node):
+            break
+    feature, cut, left, total = map(np.concatenate, zip(*parts))
+    return {"feature": feature, "cut": cut, "left": left, "value": values(total, limits)}
+
+
 def passed_trees(spark: SparkSession, rows: DataFrame, limits: list[Limits], d: int, stats_of: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray, np.ndarray]]]) -> list[Tree]:
     """Trees of all fits over rows that stay where they are. ``stats_of`` gives (fit, bins, stats) of a batch, for the fits that learn from it."""
     trees = [Tree(x) for x in limits]
@@ -238,29 +332,44 @@ def passed_trees(spark: SparkSession, rows: DataFrame, limits: list[Limits], d:
     return trees
 
 
+def holds(n: int, d: int) -> bool:
+    """Whether a task may hold the rows of a search."""
+    return n * max(d, HELD_WIDTH) <= HELD_ROWS * HELD_WIDTH
+
+
 # forests
 
 
 def bootstrap(key: np.ndarray, tree: int) -> np.ndarray:
     """Poisson(1) counts of rows in a tree's sample."""
     z = key.astype(np.uint64) + np.uint64(((SEED << 32) + tree + 1) * 0x9E3779B97F4A7C15 % 2**64)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
-    u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
+    u = (mixed(z) >> np.uint64(11)) / 2.0**53
     terms = np.cumsum(np.exp(-1.0) / np.cumprod(np.r_[1.0, np.arange(1.0, 20.0)]))
     return np.searchsorted(terms, u, side="right").astype(float)
 
 
+def class_weights(by_class: np.ndarray) -> tuple[float, float]:
+    """Of negatives and positives; ``by_class`` are the counts of the two classes in the tree's bootstrap."""
+    neg, pos = by_class.sum() / (2 * np.maximum(by_class, 1.0))
+    return float(neg), float(pos)
+
+
+def class_counts(y: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.stack([counts * (y == 1), counts * (y != 1), counts], axis=1)
+
+
 def forest_stats(y: np.ndarray, counts: np.ndarray, by_class: np.ndarray) -> np.ndarray:
-    """Weighted positives, weights and rows; ``by_class`` are the counts of the two classes in the tree's bootstrap."""
-    weight = by_class.sum() / (2 * np.maximum(by_class, 1.0))
-    w = counts * weight[y.astype(int)]
-    return np.stack([w * y, w, counts], axis=1)
+    """Weighted positives, weights and rows."""
+    return weighted(class_counts(y, counts), Limits(weights=class_weights(by_class)))
 
 
 def forest_scores(tree: dict[str, np.ndarray], bins: np.ndarray, depths: list[int | None]) -> np.ndarray:
     """A column of scores for each depth."""
-    return np.stack([tree["value"][descend(tree, bins, most)] for most in depths], axis=1) if len(bins) else np.zeros((0, len(depths)))
+    out, at, done = np.zeros((len(bins), len(depths))), None, 0
+    for k in sorted(range(len(depths)), key=lambda k: (depths[k] is None, depths[k] or 0)):
+        at = descend(tree, bins, None if depths[k] is None else depths[k] - done, at)
+        out[:, k], done = tree["value"][at], depths[k]
+    return out
 
 
 def forest(spark: SparkSession, rows: DataFrame, d: int, held: list[int], points: list[dict[str, Any]], n: int) -> DataFrame:
@@ -269,7 +378,7 @@ def forest(spark: SparkSession, rows: DataFrame, d: int, held: list[int], points
     depths = list(dict.fromkeys(p["maxDepth"] for p in points))
     sizes = sorted({p["numTrees"] for p in points})
     deepest = None if None in depths else max(depths)
-    limits = lambda t: Limits(depth=deepest, drawn=max(1, int(np.sqrt(d))), seed=SEED * 1000 + t)
+    limits = lambda t, by_class: Limits(depth=deepest, drawn=max(1, int(np.sqrt(d))), seed=SEED * 1000 + t, weights=class_weights(by_class))
     at_size = lambda t: [s for s in sizes if t < s]
     schema = "size int, depth int, row long, p double"
 
@@ -282,7 +391,7 @@ def forest(spark: SparkSession, rows: DataFrame, d: int, held: list[int], points
         x = np.asarray(column("x").flatten()).reshape(table.num_rows, d)
         return binned(x, edges), *(np.asarray(column(c)) for c in ("row", "key", "y", "fold"))
 
-    if n <= HELD_ROWS:
+    if holds(n, d):
 
         def grow(key: tuple, table: pa.Table) -> pa.Table:
             k, chunk = (v.as_py() for v in key)
@@ -294,8 +403,8 @@ def forest(spark: SparkSession, rows: DataFrame, d: int, held: list[int], points
                 counts = bootstrap(own[train], t)
                 inside = counts > 0
                 by_class = np.bincount(y[train].astype(int), counts, 2)
-                stats = forest_stats(y[train][inside], counts[inside], by_class)
-                p = forest_scores(held_tree(limits(t), bins[train][inside], stats).packed(), bins[test], depths)
+                stats = class_counts(y[train][inside], counts[inside])
+                p = forest_scores(held_levels(limits(t, by_class), bins[train][inside], stats), bins[test], depths)
                 for s in at_size(t):
                     scores[s] = scores[s] + p if s in scores else p
             return added(row[test], scores)
@@ -318,14 +427,14 @@ def forest(spark: SparkSession, rows: DataFrame, d: int, held: list[int], points
 
             by_class = {r["fit"]: np.array([r["neg"], r["pos"]]) for r in rows.mapInArrow(classes, "fit int, neg double, pos double").groupBy("fit").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).collect()}
 
-            def stats_of(batch: pa.RecordBatch, fits=fits, by_class=by_class) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:  # noqa: B006
+            def stats_of(batch: pa.RecordBatch, fits=fits) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:  # noqa: B006
                 bins, _, own, y, fold = arrays(batch)
                 for i, (k, t) in enumerate(fits):
                     counts = np.where(fold != k, bootstrap(own, t), 0.0)
                     inside = counts > 0
-                    yield i, bins[inside], forest_stats(y[inside], counts[inside], by_class[i])
+                    yield i, bins[inside], class_counts(y[inside], counts[inside])
 
-            packed = [t.packed() for t in passed_trees(spark, rows, [limits(t) for _, t in fits], d, stats_of)]
+            packed = [t.packed() for t in passed_trees(spark, rows, [limits(t, by_class[i]) for i, (_, t) in enumerate(fits)], d, stats_of)]
 
             def score(batches: Iterator[pa.RecordBatch], fits=fits, packed=packed) -> Iterator[pa.RecordBatch]:  # noqa: B006
                 for batch in batches:
@@ -373,7 +482,7 @@ def boosting(spark: SparkSession, rows: DataFrame, d: int, held: list[int], poin
     def weight(k: int, y: np.ndarray) -> np.ndarray:
         return np.where(y == 1, weights[k][1], weights[k][0])
 
-    if n <= HELD_ROWS:
+    if holds(n, d):
 
         def grow(key: tuple, table: pa.Table) -> pa.Table:
             k, i = (v.as_py() for v in key)
@@ -381,8 +490,9 @@ def boosting(spark: SparkSession, rows: DataFrame, d: int, held: list[int], poin
             order = np.argsort(row)
             bins, row, y, fold = bins[order], row[order], y[order], fold[order]
             train, raw, w = fold != k, np.zeros(len(y)), weight(k, y)
+            learned = bins[train]
             for _ in range(steps[i]):
-                tree = held_tree(limits[i], bins[train], boost_stats(raw[train], y[train], w[train])).packed()
+                tree = held_tree(limits[i], learned, boost_stats(raw[train], y[train], w[train])).packed()
                 raw -= points[i]["stepSize"] * tree["value"][descend(tree, bins)]
             test = fold == k
             return pa.table({"point": pa.array([i] * int(test.sum()), pa.int32()), "row": row[test], "p": sigmoid(raw[test])})

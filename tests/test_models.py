@@ -168,3 +168,26 @@ def test_labels_of_held_rows_are_not_read(spark):
         run = lambda d: by_point(models.scores(spark, spec, p, d, ["x0", "x1"], "y", "fold", [2]))  # noqa: B023, E731
         staged = models.staged(df.coalesce(1), "test")
         assert run(staged) == run(models.staged(staged.withColumn("y", F.when(F.col("fold") == 2, 1 - F.col("y")).otherwise(F.col("y"))), "test"))
+
+
+def test_runs_of_bins_give_the_splits_of_histograms():
+    rng = np.random.default_rng(3)
+    bins, place = rng.integers(0, 40, size=(900, 4)).astype(np.uint8), np.sort(np.r_[np.arange(30), rng.integers(0, 30, size=870)])
+    stats = trees.class_counts((rng.random(900) < 0.3).astype(float), rng.integers(1, 4, size=900).astype(float))
+    limits = trees.Limits(weights=(0.6, 1.7), rows=2)
+    for got, want in zip(trees.run_splits(bins, place, stats, limits), trees.best_splits(trees.histograms(bins, place, 30, stats), limits)):
+        got, want = (np.broadcast_to(a, (30, 4, *a.shape[2:])) for a in (got, want))
+        assert np.array_equal(got, want)
+
+
+def test_a_search_of_many_rows_takes_no_job_a_level(spark):
+    """Before, beyond 65,536 rows each level of each round of trees was a Spark job of its own."""
+    n = 70000
+    df = models.staged(spark.range(n).select("id", (F.xxhash64("id") % 1000).cast("double").alias("x0"), (F.xxhash64("id", F.lit(1)) % 3 == 0).cast("int").alias("y"), (F.col("id") % 2).cast("int").alias("fold")), "test")
+    points = [({"numTrees": 2, "maxDepth": None}, models.SPECS[2]), ({"stepSize": 0.1, "maxDepth": None, "maxIter": 8}, models.SPECS[3])]
+    for at, (point, spec) in enumerate(points):
+        spark.sparkContext.setJobGroup(f"search-{at}", "search")
+        got = models.scores(spark, spec, [point], df, ["x0"], "y", "fold", [0]).agg(F.count("p"), F.min("p"), F.max("p")).first()
+        assert got[0] == n // 2 and 0 <= got[1] < got[2] <= 1
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"search-{at}")) < 25
+    spark.sparkContext._jsc.clearJobGroup()
