@@ -260,6 +260,8 @@ BITS = 64 * WORDS64
 SAMPLE, RANKED = 16384, 1 << 16
 #: Rows of a bucket up to which all its pairs are candidates at once.
 SMALL = 8
+#: Bits in which the fingerprints of candidates of the first step may differ; it changes no result.
+RING_BITS = 4
 SKETCH = [f"b{k}" for k in range(WORDS64)]
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -286,6 +288,26 @@ def parity(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((shingles >> np.uint64(56)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def set_fingerprint(shingles: np.ndarray) -> int:
+    """The SimHash of a set of shingles, as a signed long."""
+    ones = np.zeros(64, np.int64)
+    for first in range(0, len(shingles), 65536):
+        ones += np.unpackbits(shingles[first : first + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(shingles), bitorder="little").view(np.int64)[0])
+
+
+def ring_pairs(spark: SparkSession, nodes: DataFrame, max_bits: int) -> DataFrame:
+    """Pairs ``(src, dst)`` of ``nodes(node, fp)`` that pigeonring over their fingerprints names.
+
+    The least node of a fingerprint stands for it: with the other nodes of the same one, and with those that ``links`` finds for others.
+    """
+    by_fp = stage(spark, nodes.groupBy("fp").agg(F.min("node").alias("least")), "fps")
+    same = nodes.join(by_fp, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    end = lambda fp, name: by_fp.select(F.col("fp").alias(fp), F.col("least").alias(name))
+    other = links(spark, by_fp.select("fp"), max_bits).join(end("src", "a"), "src").join(end("dst", "b"), "dst").select("a", "b")
+    return same.union(other).select(F.greatest("a", "b").alias("src"), F.least("a", "b").alias("dst")).distinct()
+
+
 class Jaccard:
     """Tests of J >= p / q in whole numbers, on sets that are ordered by (times met in a sample, hash).
 
@@ -414,8 +436,10 @@ def similar_groups(spark: SparkSession, docs: DataFrame, ident: list[str], width
     """``ident`` columns and ``root`` of each row of ``docs``: rows that chains of similar texts connect share a root.
 
     ``ident`` are columns of which equal values mean equal texts. Two texts are similar if the
-    Jaccard similarity of their sets of shingles is at least ``similarity``. Candidates meet under a
-    shingle of their prefixes (see Jaccard), and each is verified on both texts before it links. In a
+    Jaccard similarity of their sets of shingles is at least ``similarity``. First candidates come from
+    pigeonring over SimHash fingerprints of these sets. A bit distance only estimates a similarity, so an exact
+    join finds the rest: there candidates meet under a shingle of their prefixes (see Jaccard), and those that links connect
+    by then are left out. Each candidate is verified on both texts before it links. In a
     bucket of over SMALL texts only a forest of candidates is verified first, then the likeliest
     candidate of each text that is still apart (most texts of a group then share a root), and a last
     round takes all candidates that are apart even so. Null texts are empty; texts without words form one
@@ -426,7 +450,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, ident: list[str], width
     source = docs.select(*(F.col(c).alias(f"i{k}") for k, c in enumerate(ident)), text_or_empty().alias("text"))
     keyed_by = source.columns[:-1]
     schema = source.drop("text").schema.add("node", "long").add("size", "long")
-    for b in SKETCH:
+    for b in [*SKETCH, "fp"]:
         schema = schema.add(b, "long")
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,7 +458,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, ident: list[str], width
         for batch in slices(batches, "text", 4 << 20):
             sets = [shingle_set(t, width) for t in raw_bytes(batch.column("text"))]
             bits = np.stack([parity(x) for x in sets], axis=1)
-            made = [pa.array([_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, bits)]
+            made = [pa.array([_node(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, bits), pa.array(list(map(set_fingerprint, sets)), pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=schema.names)
         trim()
 
@@ -532,7 +556,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, ident: list[str], width
         return pairs
 
     made = stage(spark, source.mapInArrow(named, schema), "nodes")
-    nodes = stage(spark, made.groupBy("node").agg(*(F.any_value(c).alias(c) for c in own[1:]), F.min(F.struct(*keyed_by)).alias("first")), "nodes")
+    nodes = stage(spark, made.groupBy("node").agg(*(F.any_value(c).alias(c) for c in [*own[1:], "fp"]), F.min(F.struct(*keyed_by)).alias("first")), "nodes")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         needed = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
@@ -546,6 +570,14 @@ def similar_groups(spark: SparkSession, docs: DataFrame, ident: list[str], width
     def sketched(pairs: DataFrame) -> DataFrame:
         return both_ends(pairs.distinct(), nodes.select(*own)).where(test.sketched()).select("src", "dst")
 
+    def apart(pairs: DataFrame) -> DataFrame:
+        """``pairs`` whose ends no chain of links connects so far."""
+        for end in ("src", "dst"):
+            pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+        return pairs.where(F.coalesce("src_root", "src") != F.coalesce("dst_root", "dst")).select("src", "dst")
+
+    edges = verified(stage(spark, sketched(ring_pairs(spark, nodes.select("node", "fp"), RING_BITS)), "ring"), "ring-links")
+    labels = connected_components(spark, edges)
     every = max(1, made.count() // SAMPLE)
     sample = source.where(F.pmod(F.xxhash64(*keyed_by), F.lit(every)) == 0)
     sample = stage(spark, sample.dropDuplicates(keyed_by).select("text"), "sample")
@@ -568,22 +600,22 @@ def similar_groups(spark: SparkSession, docs: DataFrame, ident: list[str], width
     if large.limit(1).count():
         large, large_at = stage_at(spark, large.join(nodes.select("node", *SKETCH), "node"), "large")
         dense = bucketed(large.select(*_COLUMNS, *SKETCH)).mapInArrow(large_buckets, "src long, dst long")
-        pairs = stage(spark, sketched(met.where("src is not null").select("src", "dst")).union(dense).distinct(), "pairs")
+        pairs = stage(spark, apart(sketched(met.where("src is not null").select("src", "dst")).union(dense).distinct()), "pairs")
         drop(spark, met_at)
-        edges = verified(pairs, "links")
+        edges = edges.union(verified(pairs, "links"))
         labels = connected_components(spark, edges)
         for take in (likeliest, last_round):
             rooted = large.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            apart = bucketed(rooted.select(*_COLUMNS, "root", *SKETCH)).mapInArrow(take, "src long, dst long")
-            more = stage(spark, apart.distinct().join(pairs, ["src", "dst"], "left_anti"), "pairs")
+            found = bucketed(rooted.select(*_COLUMNS, "root", *SKETCH)).mapInArrow(take, "src long, dst long")
+            more = stage(spark, found.distinct().join(pairs, ["src", "dst"], "left_anti"), "pairs")
             if more.limit(1).count():
                 pairs, edges = pairs.union(more), edges.union(verified(more, "links"))
                 labels = connected_components(spark, edges)
         drop(spark, large_at)
     else:
-        pairs = stage(spark, sketched(met.where("src is not null").select("src", "dst")), "pairs")
+        pairs = stage(spark, apart(sketched(met.where("src is not null").select("src", "dst"))), "pairs")
         drop(spark, met_at)
-        labels = connected_components(spark, verified(pairs, "links"))
+        labels = connected_components(spark, edges.union(verified(pairs, "links")))
     named_by = [F.col(k).alias(c) for k, c in zip(keyed_by, ident)]
     return made.join(labels, "node", "left").select(*named_by, F.coalesce("root", "node").alias("root"))
 

@@ -105,3 +105,35 @@ def test_near_duplicates_leave_no_texts_and_buckets(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["doc_id"] for r in simhash.keep_first(spark, docs).orderBy("doc_id").collect()] == [0, 1, 2]
     assert stored() <= before
+
+
+def test_near_duplicates_meet_by_pigeonring_first(spark, monkeypatch):
+    """Before, the stage did not use the fingerprints at all. What they miss is found all the same."""
+    import random
+
+    from amberline.llm import simhash
+
+    rng = random.Random(5)
+    texts = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(4000)}" for _ in range(160)]
+        texts.append(" ".join(words))
+        for cut in (1, 4, 12):  # from very near to hardly near
+            texts.append(" ".join([*words[:-cut], *(f"z{rng.randrange(4000)}" for _ in range(cut))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    alike = {(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    want = {b for b in range(len(texts)) if not any((a, b) in alike for a in range(b))}  # chains stay within a dozen
+    found, links = [], simhash.links
+
+    def seen(spark, nodes, max_bits):
+        found.append(links(spark, nodes, max_bits).count())
+        return links(spark, nodes, max_bits)
+
+    def none(spark, nodes, max_bits):
+        return links(spark, nodes, max_bits).limit(0)
+
+    for change in (seen, none):
+        monkeypatch.setattr(simhash, "links", change)
+        assert {r["doc_id"] for r in simhash.keep_first(spark, docs).collect()} == want
+    assert found and 0 < found[0] < len(alike)
