@@ -443,6 +443,16 @@ def test_encoder_forgets_by_bytes(monkeypatch):
             assert len(own.codes) == len(own.numbers) < 120
 
 
+def test_encoder_learns_words_without_their_marks():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        own = token_store.Encoder(f.read())
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    words, marks = ["sol", "déjà", "x9", "don't", "\u0558x", "Ġy", "é\u0301"], ["", ",", "...", "?!", "').", "_", "'"]
+    texts = [f"{a}{m} {b}{m}\n{a}{m}" for a in words for b in words for m in marks] + [f"{m} {a}" for a in words for m in marks[1:]]
+    assert [np.frombuffer(c, own.dtype).tolist() for c in own.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert len(own.codes) < len(words) * len(marks) * 2
+
+
 def test_token_store_odd_rows(spark, odd):
     path = public_tokenizers.path("byte_bpe_50k.json")
     assert token_store.round_trip(spark, odd, path).count() == len(ODD)
