@@ -173,16 +173,17 @@ def links(spark: SparkSession, nodes: DataFrame, max_bits: int) -> DataFrame:
     A bucket with over HOT_KEY rows, own or flipped, is split: its rows are dealt to blocks, and its
     own rows, with which every pair has to do, are copied to each block, so that all pairs still meet.
     Own rows of a key are flipped rows of its neighbours, so counts of own rows by key give the
-    flipped ones too.
+    flipped ones too. They are added up, not joined: Spark sizes an exploded table by the rows before
+    it, and would broadcast it.
     """
     if not 1 <= max_bits <= 15:
         raise ValueError("max_bits must be 1 to 15")
     keyed = ring_keys(nodes, max_bits)
     own = stage(spark, ring_keys(nodes, max_bits, flipped=False).groupBy("key").count(), "ownkeys")
-    flips = own.select(F.explode(neighbours(F.col("key"), max_bits)).alias("key"), "count").groupBy("key").agg(F.sum("count").alias("more"))
-    rows = F.col("count") + F.coalesce("more", F.lit(0))
-    hot = own.where(F.col("count") > 0).join(flips, "key", "left").where(rows > HOT_KEY)  # a key without own rows has no pairs
-    hot = stage(spark, hot.select("key", F.ceil(rows / HOT_KEY).cast("int").alias("blocks")), "hotkeys")
+    flips = own.select(F.explode(neighbours(F.col("key"), max_bits)).alias("key"), "count", F.lit(0).alias("own"))
+    rows = own.select("key", "count", F.lit(1).alias("own")).union(flips).groupBy("key").agg(F.sum("count").alias("rows"), F.max("own").alias("own"))
+    hot = rows.where((F.col("own") == 1) & (F.col("rows") > HOT_KEY))  # a key without own rows has no pairs
+    hot = stage(spark, hot.select("key", F.ceil(F.col("rows") / HOT_KEY).cast("int").alias("blocks")), "hotkeys")
     if hot.limit(1).count():
         keyed = keyed.join(hot, "key", "left").select(
             "key", "fp", "own", F.coalesce("blocks", F.lit(1)).alias("blocks")
@@ -563,7 +564,8 @@ def similar_groups(spark: SparkSession, docs: DataFrame, ident: list[str], width
         needed = nodes.join(needed, "node", "left_semi").select("node", "first.*")
         texts = source.join(needed, keyed_by).groupBy("node").agg(F.any_value("text").alias("text"))
         texts, path = stage_at(spark, texts, f"{name}-texts")
-        links = stage(spark, both_ends(pairs, texts).select("src", "dst", "text_a", "text_b").mapInArrow(verify, "src long, dst long"), name)
+        # merged: a file of texts that compress well is far smaller than what a broadcast of it would hold
+        links = stage(spark, both_ends(pairs, texts.hint("merge")).select("src", "dst", "text_a", "text_b").mapInArrow(verify, "src long, dst long"), name)
         drop(spark, path)
         return links
 
@@ -598,7 +600,7 @@ def similar_groups(spark: SparkSession, docs: DataFrame, ident: list[str], width
     met, met_at = stage_at(spark, bucketed(keyed.select(*_COLUMNS)).mapInArrow(first_round, f"src long, dst long, {_BUCKET}"), "met")
     large = met.where("src is null").select(*_COLUMNS)
     if large.limit(1).count():
-        large, large_at = stage_at(spark, large.join(nodes.select("node", *SKETCH), "node"), "large")
+        large, large_at = stage_at(spark, large.join(nodes.select("node", *SKETCH).hint("merge"), "node"), "large")
         dense = bucketed(large.select(*_COLUMNS, *SKETCH)).mapInArrow(large_buckets, "src long, dst long")
         pairs = stage(spark, apart(sketched(met.where("src is not null").select("src", "dst")).union(dense).distinct()), "pairs")
         drop(spark, met_at)

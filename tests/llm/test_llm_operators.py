@@ -243,6 +243,17 @@ def test_dense_and_hot_buckets(spark, monkeypatch):
         assert all(found.get(p, p) == find(p) for p in prints)
 
 
+def test_no_table_of_unknown_size_is_broadcast(spark, monkeypatch):
+    """Before, keys with a bit flipped were broadcast at the estimated size of the table that they explode, and texts at that of their file."""
+    plans, staged = {}, simhash.stage
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(simhash, "stage", lambda s, df, name: (plans.setdefault(name, plan(df)), staged(s, df, name))[1])
+    rows = [(k, " ".join(f"w{k // 2}x{j}" for j in range(40)) + f" y{k}") for k in range(40)]
+    kept = simhash.keep_first(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in kept} == set(range(0, 40, 2))
+    assert all("BroadcastHashJoin" not in plans[name] for name in ("hotkeys", "ring-links", "links"))
+
+
 def test_similar_groups(spark):
     rnd = random.Random(2)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
