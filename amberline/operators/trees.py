@@ -1,9 +1,10 @@
 """Histogram trees, grown level by level for many fits at once: forests and gradient boosting for two classes.
 
-Features are binned once. A tree asks for the best splits of the nodes it has reached; who answers does not
-matter to it. If a search has more than ``HELD_ROWS`` rows, Spark answers: every task adds its rows to histograms of
+Features are binned once. Rows with the same bins are one cell to any tree, so trees are grown and scored on cells and how often
+rows of a class fall into them, which soon stop growing with the rows. A tree asks for the best splits of the nodes it has reached; who answers does not
+matter to it. If a search has more than ``HELD_ROWS`` cells, Spark answers: every task adds its rows to histograms of
 (fit, node, feature), these are summed by key, and only the best split of each comes back, one job a level for
-all fits together. A smaller fit is grown in the task that holds its rows, with the same splits; a forest tree there
+all fits together. A smaller fit is grown in the task that holds its cells, with the same splits; a forest tree there
 takes all nodes of a level at once, by histograms while nodes are few and by sorted runs of bins when they are many.
 Sums of a forest are whole counts of the two classes, weighted only when gains are taken, so both ways agree to the bit.
 
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 
 from amberline.operators.staging import staged
 
-#: Rows of a search (of up to ``HELD_WIDTH`` features, else in proportion fewer) whose fits are grown in one task each; beyond it rows stay where they are and histograms travel.
+#: Cells of a search (of up to ``HELD_WIDTH`` features, else in proportion fewer) whose fits are grown in one task each; beyond it rows stay where they are and histograms travel.
 HELD_ROWS, HELD_WIDTH = 1 << 20, 8
+#: Rows, for which a task holds a cell's bins and a key, up to which it draws the bootstraps of its trees.
+DRAWN_ROWS = 1 << 22
 BINS, SEED = 255, 2026
-#: Trees of a forest that a task grows, or that share the jobs of a level.
-CHUNK = 20
+#: Trees of a forest that share the jobs of a level, and that a task grows.
+CHUNK, GROWN = 20, 10
 #: Boosting rounds after which raw scores are written anew when rows are not held.
 REFRESH = 10
 NODES = 64  # whose histograms are in memory at once
@@ -49,6 +52,51 @@ def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, x[:, k]) for k, e in enumerate(edges)], axis=1).astype(np.uint8) if len(edges) else np.zeros((len(x), 0), np.uint8)
 
 
+def celled(rows: DataFrame, edges: list[np.ndarray], d: int, held: list[int]) -> DataFrame:
+    """``row, key, y, part, cell``: the bins of a row, a byte a feature, and the place of its fold in ``held`` from 1 on (0: in none)."""
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, held)), F.col("fold")), F.lit(0)).cast("int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = binned(np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, d), edges)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed_bins(bins)], names=["row", "key", "y", "part", "cell"])
+
+    own = rows.select("row", "key", F.col("y").cast("int").alias("y"), place.alias("part"), "x")
+    return staged(own.mapInArrow(run, "row long, key long, y int, part int, cell binary"), "cells")
+
+
+def packed_bins(bins: np.ndarray) -> pa.Array:
+    n, d = bins.shape
+    ends = pa.py_buffer(np.arange(0, n * d + 1, d, dtype=np.int32) if d else np.zeros(n + 1, np.int32))
+    return pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(np.ascontiguousarray(bins))])
+
+
+def column_of(table: pa.Table | pa.RecordBatch, name: str) -> pa.Array:
+    return table.column(name).combine_chunks() if isinstance(table, pa.Table) else table.column(name)
+
+
+def bins_of(table: pa.Table | pa.RecordBatch, d: int) -> np.ndarray:
+    cells = column_of(table, "cell")
+    data, first = cells.buffers()[2], cells.offset * d
+    held = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return held[first : first + len(cells) * d].reshape(len(cells), d)
+
+
+def distinct(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of these rows, in an order of their own, and the number of each row's cell."""
+    at = np.zeros(len(bins), np.int64)
+    for first in range(0, bins.shape[1], 3):
+        for j in range(first, min(first + 3, bins.shape[1])):
+            at = at << 8 | bins[:, j]
+        at = np.unique(at, return_inverse=True)[1]
+    return bins[np.unique(at, return_index=True)[1]], at
+
+
+def by_row(cells: DataFrame, found: DataFrame) -> DataFrame:
+    """``point, row, p`` of the rows in held folds; ``found`` has ``part, cell`` and ``scores`` of (point, p)."""
+    return cells.where("part > 0").select("row", "part", "cell").join(found, ["part", "cell"]).select("row", F.inline("scores")).select("point", "row", "p")
+
+
 @dataclass(frozen=True)
 class Limits:
     """What a tree may do: its depth (None: open), its leaves, rows a leaf, and features drawn a node (None: all)."""
@@ -333,7 +381,7 @@ def passed_trees(spark: SparkSession, rows: DataFrame, limits: list[Limits], d:
 
 
 def holds(n: int, d: int) -> bool:
-    """Whether a task may hold the rows of a search."""
+    """Whether a task may hold that many cells."""
     return n * max(d, HELD_WIDTH) <= HELD_ROWS * HELD_WIDTH
 
 
@@ -391,67 +439,74 @@ def forest(spark: SparkSession, rows: DataFrame, d: int, held: list[int], points
         x = np.asarray(column("x").flatten()).reshape(table.num_rows, d)
         return binned(x, edges), *(np.asarray(column(c)) for c in ("row", "key", "y", "fold"))
 
-    if holds(n, d):
+    cells = celled(rows, edges, d, held)
+    if n <= DRAWN_ROWS and holds(cells.select("cell").distinct().count(), d):
+        slots, parts_ = [(s, k) for s in range(len(sizes)) for k in range(len(depths))], len(held) + 1
 
         def grow(key: tuple, table: pa.Table) -> pa.Table:
-            k, chunk = (v.as_py() for v in key)
-            bins, row, own, y, fold = arrays(table)
-            order = np.argsort(row)
-            bins, row, own, y, fold = bins[order], row[order], own[order], y[order], fold[order]
-            train, test, scores = fold != k, fold == k, {}
-            for t in range(chunk * CHUNK, min((chunk + 1) * CHUNK, sizes[-1])):
-                counts = bootstrap(own[train], t)
-                inside = counts > 0
-                by_class = np.bincount(y[train].astype(int), counts, 2)
-                stats = class_counts(y[train][inside], counts[inside])
-                p = forest_scores(held_levels(limits(t, by_class), bins[train][inside], stats), bins[test], depths)
-                for s in at_size(t):
-                    scores[s] = scores[s] + p if s in scores else p
-            return added(row[test], scores)
-
-        chunks = F.explode(F.sequence(F.lit(0), F.lit((sizes[-1] - 1) // CHUNK))).alias("chunk")
-        copies = rows.select("*", F.explode(F.array(*map(F.lit, held))).alias("k")).select("*", chunks).repartition(2 * len(held) * ((sizes[-1] - 1) // CHUNK + 1), "k", "chunk")
-        sums = copies.groupBy("k", "chunk").applyInArrow(grow, schema)
-    else:
-        parts = []
-        for first in range(0, sizes[-1], CHUNK):
-            fits = [(k, t) for k in held for t in range(first, min(first + CHUNK, sizes[-1]))]
-
-            def classes(batches: Iterator[pa.RecordBatch], fits=fits) -> Iterator[pa.RecordBatch]:  # noqa: B006
-                total = np.zeros((len(fits), 2))
-                for batch in batches:
-                    _, _, own, y, fold = arrays(batch)
-                    for i, (k, t) in enumerate(fits):
-                        total[i] += np.bincount(y[fold != k].astype(int), bootstrap(own[fold != k], t), 2)
-                yield pa.RecordBatch.from_pydict({"fit": pa.array(range(len(fits)), pa.int32()), "neg": total[:, 0], "pos": total[:, 1]})
+            first = key[0].as_py() * GROWN
+            cell, at = distinct(bins_of(table, d))
+            own, y, part = (np.asarray(column_of(table, c)) for c in ("key", "y", "part"))
+            place, asked = (part * 2 + y) * np.int64(len(cell)) + at, [np.unique(at[part == i]) for i in range(1, parts_)]
+            sums = [np.zeros((len(a), len(sizes), len(depths))) for a in asked]
+            for t in range(first, min(first + GROWN, sizes[-1])):
+                counts = np.concatenate([bootstrap(own[a : a + (1 << 18)], t) for a in range(0, len(own), 1 << 18)])
+                counts = np.bincount(place, counts, 2 * parts_ * len(cell)).reshape(parts_, 2, len(cell))
+                for i, (a, total) in enumerate(zip(asked, sums), 1):
+                    neg, pos = counts.sum(axis=0) - counts[i]
+                    inside = neg + pos > 0
+                    stats = np.stack([pos, neg, pos + neg], axis=1)[inside]
+                    grown = held_levels(limits(t, np.array([neg.sum(), pos.sum()])), cell[inside], stats)
+                    total[:, [sizes.index(s) for s in at_size(t)]] += forest_scores(grown, cell[a], depths)[:, None]
+            made = [pa.table({"part": pa.array([i] * len(a), pa.int32()), "cell": packed_bins(cell[a]), "p": pa.FixedSizeListArray.from_arrays(total.ravel(), len(slots)).cast(pa.list_(pa.float64()))}) for i, (a, total) in enumerate(zip(asked, sums), 1)]
+            return pa.concat_tables(made)
+
+        chunks = (sizes[-1] - 1) // GROWN + 1
+        copies = cells.select("key", "y", "part", "cell", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")).repartition(3 * chunks, "chunk")
+        grown = copies.groupBy("chunk").applyInArrow(grow, "part int, cell binary, p array<double>")
+        total = grown.groupBy("part", "cell").agg(*(F.sum(F.get("p", F.lit(j))).alias(f"p{j}") for j in range(len(slots))))
+        at = [slots.index((sizes.index(p["numTrees"]), depths.index(p["maxDepth"]))) for p in points]
+        scores = F.array(*(F.struct(F.lit(i).alias("point"), (F.col(f"p{j}") / F.lit(p["numTrees"])).alias("p")) for i, (j, p) in enumerate(zip(at, points))))
+        return by_row(cells, total.select("part", "cell", scores.alias("scores")))
+    parts = []
+    for first in range(0, sizes[-1], CHUNK):
+        fits = [(k, t) for k in held for t in range(first, min(first + CHUNK, sizes[-1]))]
+
+        def classes(batches: Iterator[pa.RecordBatch], fits=fits) -> Iterator[pa.RecordBatch]:  # noqa: B006
+            total = np.zeros((len(fits), 2))
+            for batch in batches:
+                _, _, own, y, fold = arrays(batch)
+                for i, (k, t) in enumerate(fits):
+                    total[i] += np.bincount(y[fold != k].astype(int), bootstrap(own[fold != k], t), 2)
+            yield pa.RecordBatch.from_pydict({"fit": pa.array(range(len(fits)), pa.int32()), "neg": total[:, 0], "pos": total[:, 1]})
 
-            by_class = {r["fit"]: np.array([r["neg"], r["pos"]]) for r in rows.mapInArrow(classes, "fit int, neg double, pos double").groupBy("fit").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).collect()}
+        by_class = {r["fit"]: np.array([r["neg"], r["pos"]]) for r in rows.mapInArrow(classes, "fit int, neg double, pos double").groupBy("fit").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).collect()}
 
-            def stats_of(batch: pa.RecordBatch, fits=fits) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:  # noqa: B006
-                bins, _, own, y, fold = arrays(batch)
-                for i, (k, t) in enumerate(fits):
-                    counts = np.where(fold != k, bootstrap(own, t), 0.0)
-                    inside = counts > 0
-                    yield i, bins[inside], class_counts(y[inside], counts[inside])
+        def stats_of(batch: pa.RecordBatch, fits=fits) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:  # noqa: B006
+            bins, _, own, y, fold = arrays(batch)
+            for i, (k, t) in enumerate(fits):
+                counts = np.where(fold != k, bootstrap(own, t), 0.0)
+                inside = counts > 0
+                yield i, bins[inside], class_counts(y[inside], counts[inside])
 
-            packed = [t.packed() for t in passed_trees(spark, rows, [limits(t, by_class[i]) for i, (_, t) in enumerate(fits)], d, stats_of)]
+        packed = [t.packed() for t in passed_trees(spark, rows, [limits(t, by_class[i]) for i, (_, t) in enumerate(fits)], d, stats_of)]
 
-            def score(batches: Iterator[pa.RecordBatch], fits=fits, packed=packed) -> Iterator[pa.RecordBatch]:  # noqa: B006
-                for batch in batches:
-                    bins, row, _, _, fold = arrays(batch)
-                    for k in np.unique(fold):
-                        scores: dict[int, np.ndarray] = {}
-                        for (f, t), tree in zip(fits, packed):
-                            if f == k:
-                                p = forest_scores(tree, bins[fold == k], depths)
-                                for s in at_size(t):
-                                    scores[s] = scores[s] + p if s in scores else p
-                        yield from added(row[fold == k], scores).to_batches()
-
-            parts.append(staged(rows.mapInArrow(score, schema), "scores"))
-        sums = parts[0]
-        for part in parts[1:]:
-            sums = sums.unionByName(part)
+        def score(batches: Iterator[pa.RecordBatch], fits=fits, packed=packed) -> Iterator[pa.RecordBatch]:  # noqa: B006
+            for batch in batches:
+                bins, row, _, _, fold = arrays(batch)
+                for k in np.unique(fold):
+                    scores: dict[int, np.ndarray] = {}
+                    for (f, t), tree in zip(fits, packed):
+                        if f == k:
+                            p = forest_scores(tree, bins[fold == k], depths)
+                            for s in at_size(t):
+                                scores[s] = scores[s] + p if s in scores else p
+                    yield from added(row[fold == k], scores).to_batches()
+
+        parts.append(staged(rows.mapInArrow(score, schema), "scores"))
+    sums = parts[0]
+    for part in parts[1:]:
+        sums = sums.unionByName(part)
     total = sums.groupBy("size", "depth", "row").agg(F.sum("p").alias("p"))
     numbered = [F.when((F.col("size") == p["numTrees"]) & (F.col("depth") == depths.index(p["maxDepth"])), i) for i, p in enumerate(points)]
     return total.select(F.explode(F.array_compact(F.array(*numbered))).alias("point"), "row", (F.col("p") / F.col("size")).alias("p"))
@@ -475,48 +530,53 @@ def boosting(spark: SparkSession, rows: DataFrame, d: int, held: list[int], poin
     steps = [p.get("maxIter", STEPS) for p in points]
     limits = [Limits(depth=p["maxDepth"], leaves=LEAVES, rows=LEAST_ROWS, hessian=1e-3) for p in points]
 
+    cells = celled(rows, edges, d, held)
+    counted = staged(cells.groupBy("cell", "y", "part").agg(F.count(F.lit(1)).alias("n")), "counted")
+
     def arrays(table: Any) -> tuple[np.ndarray, ...]:
-        column = lambda c: table.column(c).combine_chunks() if isinstance(table, pa.Table) else table.column(c)
-        return binned(np.asarray(column("x").flatten()).reshape(table.num_rows, d), edges), *(np.asarray(column(c)) for c in ("row", "y", "fold"))
+        return bins_of(table, d), *(np.asarray(column_of(table, c)) for c in ("y", "part", "n"))
 
-    def weight(k: int, y: np.ndarray) -> np.ndarray:
-        return np.where(y == 1, weights[k][1], weights[k][0])
+    def weight(i: int, y: np.ndarray) -> np.ndarray:
+        return np.where(y == 1, weights[held[i - 1]][1], weights[held[i - 1]][0])
 
-    if holds(n, d):
+    scored_by = F.collect_list(F.struct("point", "p")).alias("scores")
+    if holds(counted.count(), d):
 
         def grow(key: tuple, table: pa.Table) -> pa.Table:
             k, i = (v.as_py() for v in key)
-            bins, row, y, fold = arrays(table)
-            order = np.argsort(row)
-            bins, row, y, fold = bins[order], row[order], y[order], fold[order]
-            train, raw, w = fold != k, np.zeros(len(y)), weight(k, y)
-            learned = bins[train]
+            bins, y, part, n = arrays(table)
+            cell, at = distinct(bins)
+            counts = np.bincount(y * np.int64(len(cell)) + at, n * (part != k), 2 * len(cell)).reshape(2, -1)
+            y, learned = np.nonzero(counts)
+            n, raw, w = counts[y, learned][:, None], np.zeros(len(cell)), weight(k, y)
             for _ in range(steps[i]):
-                tree = held_tree(limits[i], learned, boost_stats(raw[train], y[train], w[train])).packed()
-                raw -= points[i]["stepSize"] * tree["value"][descend(tree, bins)]
-            test = fold == k
-            return pa.table({"point": pa.array([i] * int(test.sum()), pa.int32()), "row": row[test], "p": sigmoid(raw[test])})
+                tree = held_tree(limits[i], cell[learned], boost_stats(raw[learned], y, w) * n).packed()
+                raw -= points[i]["stepSize"] * tree["value"][descend(tree, cell)]
+            test = np.unique(at[part == k])
+            return pa.table({"part": pa.array([k] * len(test), pa.int32()), "cell": packed_bins(cell[test]), "point": pa.array([i] * len(test), pa.int32()), "p": sigmoid(raw[test])})
 
-        copies = rows.select("*", F.explode(F.array(*map(F.lit, held))).alias("k")).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(points) - 1))).alias("point"))
-        return copies.repartition(3 * len(held) * len(points), "k", "point").groupBy("k", "point").applyInArrow(grow, "point int, row long, p double")
-    fits = [(k, i) for k in held for i in range(len(points))]
-    kept, late = rows.withColumn("raw", F.array_repeat(F.lit(0.0), len(fits))), [[] for _ in fits]
+        copies = counted.select("*", F.explode(F.sequence(F.lit(1), F.lit(len(held)))).alias("k")).select("*", F.explode(F.sequence(F.lit(0), F.lit(len(points) - 1))).alias("point"))
+        found = copies.repartition(3 * len(held) * len(points), "k", "point").groupBy("k", "point").applyInArrow(grow, "part int, cell binary, point int, p double")
+        return by_row(cells, found.groupBy("part", "cell").agg(scored_by))
+    fits = [(k, i) for k in range(1, len(held) + 1) for i in range(len(points))]
+    kept, late = counted.withColumn("raw", F.array_repeat(F.lit(0.0), len(fits))), [[] for _ in fits]
 
     def scored(batch: pa.RecordBatch, late: list) -> tuple[np.ndarray, ...]:
-        bins, row, y, fold = arrays(batch)
+        bins, y, part, n = arrays(batch)
         raw = np.array(np.asarray(batch.column("raw").flatten()).reshape(batch.num_rows, len(fits)))
         for f, grown in enumerate(late):
             for tree in grown:
                 raw[:, f] -= points[fits[f][1]]["stepSize"] * tree["value"][descend(tree, bins)]
-        return bins, row, y, fold, raw
+        return bins, y, part, n, raw
 
     for step in range(max(steps)):
 
         def stats_of(batch: pa.RecordBatch, late=late, step=step) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:  # noqa: B006
-            bins, _, y, fold, raw = scored(batch, late)
+            bins, y, part, n, raw = scored(batch, late)
             for f, (k, i) in enumerate(fits):
                 if step < steps[i]:
-                    yield f, bins[fold != k], boost_stats(raw[fold != k, f], y[fold != k], weight(k, y[fold != k]))
+                    own = part != k
+                    yield f, bins[own], boost_stats(raw[own, f], y[own], weight(k, y[own])) * n[own, None]
 
         for f, tree in enumerate(passed_trees(spark, kept, [limits[i] for _, i in fits], d, stats_of)):
             if step < steps[fits[f][1]]:
@@ -531,7 +591,7 @@ def boosting(spark: SparkSession, rows: DataFrame, d: int, held: list[int], poin
                         yield batch.set_column(at, "raw", pa.ListArray.from_arrays(np.arange(0, raw.size + 1, len(fits), dtype=np.int32), raw.ravel()))
 
             kept, late = staged(kept.mapInArrow(renew, kept.schema), "boosted"), [[] for _ in fits]
-    own = kept.select("row", F.col("fold").alias("k"), F.posexplode("raw").alias("f", "raw"))
-    of = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(i).alias("point")) for k, i in fits))
-    own = own.withColumn("fit", F.get(of, F.col("f"))).where("fit.k = k")
-    return own.select(F.col("fit.point").alias("point"), "row", (1 / (1 + F.exp(-F.col("raw")))).alias("p"))
+    own = kept.select("cell", "part", F.posexplode("raw").alias("f", "raw"))
+    of = F.array(*(F.struct(F.lit(k).alias("part"), F.lit(i).alias("point")) for k, i in fits))
+    own = own.withColumn("fit", F.get(of, F.col("f"))).where("fit.part = part").select("part", "cell", "fit.point", (1 / (1 + F.exp(-F.col("raw")))).alias("p"))
+    return by_row(cells, own.dropDuplicates(["part", "cell", "point"]).groupBy("part", "cell").agg(scored_by))  # a cell comes once a class

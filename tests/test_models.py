@@ -191,3 +191,31 @@ def test_a_search_of_many_rows_takes_no_job_a_level(spark):
         assert got[0] == n // 2 and 0 <= got[1] < got[2] <= 1
         assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"search-{at}")) < 25
     spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_a_search_is_held_by_its_cells(spark, monkeypatch):
+    """Before, a search of more rows than HELD_ROWS took jobs for each level of its trees, however few of its rows differed."""
+    df = spark.range(6000).select("id", (F.xxhash64("id") % 12).cast("double").alias("x0"), (F.xxhash64("id", F.lit(1)) % 3).cast("double").alias("x1"), (F.col("id") % 2).cast("int").alias("fold"))
+    df = models.staged(df.withColumn("y", (F.col("x0") + F.col("x1") + F.xxhash64("id", F.lit(2)) % 9 > 0).cast("int")), "test")
+    points = [({"numTrees": 3, "maxDepth": None}, models.SPECS[2]), ({"stepSize": 0.1, "maxDepth": None, "maxIter": 4}, models.SPECS[3])]
+    for at, (point, spec) in enumerate(points):
+        found = []
+        for held in (trees.HELD_ROWS, 500, 0):  # 500: more than the cells and less than the rows
+            monkeypatch.setattr(trees, "HELD_ROWS", held)
+            spark.sparkContext.setJobGroup(f"cells-{at}-{held}", "search")
+            found.append({r["id"]: r["p"] for r in models.scores(spark, spec, [point], df, ["x0", "x1"], "y", "fold", [0]).collect()})
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"cells-{at}-500")) < 25
+        assert len(found[0]) == 3000 and len(set(found[0].values())) > 9
+        assert found[0] == found[1] and max(abs(p - found[2][k]) for k, p in found[0].items()) < 1e-9
+        monkeypatch.undo()
+    spark.sparkContext._jsc.clearJobGroup()
+
+
+@pytest.mark.parametrize("d", [0, 1, 3, 7])
+def test_cells_are_the_different_rows(d):
+    bins = np.random.default_rng(d).integers(0, 3, size=(200, d)).astype(np.uint8) * 127
+    cell, at = trees.distinct(bins)
+    assert np.array_equal(cell[at], bins) and len({r.tobytes() for r in cell}) == len(cell)
+    table = trees.pa.table({"cell": trees.packed_bins(bins)})
+    assert np.array_equal(trees.bins_of(table, d), bins) and np.array_equal(trees.bins_of(table.to_batches()[0].slice(50, 20), d), bins[50:70])
+    assert [len(a) for a in trees.distinct(bins[:0])] == [0, 0]
